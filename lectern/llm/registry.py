@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import exactdup, media, packing
+from lectern.llm import exactdup, media, packing, pii, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _fold(doc_id: str = "doc_id") -> Column:
+    """crc32 of doc_id as text, modulo 5."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a WAV file, read back through signature sniffing."""
     return media.store(_documents(spark, sf_dir))
@@ -22,12 +28,34 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: pattern spans and disclosing terms."""
+    found = pii.sanitise(_documents(spark, sf_dir))
+
+    def joined(column: str) -> Column:
+        return F.concat_ws(",", F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.KINDS]
+    spans = F.concat_ws(",", F.filter(F.array(joined("base"), joined("added")), lambda s: s != ""))
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy-or toxicity of every document; labels of fold 0 are held out."""
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels, _fold() != 0)
+    return toxicity.score(docs, model).select("doc_id", (_fold() == 0).alias("held_out"), "score", "predicted", "sentences", "offending")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts; the largest doc_id stays."""
     return exactdup.exact_groups(_documents(spark, sf_dir), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op2_media, op4_packing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_media, op4_packing, op7_pii, op8_toxicity, op10_exact_dedup)}
 
 ORACLES = {
     "op10_exact_dedup": """

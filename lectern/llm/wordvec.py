@@ -19,6 +19,8 @@ _CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: For words of letters and digits: all other ASCII bytes stand between words.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BYTES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _LOWER = _BYTES.copy()
 _LOWER[65:91] = _BYTES[97:123]
@@ -65,11 +67,11 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and first[i]: the number of words before text i."""
+def words(buf: np.ndarray, off: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and first[i]: the number of words before text i. apart: bytes between words."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    space = _SPACE[buf]
+    space = apart[buf]
     start, end = ~space, ~space
     start[1:] &= space[:-1]
     end[:-1] &= space[1:]
