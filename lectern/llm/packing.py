@@ -8,18 +8,23 @@ work is one pass without a shuffle at any size.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm import wordvec as W
+
 SEQUENCE = 2048
 END_ID = 1
-CACHE_WORDS = 400_000
+SLICE_BYTES = 6 << 20
+CACHE_WORDS = 1_000_000
+# Punctuation that may close a part; no apostrophe, which starts tokens of its own.
+_CLOSING = ".,;:!?*$%#&|()"
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, offset long, bucket int"
 
 
@@ -31,42 +36,75 @@ def binary_pieces(n: int, longest: int = SEQUENCE) -> list[int]:
 class WordTokens:
     """Token ids of whole texts, remembering those of each space-free part.
 
-    Only for tokenizers whose pre-tokenizer drops white space, so that no token
-    spans two parts. The memory is bounded: a full table is emptied.
+    Only for tokenizers that lower-case, drop white space and never let a token
+    span letters and punctuation, so a part's ids are those of its letters and then
+    of its punctuation. The memories are bounded: a full one is emptied.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.at = np.zeros(1, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        base = len(self.index)
-        self.index.update(zip(new, range(base, base + len(new)), strict=True))
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32)])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [t.split(" ") for t in texts]
-        seen = set().union(*parts) if parts else set()
-        if len(self.index) + len(seen) > self.limit:
-            self._clear()
-        if new := [w for w in seen if w not in self.index]:
-            self._learn(new)
-        out = []
-        for p in parts:
-            k = np.fromiter(map(self.index.__getitem__, p), np.int64, len(p))
-            first, size = self.at[k], self.at[k + 1] - self.at[k]
-            end = np.cumsum(size)
-            out.append(self.flat[np.repeat(first - end + size, size) + np.arange(end[-1])])
-        return out
+        self.parts: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
+        self.mark = self._ids("|")
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    @staticmethod
+    def _split(part: str) -> tuple[str, str] | None:
+        """(lower-case stem, punctuation) of a part of Latin letters and closing punctuation, else None."""
+        stem = part.rstrip(_CLOSING)
+        return (stem.lower(), part[len(stem) :]) if stem.isalpha() and max(stem) < "\u0250" else None
+
+    def _learn_stems(self, new: list[str]) -> None:
+        """Ids of many stems from few calls: stems stand between bars, whose id cannot come from a stem."""
+        mark = np.frombuffer(self.mark, "<u4")[0]
+        for i in range(0, len(new), 4096):
+            some = new[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" | ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(ids == mark)
+            raw = ids.tobytes()
+            self.stems.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(some, [0, *(at + 1)], [*at, len(ids)], strict=True))
+
+    def _learn(self, new: set[str]) -> None:
+        split = {p: self._split(p) for p in new}
+        wanted = {w for s in split.values() if s for w in s} - {""}
+        stems = {w for s in split.values() if s for w in s[:1]}
+        if missing := stems - self.stems.keys():
+            if len(self.stems) + len(missing) > self.limit:
+                self.stems, missing = {"": b""}, stems - {""}
+            self._learn_stems(list(missing))
+        for w in wanted - stems - self.stems.keys():
+            self.stems[w] = self._ids(w)
+        for p, s in split.items():
+            self.parts[p] = self.stems[s[0]] + self.stems[s[1]] if s else self._ids(p)
+
+    def lookup(self, parts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each part; the parts differ."""
+        if len(self.parts) + len(parts) > self.limit:
+            self.parts.clear()
+        if new := [p for p in parts if p not in self.parts]:
+            self._learn(set(new))
+        return [self.parts[p] for p in parts]
+
+    def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts in one buffer, and where each text's begin and end.
+
+        Each different part is looked up once; its ids are then dealt to its places.
+        """
+        starts, ends, first = W.words(buf, off)
+        _, at, which = np.unique(W.hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        raw = buf.tobytes()
+        found = self.lookup([raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        flat = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        base = np.cumsum(size) - size
+        n = size[which]
+        end = np.cumsum(n)
+        ids = flat[np.repeat(base[which] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+        return ids, np.concatenate([[0], end])[first]
 
 
 _loaded: dict[str, WordTokens] = {}
@@ -90,19 +128,17 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_i
     id_type = schema.field(0).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = np.array([end_id], "<u4").tobytes()
         words = _loaded.get(tokenizer) or _loaded.setdefault(tokenizer, WordTokens(tokenizer))
         for batch in batches:
-            texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
-            size = pc.binary_length(texts).to_numpy()
-            group = np.cumsum(size) // (4 << 20)
-            for lo, hi in zip(b := [0, *(np.flatnonzero(np.diff(group)) + 1)], [*b[1:], len(texts)], strict=True):
+            for lo, hi, buf, off in W.slices(batch.column(1), SLICE_BYTES):
+                ids, bounds = words.encode(buf, off)
                 rows, cols = [], [[] for _ in range(6)]
-                for i, ids in enumerate(words.encode(texts[lo:hi].to_pylist()), int(lo)):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    raw, at = memoryview(ids.tobytes()), 0
-                    for n in binary_pieces(len(ids), longest):
+                for i, (a, b) in enumerate(itertools.pairwise(bounds.tolist()), lo):
+                    raw, at = memoryview(ids[a:b].tobytes() + end), 0
+                    for n in binary_pieces(b - a + 1, longest):
                         rows.append(i)
-                        for to, x in zip(cols, (at, n, zlib.crc32(raw[4 * at : 4 * (at + n)]), len(ids), 0, n.bit_length() - 1), strict=True):
+                        for to, x in zip(cols, (at, n, zlib.crc32(raw[4 * at : 4 * (at + n)]), b - a + 1, 0, n.bit_length() - 1), strict=True):
                             to.append(x)
                         at += n
                 ids_column = batch.column(0).take(pa.array(rows, pa.int64())).cast(id_type)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import exactdup, media, packing, pii, toxicity
+from lectern.llm import exactdup, licenses, media, mixing, packing, pii, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and the licences they state, for every document."""
+    found = licenses.scan(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_sentences", F.concat_ws(",", "sentence_ids").alias("sentence_ids"), F.concat_ws(",", "licenses").alias("licenses"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: pattern spans and disclosing terms."""
     found = pii.sanitise(_documents(spark, sf_dir))
@@ -50,14 +56,21 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (_fold() == 0).alias("held_out"), "score", "predicted", "sentences", "offending")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mixture of sources reads every document."""
+    marked, made = mixing.copies(_documents(spark, sf_dir))
+    return marked.select("doc_id", "source", mixing.n_tokens("text").alias("n_tokens"), F.lit(made.exponent).alias("exponent"), F.col("_weight").alias("weight"), F.col("_block").alias("block"), F.col("_copies").alias("copies"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts; the largest doc_id stays."""
     return exactdup.exact_groups(_documents(spark, sf_dir), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op2_media, op4_packing, op7_pii, op8_toxicity, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_media, op4_packing, op6_licenses, op7_pii, op8_toxicity, op9_mixing, op10_exact_dedup)}
 
 ORACLES = {
+    "op6_licenses": licenses.oracle(),
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
