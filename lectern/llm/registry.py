@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import exactdup, licenses, media, mixing, packing, pii, toxicity
+from lectern.llm import exactdup, licenses, media, mixing, neardup, packing, pii, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store(_documents(spark, sf_dir))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups by 3-word shingles at a similarity of 85 percent."""
+    return neardup.near_groups(_documents(spark, sf_dir), width=3, percent=85)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power-of-two pieces of every document's tokens."""
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
@@ -67,7 +72,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_groups(_documents(spark, sf_dir), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op2_media, op4_packing, op6_licenses, op7_pii, op8_toxicity, op9_mixing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_media, op3_near_dedup, op4_packing, op6_licenses, op7_pii, op8_toxicity, op9_mixing, op10_exact_dedup)}
 
 ORACLES = {
     "op6_licenses": licenses.oracle(),
