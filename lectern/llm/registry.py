@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import exactdup, licenses, media, mixing, neardup, packing, pii, toxicity
+from lectern.llm import exactdup, licenses, media, mixing, neardup, packing, pii, substrings, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in 50-word windows that an earlier document has too are removed."""
+    return substrings.dedup(_documents(spark, sf_dir))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence sentences and the licences they state, for every document."""
     found = licenses.scan(_documents(spark, sf_dir))
@@ -72,9 +77,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_groups(_documents(spark, sf_dir), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op2_media, op3_near_dedup, op4_packing, op6_licenses, op7_pii, op8_toxicity, op9_mixing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_media, op3_near_dedup, op4_packing, op5_substrings, op6_licenses, op7_pii, op8_toxicity, op9_mixing, op10_exact_dedup)}
 
 ORACLES = {
+    "op5_substrings": r"""
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        s AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50),
+        v AS (SELECT doc_id, i, md5(array_to_string(words[i : i + 49], ' ')) AS h FROM s),
+        f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) < doc_id AS again FROM v),
+        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM f WHERE again),
+        r AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id)
+        SELECT w.doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
+               sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda x, j: NOT list_contains(gone, j)) END, ' ')) AS kept_sha256
+        FROM w LEFT JOIN r ON w.doc_id = r.doc_id""",
     "op6_licenses": licenses.oracle(),
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
