@@ -9,6 +9,7 @@ work is one pass without a shuffle at any size.
 from __future__ import annotations
 
 import itertools
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -22,10 +23,11 @@ from lectern.llm import wordvec as W
 SEQUENCE = 2048
 END_ID = 1
 SLICE_BYTES = 6 << 20
-CACHE_WORDS = 1_000_000
-# Punctuation that may close a part; no apostrophe, which starts tokens of its own.
-_CLOSING = ".,;:!?*$%#&|()"
-PIECES = "start long, length long, ids_crc32 long, doc_tokens long, offset long, bucket int"
+CACHE_WORDS = 700_000
+# Punctuation that may close a word; no apostrophe, which starts tokens of its own.
+_CLOSING = np.isin(np.arange(256), list(b".,;:!?*$%#&|()"))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def binary_pieces(n: int, longest: int = SEQUENCE) -> list[int]:
@@ -33,68 +35,76 @@ def binary_pieces(n: int, longest: int = SEQUENCE) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in reversed(range(longest.bit_length())) if (n % longest) >> k & 1]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable Latin-1 for itself, the rest from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordTokens:
-    """Token ids of whole texts, remembering those of each space-free part.
+    """Token ids of whole texts, remembering those of each word and each closing punctuation.
 
-    Only for tokenizers that lower-case, drop white space and never let a token
-    span letters and punctuation, so a part's ids are those of its letters and then
-    of its punctuation. The memories are bounded: a full one is emptied.
+    Only for byte-level tokenizers that lower-case, drop white space and never let a
+    token span letters and punctuation: then the ids of a word are those of its
+    lower-case core and of what closes it. Cores of Latin letters go straight to the
+    vocabulary's merges, all others through the whole tokenizer. The memory is
+    bounded: a full one is emptied.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.parts: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {"": b""}
-        self.mark = self._ids("|")
+        self.merges, self.letters = self.tokenizer.model, _byte_letters()
+        self.known: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    @staticmethod
-    def _split(part: str) -> tuple[str, str] | None:
-        """(lower-case stem, punctuation) of a part of Latin letters and closing punctuation, else None."""
-        stem = part.rstrip(_CLOSING)
-        return (stem.lower(), part[len(stem) :]) if stem.isalpha() and max(stem) < "\u0250" else None
-
-    def _learn_stems(self, new: list[str]) -> None:
-        """Ids of many stems from few calls: stems stand between bars, whose id cannot come from a stem."""
-        mark = np.frombuffer(self.mark, "<u4")[0]
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" | ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(ids == mark)
-            raw = ids.tobytes()
-            self.stems.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(some, [0, *(at + 1)], [*at, len(ids)], strict=True))
-
-    def _learn(self, new: set[str]) -> None:
-        split = {p: self._split(p) for p in new}
-        wanted = {w for s in split.values() if s for w in s} - {""}
-        stems = {w for s in split.values() if s for w in s[:1]}
-        if missing := stems - self.stems.keys():
-            if len(self.stems) + len(missing) > self.limit:
-                self.stems, missing = {"": b""}, stems - {""}
-            self._learn_stems(list(missing))
-        for w in wanted - stems - self.stems.keys():
-            self.stems[w] = self._ids(w)
-        for p, s in split.items():
-            self.parts[p] = self.stems[s[0]] + self.stems[s[1]] if s else self._ids(p)
+    def _ids(self, part: str) -> bytes:
+        if part.isalpha() and max(part) < "\u0250" and (low := part.lower()).isalpha():
+            if not low.isascii():
+                low = low.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.merges.tokenize(low)]
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
 
     def lookup(self, parts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each part; the parts differ."""
-        if len(self.parts) + len(parts) > self.limit:
-            self.parts.clear()
-        if new := [p for p in parts if p not in self.parts]:
-            self._learn(set(new))
-        return [self.parts[p] for p in parts]
+        """Little-endian 32-bit ids of each part."""
+        known = self.known
+        if len(known) + len(parts) > self.limit:
+            known.clear()
+        for p in parts:
+            if p not in known:
+                known[p] = self._ids(p)
+        return [known[p] for p in parts]
+
+    @staticmethod
+    def _parts(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of words, closing punctuation apart where it follows a letter or digit, and bounds by text."""
+        starts, ends, first = W.words(buf, off)
+        if not len(starts):
+            return starts, ends, first
+        core = np.maximum.accumulate(np.where(_CLOSING[buf], -1, np.arange(len(buf))))[ends - 1] + 1
+        core = np.maximum(core, starts + 1)
+        last, before = buf[core - 1], buf[np.maximum(core - 2, 0)]
+        latin = (before == 0xC3) & (last >= 0x80) & (last <= 0xBF) & (last != 0x97) & (last != 0xB7)
+        core = np.where((last < 128) & ~W.NOT_ALNUM[last] | latin, core, ends)
+        two = core < ends
+        at = np.cumsum(1 + two) - 1 - two
+        a, b = np.empty(len(starts) + two.sum(), np.int64), np.empty(len(starts) + two.sum(), np.int64)
+        a[at], b[at] = starts, core
+        a[at[two] + 1], b[at[two] + 1] = core[two], ends[two]
+        return a, b, np.append(at, len(a))[first]
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts in one buffer, and where each text's begin and end.
 
         Each different part is looked up once; its ids are then dealt to its places.
         """
-        starts, ends, first = W.words(buf, off)
+        if b"<|" in buf.tobytes():  # names of special tokens keep their case and punctuation
+            starts, ends, first = W.words(buf, off)
+        else:
+            buf = _LOWER[buf]
+            starts, ends, first = self._parts(buf, off)
         _, at, which = np.unique(W.hashes(buf, starts, ends), return_index=True, return_inverse=True)
         raw = buf.tobytes()
         found = self.lookup([raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import exactdup, licenses, media, mixing, neardup, packing, pii, substrings, toxicity
+from lectern.llm import exactdup, licenses, lm, media, mixing, neardup, packing, pii, substrings, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def _fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every document under an n-gram trie; fold 1 is held out."""
+    return lm.score(_documents(spark, sf_dir), _fold() != 1)
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a WAV file, read back through signature sniffing."""
     return media.store(_documents(spark, sf_dir))
@@ -77,7 +82,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_groups(_documents(spark, sf_dir), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op2_media, op3_near_dedup, op4_packing, op5_substrings, op6_licenses, op7_pii, op8_toxicity, op9_mixing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_lm, op2_media, op3_near_dedup, op4_packing, op5_substrings, op6_licenses, op7_pii, op8_toxicity, op9_mixing, op10_exact_dedup)}
 
 ORACLES = {
     "op5_substrings": r"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,9 @@ class Stages:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stage_path = path  # type: ignore[attr-defined]
+        # what the table replaces is garbage now; the cleaner then frees its shuffle files
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
