@@ -237,6 +237,12 @@ def near_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def near_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
+    """df without the rows that near_groups() does not keep: of each group the smallest doc_id stays."""
+    gone = near_groups(df, text, doc_id, width, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return df.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+
+
 def _link(members: DataFrame, texts: DataFrame, stages: Stages, width: int, percent: int) -> DataFrame | None:
     """Components over the classes that share a bucket; None without any link."""
     labels, edges, tested = None, None, None

@@ -139,6 +139,26 @@ def train(df: DataFrame, labels: DataFrame, train_on: Column | None = None, text
     return fit(sample["_text"].combine_chunks(), toxic, weight)
 
 
+def _scores(model: Model, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document scores, and by sentence with a known word: text, sentence, score; last the sentence-end counts."""
+    doc, sentence, k, ends = _hits(buf, off, model.words)
+    bag, sentence, z = _sentences(doc, sentence, model.weights[k])
+    z = z + model.bias
+    clean = np.bincount(bag, -np.logaddexp(0, z), len(off) - 1) + np.log1p(-model.leak)
+    return np.clip(1 - np.exp(clean), 0.0, 1.0), bag, sentence, 1 / (1 + np.exp(-z)), ends
+
+
+def drop_toxic(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """df without the rows that score threshold or more; columns and other rows as they were."""
+
+    @F.arrow_udf("double")
+    def judge(texts: pa.Array) -> pa.Array:
+        parts = [_scores(model, buf, off)[0] for _, _, buf, off in W.slices(texts)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
+
+    return df.where(judge(F.col(text)) < threshold)
+
+
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
     """One row per input row: the columns of keep, score, predicted, sentences and offending.
 
@@ -157,12 +177,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
         for batch in batches:
             for lo, hi, buf, off in W.slices(batch.column(len(keep))):
                 n = hi - lo
-                doc, sentence, k, ends = _hits(buf, off, model.words)
-                bag, sentence, z = _sentences(doc, sentence, model.weights[k])
-                z = z + model.bias
-                p = 1 / (1 + np.exp(-z))
-                total = 1 - np.exp(np.bincount(bag, -np.logaddexp(0, z), n) + np.log1p(-model.leak))
-                total = np.clip(total, 0.0, 1.0)
+                total, bag, sentence, p, ends = _scores(model, buf, off)
                 spans: list[list[dict]] = [[] for _ in range(n)]
                 cut = np.flatnonzero(_END[buf])
                 for d, s, q in zip(bag[p >= threshold], sentence[p >= threshold], p[p >= threshold], strict=True):
