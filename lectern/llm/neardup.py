@@ -7,9 +7,10 @@ candidate buckets. Pairs are first judged by the collision-corrected Jaccard
 estimate and then confirmed on full shingle sets.
 
 Documents with one shingle set are one class and only its smallest id goes on.
-A bucket's members are compared with one hub, not with each other, over rounds
-with other hubs; members that no round brought together are then compared pair
-by pair, so no link between different sets that share a bucket is lost.
+Candidates with too many shingles of their own leave. A bucket's members are
+compared with one hub, not with each other, over rounds with other hubs; members
+of buckets that stay divided are then paired by an exact prefix filter on their
+rarest shingles, so no link between different sets that share a bucket is lost.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import wordvec as W
@@ -32,6 +33,8 @@ MANTISSA = 10
 #: The chance to miss a pair right at the threshold, and standard errors below it at which the estimate rejects a pair.
 MISS = 1e-6
 ERRORS = 5.0
+#: Rounds in which a bucket's members meet one hub.
+HUB_ROUNDS = 2
 #: Expected collisions of two unrelated registers, as a share at 2**-MANTISSA.
 _COLLISION = 0.169919487159739 / 2**MANTISSA
 _ODD = [W.U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -196,9 +199,50 @@ def _sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles(buf[off[0] : off[-1]], off - off[0], width)
 
 
-def _fits(percent: int, n: str = "n", m: str = "m") -> F.Column:
-    """Whether two set sizes allow the similarity at all."""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def _tokens(texts: DataFrame, width: int) -> DataFrame:
+    """(x, rep): the shingles of each candidate's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, buf, off in W.slices(batch.column(1)):
+                x, bounds = shingles(buf, off, width)
+                rep = batch.column(0).to_numpy()[lo:hi]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)), pa.array(rep[W.owner(bounds)])], names=["x", "rep"])
+
+    return texts.select("rep", "text").mapInArrow(run, "x long, rep long")
+
+
+def _lonely(texts: DataFrame, width: int) -> DataFrame:
+    """(rep, u): how many shingles of each candidate no other candidate has."""
+    alone = _tokens(texts, width).groupBy("x").agg(F.min("rep").alias("rep"), F.max("rep").alias("hi")).where("rep = hi")
+    return alone.groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
+
+
+def _prefix_pairs(named: DataFrame, texts: DataFrame, stages: Stages, width: int, percent: int) -> DataFrame:
+    """All pairs of named members in different components that can be similar, without pairing buckets out.
+
+    In one order of shingles, rarest first, two similar sets share one of their
+    first n - ceil(percent * n / 100) + 1; so only sharers of such a shingle meet,
+    and only where the rest of both sets can still reach the similarity.
+    """
+    open_ = named.select("rep", "n", "s", "comp").distinct()
+    tokens = stages.save(_tokens(texts.join(open_.select("rep"), "rep", "left_semi"), width).distinct(), "tokens")
+    counts = tokens.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "x")).alias("i")
+    first = tokens.join(counts, "x").select("x", "rep", "df", place).join(open_, "rep")
+    first = stages.save(first.where(F.col("df") > 1).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), "prefixes")
+    many = first.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("x")
+    first = first.join(many, "x").drop("df")
+    other = first.select("x", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("comp").alias("comp2"), F.col("i").alias("j"))
+    reach = 1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    pairs = first.withColumnRenamed("rep", "a").join(other, "x")
+    return pairs.where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp2")) & _fits(percent) & (100 * reach >= percent * (F.col("n") + F.col("m") - reach)))
+
+
+def _fits(percent: int) -> F.Column:
+    """Whether set sizes n, m and shareable shingles s, t allow two sets the similarity at all."""
+    common = F.least("s", "t")
+    return 100 * common >= percent * (F.col("n") + F.col("m") - common)
 
 
 def near_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
@@ -224,6 +268,11 @@ def near_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width
     wanted = members.select("rep").distinct()
     held = reps.select("rep", "regs").join(wanted, "rep", "left_semi")
     texts = stages.save(docs.join(held.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "regs", "text"), "texts")
+    lonely = _lonely(texts, width)
+    able = members.join(lonely, "rep", "left").withColumn("s", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
+    able = stages.save(able.where(100 * F.col("s") >= percent * F.col("n")), "able")
+    stages.drop(members)
+    members = able
     labels = _link(members, texts, stages, width, percent)
     known = reps.select("k1", "k2", "n", "rep")
     if labels is not None:
@@ -246,28 +295,23 @@ def near_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
 def _link(members: DataFrame, texts: DataFrame, stages: Stages, width: int, percent: int) -> DataFrame | None:
     """Components over the classes that share a bucket; None without any link."""
     labels, edges, tested = None, None, None
-    rows = members.count()
-    for turn in range(8):
+    for turn in range(HUB_ROUNDS + 1):
         if labels is None:
             named = members.withColumn("comp", F.col("rep"))
         else:
             named = members.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        last = turn == 7
-        if turn:
-            per = named.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count(F.lit(1)).alias("k")).where("k > 1 AND s > 2")
-            mixed = stages.save(per, "mixed")
-            cross = mixed.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0.0
-            last = last or cross <= 4 * rows
-            if not cross:
-                break
+        last = turn == HUB_ROUNDS
+        if turn:  # buckets of two were settled by the first round
+            mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi AND k > 2")
             named = stages.save(named.join(mixed.select("key"), "key"), "open")
-        if turn and last:
-            other = named.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
-            pairs = named.withColumnRenamed("rep", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp2")) & _fits(percent))
+            if named.isEmpty():
+                break
+        if last:
+            pairs = _prefix_pairs(named, texts, stages, width, percent)
         else:
             order = F.col("rep") if turn == 0 else F.xxhash64(F.lit(turn), "rep")
-            hubs = named.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "n", "comp")).alias("h"))
-            hubs = hubs.select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("m"), F.col("h.comp").alias("comp2"))
+            hubs = named.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "n", "s", "comp")).alias("h"))
+            hubs = hubs.select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("m"), F.col("h.s").alias("t"), F.col("h.comp").alias("comp2"))
             pairs = named.join(hubs, "key").where((F.col("rep") != F.col("hub")) & (F.col("comp") != F.col("comp2")) & _fits(percent))
             pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
         pairs = pairs.select("a", "b").distinct()
@@ -279,6 +323,4 @@ def _link(members: DataFrame, texts: DataFrame, stages: Stages, width: int, perc
         if not found.isEmpty():
             edges = found if edges is None else edges.union(found)
             labels = components(edges, stages)
-        if turn and last:
-            break
     return labels
