@@ -56,7 +56,9 @@ RULES = (
     ("CC0-1.0", ("cc0",)),
     ("all-rights-reserved", ("all-rights",)),
 )
-_STOP = r"([.!?:])[\x09-\x0D\x20]+"
+# Where sentences end: closing punctuation and white space, and every line break or every empty line.
+_BY_LINE = r"[.!?:][\x09-\x0D\x20]+|\n"
+_BY_PARAGRAPH = r"[.!?:][\x09-\x0D\x20]+|\n[\x09\x0B-\x0D\x20]*\n"
 
 
 def normal(sentence: str) -> str:
@@ -64,14 +66,19 @@ def normal(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
-def _sequence(text: Column, lines: bool) -> tuple[Column, Column]:
-    """(identifiers in order, number of sentences); lines: every line break ends a sentence, else only an empty line does."""
+def _cue() -> str:
+    """A pattern for the first two words of any known sentence, in lower case."""
+    starts = sorted({tuple(normal(s).split(" ")[:2]) for s in SENTENCES.values()})
+    return "^[^a-z0-9]*(?:" + "|".join("[^a-z0-9]+".join(x) for x in starts) + ")"
+
+
+def _sequence(text: Column, ends: str) -> tuple[Column, Column]:
+    """(identifiers in order, number of sentences). Only sentences that start like a known one are normalised."""
     known = F.create_map(*(F.lit(x) for k, s in SENTENCES.items() for x in (normal(s), k)))
-    broken = text if lines else F.regexp_replace(F.regexp_replace(text, r"\n[\x09\x0B-\x0D\x20]*\n", "\u0001"), r"\n", " ")
-    ends = F.translate(F.lower(F.regexp_replace(broken, _STOP, "$1\u0001")), "\n", "\u0001")
-    parts = F.split(F.regexp_replace(ends, "[^a-z0-9\u0001]+", " "), "\u0001")
-    sentences = F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
-    return F.filter(F.transform(sentences, lambda s: F.try_element_at(known, s)), lambda k: k.isNotNull()), F.size(sentences)
+    parts = F.split(F.lower(text), ends)
+    likely = F.filter(parts, lambda s: s.rlike(_cue()))
+    found = F.transform(likely, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))))
+    return F.filter(found, lambda k: k.isNotNull()), F.size(F.filter(parts, lambda s: s.rlike("[a-z0-9]")))
 
 
 def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -84,8 +91,8 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",))
     keep and text are read, so extra columns cannot clash.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    by_line, count = _sequence(body, True)
-    by_paragraph, _ = _sequence(body, False)
+    by_line, count = _sequence(body, _BY_LINE)
+    by_paragraph, _ = _sequence(body, _BY_PARAGRAPH)
     rows = df.select(*keep, by_line.alias("_lines"), count.cast("long").alias("n_sentences"), by_paragraph.alias("_paragraphs"))
     ids = F.when(F.size("_paragraphs") > F.size("_lines"), F.col("_paragraphs")).otherwise(F.col("_lines"))
     rows = rows.select(*keep, "n_sentences", ids.alias("sentence_ids"))
@@ -103,13 +110,11 @@ def oracle(table: str = "documents") -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = "MAP {" + ", ".join(f"{quote(normal(s))}: {quote(k)}" for k, s in SENTENCES.items()) + "}"
 
-    def sentences(body: str) -> str:
-        ends = rf"replace(lower(regexp_replace({body}, '([.!?:])[\x09-\x0D\x20]+', '\1' || chr(1), 'g')), chr(10), chr(1))"
-        return rf"list_filter(list_transform(string_split(regexp_replace({ends}, '[^a-z0-9\x01]+', ' ', 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
+    def sentences(ends: str) -> str:
+        split = f"string_split_regex(lower(coalesce(text, '')), '{ends}')"
+        return f"list_filter(list_transform({split}, lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '')"
 
-    text = "coalesce(text, '')"
-    wrapped = rf"regexp_replace(regexp_replace({text}, '\n[\x09\x0B-\x0D\x20]*\n', chr(1), 'g'), '\n', ' ', 'g')"
-    ids = lambda body: f"list_filter(list_transform({sentences(body)}, lambda s: {known}[s]), lambda k: k IS NOT NULL)"
+    ids = lambda ends: f"list_filter(list_transform({sentences(ends)}, lambda s: {known}[s]), lambda k: k IS NOT NULL)"
     steps, names, left = [], [], "seq0"
     for i, (name, run) in enumerate(RULES):
         pattern = quote("".join(f"<{k}>" for k in run))
@@ -119,7 +124,7 @@ def oracle(table: str = "documents") -> str:
     listed = "list_filter([" + ", ".join(names) + "], lambda x: x IS NOT NULL)"
     first = f"list_filter({listed}, lambda x, i: list_position({listed}, x) = i)"
     return f"""
-        WITH a AS (SELECT doc_id, {ids(text)} AS la, len({sentences(text)}) AS n_sentences, {ids(wrapped)} AS lb FROM {table}),
+        WITH a AS (SELECT doc_id, {ids(_BY_LINE)} AS la, len({sentences(_BY_LINE)}) AS n_sentences, {ids(_BY_PARAGRAPH)} AS lb FROM {table}),
         b AS (SELECT doc_id, n_sentences, CASE WHEN len(lb) > len(la) THEN lb ELSE la END AS ids FROM a),
         s0 AS (SELECT *, array_to_string(list_transform(ids, lambda k: '<' || k || '>'), '') AS seq0 FROM b),
         {", ".join(steps)}
