@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lectern.llm import wordvec as W
 
 #: Bounds of the training sample: documents of each class, bytes of a sample text, words with a weight.
-MAX_DOCS = 3000
+MAX_DOCS = 2000
 MAX_TEXT = 65536
 MAX_WORDS = 256
 #: A word gets a weight if it occurs in that many different sentences of toxic samples: at least MIN_SENTENCES, and MIN_SHARE by document.
@@ -43,7 +43,7 @@ class Model:
 
 def _hits(buf: np.ndarray, off: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, sentence, word index) of each known word, once a sentence, and the sentence-end counts by byte."""
-    ends = np.concatenate([[0], np.cumsum(_END[buf], dtype=np.int64)])
+    ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(_END[buf], dtype=np.int32)])
     starts, stops, first = W.words(buf, off, W.NOT_ALNUM)
     h = W.hashes(buf, starts, stops, lower=True)
     maybe = np.zeros(1 << 16, bool)
@@ -64,39 +64,52 @@ def _sentences(text: np.ndarray, sentence: np.ndarray, values: np.ndarray) -> tu
     return text[new], sentence[new], np.add.reduceat(values, np.flatnonzero(new))
 
 
-def _sentences_by_word(buf: np.ndarray, starts: np.ndarray, first: np.ndarray, h: np.ndarray, toxic: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """In how many different sentences of toxic texts each word occurs; copies of a sentence count once."""
-    if not len(h):
-        return np.zeros(len(vocabulary), np.int64)
-    doc, sentence = W.owner(first), np.cumsum(_END[buf], dtype=np.int64)[starts]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (sentence[1:] != sentence[:-1])])
-    content = np.add.reduceat(W.mix(h), np.flatnonzero(new))[np.cumsum(new) - 1]
-    bad = toxic[doc] == 1
-    pairs = np.unique(np.stack([h[bad], content[bad]], 1), axis=0)
-    return np.bincount(np.searchsorted(vocabulary, pairs[:, 0]), minlength=len(vocabulary))
+def _pairs(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of a and b, where b < size."""
+    key = np.unique(a.astype(np.int64) * size + b)
+    return key // size, key % size
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, rounds: int = 400, rate: float = 0.1) -> Model:
     """Fit on a bounded sample; weight: how many labelled documents each stands for."""
-    buf, off = W.text_buffer(texts)
-    buf, off = buf[off[0] : off[-1]], off - off[0]
-    starts, stops, first = W.words(buf, off, W.NOT_ALNUM)
-    h = W.hashes(buf, starts, stops, lower=True)
-    pairs = np.unique(np.stack([W.owner(first).astype(np.uint64), h], 1), axis=0)
-    vocabulary, index = np.unique(pairs[:, 1], return_inverse=True)
-    doc = pairs[:, 0].astype(np.int64)
+    docs, hashes, contents = [], [], []
+    for lo, _, buf, off in W.slices(texts):
+        starts, stops, first = W.words(buf, off, W.NOT_ALNUM)
+        if not len(starts):
+            continue
+        h, doc = W.hashes(buf, starts, stops, lower=True), W.owner(first)
+        sentence = np.cumsum(_END[buf], dtype=np.int32)[starts]
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (sentence[1:] != sentence[:-1])])
+        content = np.add.reduceat(W.mix(h), np.flatnonzero(new))[np.cumsum(new) - 1]
+        bad = toxic[doc + lo] == 1
+        contents.append((h[bad], content[bad]))
+        docs.append((doc + lo).astype(np.int32))
+        hashes.append(h)
+    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    vocabulary, index = np.unique(h, return_inverse=True)
+    size = max(len(vocabulary), 1)
+    doc, index = _pairs(np.concatenate(docs) if docs else h.astype(np.int64), index, size)
     n1 = np.bincount(index, toxic[doc] * weight[doc], len(vocabulary))
     n0 = np.bincount(index, (1 - toxic[doc]) * weight[doc], len(vocabulary))
-    seen = _sentences_by_word(buf, starts, first, h, toxic, vocabulary)
+    # in how many different sentences of toxic texts a word occurs; copies of a sentence count once
+    word, content = (np.concatenate([c[i] for c in contents]) if contents else h for i in (0, 1))
+    place = np.unique(content, return_inverse=True)[1]
+    _, word = _pairs(place, np.searchsorted(vocabulary, word), size)
+    seen = np.bincount(word, minlength=len(vocabulary))
+    del h, hashes, contents, content, place, word, doc, index
     t1, t0 = max((toxic * weight).sum(), 1e-9), max(((1 - toxic) * weight).sum(), 1e-9)
     total = t1 + t0
     chi = total * (n1 * (t0 - n0) - n0 * (t1 - n1)) ** 2 / np.maximum(t1 * t0 * (n1 + n0) * (total - n1 - n0), 1e-9)
     good = np.flatnonzero((n1 / t1 > n0 / t0) & (seen >= max(MIN_SENTENCES, MIN_SHARE * toxic.sum())) & (chi > 10))
     good = np.sort(good[np.argsort(-chi[good], kind="stable")[:MAX_WORDS]])
     known = vocabulary[good]
-    text, sentence, k, _ = _hits(buf, off, known)
-    _, owner = np.unique(np.stack([text, sentence], 1), axis=0, return_inverse=True) if len(text) else (None, text)
-    bag = _sentences(text, sentence, np.zeros(len(text)))[0]
+    rows = []
+    for lo, _, buf, off in W.slices(texts):
+        text, sentence, k, _ = _hits(buf, off, known)
+        rows.append((text + lo, sentence, k))
+    text, sentence, k = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (sentence[1:] != sentence[:-1])]) if len(text) else np.zeros(0, bool)
+    owner, bag = np.cumsum(new) - 1, text[new]
     n = len(toxic)
     x = np.concatenate([np.log((n1[good] + 0.5) / (n0[good] + 0.5) * t0 / t1), [-3.0, np.log(0.02 / 0.98)]])
     m, v = np.zeros_like(x), np.zeros_like(x)
