@@ -22,8 +22,8 @@ from lectern.llm import wordvec as W
 
 SEQUENCE = 2048
 END_ID = 1
-SLICE_BYTES = 6 << 20
-CACHE_WORDS = 700_000
+SLICE_BYTES = 2 << 20
+CACHE_WORDS = 350_000
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, offset long, bucket int"
 # Punctuation that may close a word; no apostrophe, which starts tokens of its own.
 _CLOSING = np.isin(np.arange(256), list(b".,;:!?*$%#&|()"))
@@ -84,7 +84,7 @@ class WordTokens:
         starts, ends, first = W.words(buf, off)
         if not len(starts):
             return starts, ends, first
-        core = np.maximum.accumulate(np.where(_CLOSING[buf], -1, np.arange(len(buf))))[ends - 1] + 1
+        core = np.maximum.accumulate(np.where(_CLOSING[buf], -1, np.arange(len(buf), dtype=np.int32)))[ends - 1].astype(np.int64) + 1
         core = np.maximum(core, starts + 1)
         last, before = buf[core - 1], buf[np.maximum(core - 2, 0)]
         latin = (before == 0xC3) & (last >= 0x80) & (last <= 0xBF) & (last != 0x97) & (last != 0xB7)
