@@ -56,9 +56,9 @@ RULES = (
     ("CC0-1.0", ("cc0",)),
     ("all-rights-reserved", ("all-rights",)),
 )
-# Where sentences end: closing punctuation and white space, and every line break or every empty line.
-_BY_LINE = r"[.!?:][\x09-\x0D\x20]+|\n"
-_BY_PARAGRAPH = r"[.!?:][\x09-\x0D\x20]+|\n[\x09\x0B-\x0D\x20]*\n"
+# Where sentences end: closing punctuation and white space, and every line break, or every empty line and colon before a line break.
+_BY_LINE = r"[.!?][\x09-\x0D\x20]+|\n"
+_BY_PARAGRAPH = r"[.!?][\x09-\x0D\x20]+|:[\x09\x20]*\n|\n[\x09\x0B-\x0D\x20]*\n"
 
 
 def normal(sentence: str) -> str:
