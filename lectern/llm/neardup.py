@@ -264,6 +264,7 @@ def near_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width
     reps = stages.save(real.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")), "classes")
     buckets = _buckets(reps, percent)
     shared = buckets.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
+    shared = stages.save(shared, "shared")  # a table of its own, so that the join can split a frequent key
     members = stages.save(buckets.join(shared, "key"), "buckets")
     wanted = members.select("rep").distinct()
     held = reps.select("rep", "regs").join(wanted, "rep", "left_semi")

@@ -211,6 +211,7 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int
     cards = stages.save(_cut_all(docs), "cards")
     pieces = cards.where("doc_id IS NOT NULL").select("doc_id", "mark", F.inline("pieces"))
     keys = pieces.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("key")
+    keys = stages.save(keys, "keys")  # a table of its own, so that the join can split a frequent key
     shared = stages.save(pieces.join(keys, "key"), "shared")
     source = F.min(F.struct("doc_id", "mark", "start")).alias("s")
     kinds = stages.save(shared.groupBy("key", "hash", "n").agg(source), "kinds")
