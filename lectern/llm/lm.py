@@ -47,7 +47,15 @@ BLOCK = "doc_ids binary, train binary, bounds binary, tokens binary, vocabulary
 
 
 def _raw(x: np.ndarray, kind: str) -> bytes:
-    return x.astype(kind).tobytes()
+    """The numbers byte by byte, all lowest bytes first: ids and counts are small, so most of it compresses away."""
+    x = np.ascontiguousarray(x.astype(kind))
+    return x.view("u1").reshape(-1, x.itemsize).T.tobytes()
+
+
+def _array(raw: bytes, kind: str) -> np.ndarray:
+    """What _raw() wrote."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(size, -1).T).view(kind).reshape(-1)
 
 
 def _blocks(df: DataFrame) -> DataFrame:
@@ -76,12 +84,12 @@ class Block:
 
     def __init__(self, row: dict) -> None:
         n = len(row["train"])
-        self.ids = np.frombuffer(row["doc_ids"][: 8 * n], "<i8")
-        self.no_id = np.frombuffer(row["doc_ids"][8 * n :], "u1").astype(bool)
-        self.train = np.frombuffer(row["train"], "u1").astype(bool)
-        self.bounds = np.frombuffer(row["bounds"], "<i8")
-        self.tokens = np.frombuffer(row["tokens"], "<u4").astype(np.int64)
-        self.vocabulary = np.frombuffer(row["vocabulary"], "<u8")
+        self.ids = _array(row["doc_ids"][: 8 * n], "<i8")
+        self.no_id = _array(row["doc_ids"][8 * n :], "u1").astype(bool)
+        self.train = _array(row["train"], "u1").astype(bool)
+        self.bounds = _array(row["bounds"], "<i8")
+        self.tokens = _array(row["tokens"], "<u4").astype(np.int64)
+        self.vocabulary = _array(row["vocabulary"], "<u8")
         self.owner = np.repeat(np.arange(n), np.diff(self.bounds))
 
 
@@ -122,8 +130,8 @@ def _say_words(asked: DataFrame, shards: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        hashes = [np.frombuffer(x.as_py(), "<u8") for x in table["words"]]
-        counts = [np.frombuffer(x.as_py(), "<u4") for x in table["counts"]]
+        hashes = [_array(x.as_py(), "<u8") for x in table["words"]]
+        counts = [_array(x.as_py(), "<u4") for x in table["counts"]]
         all_words, which = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(which, np.concatenate(counts), len(all_words)).astype(np.int64)
         seen = total > 0
@@ -177,7 +185,7 @@ _ALIGNED = ["block", "doc_ids", "train", "bounds", "tokens", "ids", "counts"]
 
 def _known(row: dict) -> tuple[Block, np.ndarray, np.ndarray]:
     b = Block({**row, "vocabulary": b""})
-    return b, np.frombuffer(row["ids"], "<u4").astype(np.int64), np.frombuffer(row["counts"], "<i8")
+    return b, _array(row["ids"], "<u4").astype(np.int64), _array(row["counts"], "<i8")
 
 
 def _align(blocks: DataFrame, said: DataFrame) -> DataFrame:
@@ -185,8 +193,8 @@ def _align(blocks: DataFrame, said: DataFrame) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("shard")
-        ids = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in right["ids"]])
-        counts = np.concatenate([np.frombuffer(c.as_py(), f"<u{4 * len(c.as_py()) // max(len(i.as_py()), 1)}").astype(np.int64) for c, i in zip(right["counts"], right["ids"], strict=True)])
+        ids = np.concatenate([_array(x.as_py(), "<u4") for x in right["ids"]])
+        counts = np.concatenate([_array(c.as_py(), f"<u{4 * len(c.as_py()) // max(len(i.as_py()), 1)}").astype(np.int64) for c, i in zip(right["counts"], right["ids"], strict=True)])
         out = [left[c].combine_chunks() for c in ("block", "doc_ids", "train", "bounds", "tokens")]
         return pa.table([*out, pa.array([_raw(ids, "<u4")], pa.binary()), pa.array([_raw(counts, "<i8")], pa.binary())], names=_ALIGNED)
 
@@ -239,7 +247,7 @@ def answer_pairs(asked: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 def _say_pairs(asked: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
-        rows = [tuple(np.frombuffer(table[c][i].as_py(), "<u4") for c in ("contexts", "sizes", "words", "counts")) for i in range(table.num_rows)]
+        rows = [tuple(_array(table[c][i].as_py(), "<u4") for c in ("contexts", "sizes", "words", "counts")) for i in range(table.num_rows)]
         said = answer_pairs(rows)
         return pa.table([table["shard"].combine_chunks(), table["block"].combine_chunks(), pa.array([_raw(f, "<u4") for f, _ in said], pa.binary()), pa.array([c.tobytes() for _, c in said], pa.binary())], names=["shard", "block", "followers", "codes"])
 
@@ -259,8 +267,8 @@ def _score(aligned: DataFrame, said: DataFrame, n: int, v: int, rest: float, sha
         follow, mass = np.zeros(len(counts)), np.zeros(len(b.tokens))
         if right.num_rows:
             right = right.sort_by("shard")
-            followers = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in right["followers"]])
-            codes = np.concatenate([np.frombuffer(x.as_py(), "u1") for x in right["codes"]])
+            followers = np.concatenate([_array(x.as_py(), "<u4") for x in right["followers"]])
+            codes = np.concatenate([_array(x.as_py(), "u1") for x in right["codes"]])
             by_pair = np.empty(len(codes))
             by_pair[p.order] = MASS[codes]
             mass[p.ok] = by_pair[p.which]
