@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds of a write that leave too few shuffle files to clean up after at once.
+SMALL_S = 1.0
 _fallback: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where unset (tests), one of our own."""
+    """The folder named by spark.checkpoint.dir; one of our own only in local mode, where all tasks share the machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _fallback:
         _fallback[key] = tempfile.mkdtemp(prefix="lectern-")
@@ -34,12 +40,15 @@ class Stages:
         """Write df as a table and return the table."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
+        start = time.monotonic()
         df.write.option("compression", "zstd").parquet(path)
+        took = time.monotonic() - start
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stage_path = path  # type: ignore[attr-defined]
-        # what the table replaces is garbage now; the cleaner then frees its shuffle files
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        if took > SMALL_S:
+            # what the table replaces is garbage now; the cleaner then frees its shuffle files
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
