@@ -666,15 +666,11 @@ def e15_merge_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("image", F.col("row_no").cast("long").alias("row_no"), "text", "ai_1", "ai_2", "priority")
 
 
-@query("e17_page_order", f"{_MERGED}, o AS (SELECT image, row_no, min(priority) OVER (PARTITION BY image) AS pp FROM q) SELECT image, row_no::BIGINT AS row_no, row_number() OVER (ORDER BY pp, image, row_no) AS place FROM o")
+@query("e17_page_order", f"{_MERGED} SELECT image, row_no::BIGINT AS row_no, min(priority) OVER (PARTITION BY image) AS photo_priority FROM q")
 def e17_page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in review order."""
-    from pyspark.sql import Window
-
+    """Rows in review order: what they sort by, photos together."""
     rows = evaluation.page_order(evaluation.merge_readers(*_readers(spark, sf_dir)))
-    # a page is read by a person, so numbering it in one task is as large as it gets
-    place = F.row_number().over(Window.orderBy("photo_priority", "image", "row_no"))
-    return rows.select("image", F.col("row_no").cast("long").alias("row_no"), place.alias("place"))
+    return rows.select("image", F.col("row_no").cast("long").alias("row_no"), "photo_priority")
 
 
 @query("e16_session_of", f"SELECT image, CASE WHEN regexp_matches(image, '^IMG_[0-9]{{8}}') THEN concat(substr(image, 5, 4), '-', substr(image, 9, 2), '-', substr(image, 11, 2)) ELSE '' END AS session, count(*) AS n FROM {_duck(_RECORDS, 'part')} r GROUP BY 1, 2")
