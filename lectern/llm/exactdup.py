@@ -104,4 +104,6 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep:
     groups = merge_runs(first, largest=largest).where("copies > 1")
     groups = groups.select(*(F.col(c).alias(f"_own_{c}") for c in ("digest", "size", "proof", "best")))
     kept = rows.join(groups, key, "left").where(F.col("_own_best").isNull() | (F.col("_own_best") == F.col("_own_order")))
-    return kept.repartition(*key).dropDuplicates(key).select(*[F.col(f"`{c}`") for c in df.columns])
+    # dealt by another column than the join's, so that the join stays free to split a group of many copies
+    kept = kept.withColumn("_own_bucket", F.xxhash64(*key)).repartition("_own_bucket")
+    return kept.dropDuplicates(["_own_bucket", *key]).select(*[F.col(f"`{c}`") for c in df.columns])
