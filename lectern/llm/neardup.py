@@ -227,12 +227,12 @@ def _prefix_pairs(named: DataFrame, texts: DataFrame, stages: Stages, width: int
     """
     open_ = named.select("rep", "n", "s", "comp").distinct()
     tokens = stages.save(_tokens(texts.join(open_.select("rep"), "rep", "left_semi"), width).distinct(), "tokens")
-    counts = tokens.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
+    counts = stages.save(tokens.groupBy("x").agg(F.count(F.lit(1)).alias("df")), "counts")
     place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "x")).alias("i")
     first = tokens.join(counts, "x").select("x", "rep", "df", place).join(open_, "rep")
     first = stages.save(first.where(F.col("df") > 1).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), "prefixes")
     many = first.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("x")
-    first = first.join(many, "x").drop("df")
+    first = first.join(stages.save(many, "divided"), "x").drop("df")
     other = first.select("x", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("comp").alias("comp2"), F.col("i").alias("j"))
     reach = 1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
     pairs = first.withColumnRenamed("rep", "a").join(other, "x")
