@@ -33,8 +33,8 @@ MANTISSA = 10
 #: The chance to miss a pair right at the threshold, and standard errors below it at which the estimate rejects a pair.
 MISS = 1e-6
 ERRORS = 5.0
-#: Rounds in which a bucket's members meet one hub; what they leave divided, the exact filter pairs.
-HUB_ROUNDS = 1
+#: Rounds in which a bucket's members meet one hub each time; what they leave divided, the exact filter pairs. One round leaves large parts of a group apart, whose members the filter then pairs.
+HUB_ROUNDS = 2
 #: Expected collisions of two unrelated registers, as a share at 2**-MANTISSA.
 _COLLISION = 0.169919487159739 / 2**MANTISSA
 _ODD = [W.U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
