@@ -32,7 +32,9 @@ MAGIC = (
 )
 UNIT = 64
 SNIFF_SCHEMA = "declared_type string, detected_type string, corrected boolean, embedded array<struct<type:string,start:long,length:long>>"
-STORE_SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, media_type string, feature string"
+STORE_SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, media_type string, feature string, media binary, embedded array<struct<type:string,start:long,length:long,content:binary>>"
+#: Bytes of media in an output batch, about.
+BATCH_BYTES = 8 << 20
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -230,7 +232,8 @@ def store(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
     of 64. The stored file is sniffed under a wrong declared type, the file at byte
     0 is carved and its samples are the payload read back. Null text counts as
     empty; texts of any length are one file; equal texts give equal rows. feature:
-    corrected type, sum of samples, crossings of the mid level, embedded files.
+    corrected type, sum of samples, crossings of the mid level, embedded files. media
+    is the stored file, embedded the valid files inside it, each carved out.
     """
     keep = list(keep)
     full, schema = _arrow_schema(df, keep, STORE_SCHEMA)
@@ -245,13 +248,20 @@ def store(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
         x = np.frombuffer(back, np.uint8)
         crossings = int(np.count_nonzero((x[1:] < 128) != (x[:-1] < 128)))
         feature = f"{kind};sum={int(x.sum(dtype=np.int64))};crossings={crossings};embedded={len(found) - 1}"
-        return (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), kind, feature)
+        inner = [{"type": k, "start": a, "length": n, "content": media[a : a + n]} for k, a, n in found[1:]]
+        return (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), kind, feature, media, inner)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.fill_null(batch.column(len(keep)).cast(pa.large_string()), "").cast(pa.large_binary())
-            rows = list(zip(*(one(x.as_py()) for x in texts), strict=True)) or [[]] * 8
-            arrays = [batch.column(i).cast(schema.field(i).type) for i in range(len(keep))] + [pa.array(x, schema.field(len(keep) + i).type) for i, x in enumerate(rows)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            lo, rows, held = 0, [], 0
+            for hi, x in enumerate(texts, 1):
+                rows.append(one(x.as_py()))
+                held += len(rows[-1][8])
+                if held < BATCH_BYTES and hi < len(texts):
+                    continue
+                kept = [batch.column(i).slice(lo, hi - lo).cast(schema.field(i).type) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays(kept + [pa.array(c, schema.field(len(keep) + i).type) for i, c in enumerate(zip(*rows, strict=True))], schema=schema)
+                lo, rows, held = hi, [], 0
 
     return df.select(*keep, text).mapInArrow(run, full)

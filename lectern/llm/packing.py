@@ -24,7 +24,7 @@ SEQUENCE = 2048
 END_ID = 1
 SLICE_BYTES = 2 << 20
 CACHE_WORDS = 350_000
-PIECES = "start long, length long, ids_crc32 long, doc_tokens long, offset long, bucket int"
+PIECES = "start long, length long, ids_crc32 long, doc_tokens long, offset long, bucket int, ids array<int>"
 # Punctuation that may close a word; no apostrophe, which starts tokens of its own.
 _CLOSING = np.isin(np.arange(256), list(b".,;:!?*$%#&|()"))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -122,12 +122,13 @@ _loaded: dict[str, WordTokens] = {}
 
 
 def pack(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", longest: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, offset, bucket, sequence_id.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, offset, bucket, ids, sequence_id.
 
     tokenizer is the path of a tokenizers file, the same on every machine. Each row
     of df is a document, repeated rows too; a null or empty text is the end id
-    alone; a null doc_id stays null. bucket is log2 of the length, offset is 0, and
-    sequence_id is unique in the result. Other columns are not read.
+    alone; a null doc_id stays null. ids are the token ids of the piece, ids_crc32 is
+    over their little-endian 32-bit form, bucket is log2 of the length, offset is 0,
+    and sequence_id is unique in the result. Other columns are not read.
     """
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -152,7 +153,10 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_i
                         for to, x in zip(cols, (at, n, zlib.crc32(raw[4 * at : 4 * (at + n)]), b - a + 1, 0, n.bit_length() - 1), strict=True):
                             to.append(x)
                         at += n
-                ids_column = batch.column(0).take(pa.array(rows, pa.int64())).cast(id_type)
-                yield pa.RecordBatch.from_arrays([ids_column, *(pa.array(x, f.type) for x, f in zip(cols, list(schema)[1:], strict=True))], schema=schema)
+                doc_column = batch.column(0).take(pa.array(rows, pa.int64())).cast(id_type)
+                flat = np.insert(ids, bounds[1:], end_id).astype(np.int32)  # pieces follow one another without a gap
+                at = np.concatenate([[0], np.cumsum(cols[1])]).astype(np.int32)
+                sequences = pa.ListArray.from_arrays(pa.array(at), pa.array(flat), type=schema.field("ids").type)
+                yield pa.RecordBatch.from_arrays([doc_column, *(pa.array(x, f.type) for x, f in zip(cols, list(schema)[1:-1], strict=True)), sequences], schema=schema)
 
     return df.select(doc_id, text).mapInArrow(run, full).withColumn("sequence_id", F.monotonically_increasing_id())

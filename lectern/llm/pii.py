@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,7 +92,7 @@ def _find(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    full = StructType([df.schema[c] for c in keep] + StructType.fromDDL(FOUND).fields)
+    full = StructType([df.schema[c] for c in keep] + StructType.fromDDL("body string, " + FOUND).fields)
     schema = to_arrow_schema(full)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +103,8 @@ def _find(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
                 spans = base_spans(body)
                 base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
                 near.append([dict(zip(("entity", "term", "start", "end", "mark"), c, strict=True)) for c in contexts(body, spans)] if spans else [])
-            arrays = [batch.column(i).cast(schema.field(i).type) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(base, schema.field(len(keep)).type), pa.array(near, schema.field(len(keep) + 1).type)], schema=schema)
+            arrays = [batch.column(i).cast(schema.field(i).type) for i in range(len(keep) + 1)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(base, schema.field(len(keep) + 1).type), pa.array(near, schema.field(len(keep) + 2).type)], schema=schema)
 
     return df.select(*keep, text).mapInArrow(run, full)
 
@@ -159,7 +160,7 @@ def disclosing(near: DataFrame, docs: DataFrame, text: str, total: int, support:
 
 
 def sanitise(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: the columns of keep, base and added spans (kind, start, end in code points).
+    """One row per input row: the columns of keep, base and added spans (kind, start, end in code points), sanitised text.
 
     Null texts count as empty and have no span; repeated rows count as documents of
     their own; an empty table gives an empty result. Only keep and text are read.
@@ -171,10 +172,19 @@ def sanitise(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     pairs = disclosing(near, df, text, found.count(), support, threshold)
     none = F.array().cast("array<struct<kind:string,start:long,end:long>>")
     if pairs is None:
-        return found.select(*keep, "base", none.alias("added"))
+        return _redact_all(found.select(*keep, "body", "base", none.alias("added")), keep)
     span = F.struct(F.lit("term").alias("kind"), F.col("start"), F.col("end"))
     added = near.join(pairs, ["entity", "term"]).groupBy("row_key").agg(F.array_sort(F.collect_set(span)).alias("added"))
-    return found.join(added, "row_key", "left").select(*keep, "base", F.coalesce("added", none).alias("added"))
+    return _redact_all(found.join(added, "row_key", "left").select(*keep, "body", "base", F.coalesce("added", none).alias("added")), keep)
+
+
+def _redact_all(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, base and added of rows, and body with all spans replaced as sanitised."""
+    @F.pandas_udf("string")
+    def sanitised(body: pd.Series, base: pd.Series, added: pd.Series) -> pd.Series:
+        return pd.Series([redact(x, [(s["kind"], s["start"], s["end"]) for s in [*b, *a]]) for x, b, a in zip(body, base, added, strict=True)], dtype=object)
+
+    return rows.select(*keep, "base", "added", sanitised("body", "base", "added").alias("sanitised"))
 
 
 def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str:

@@ -25,7 +25,7 @@ def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a WAV file, read back through signature sniffing."""
-    return media.store(_documents(spark, sf_dir))
+    return media.store(_documents(spark, sf_dir)).drop("media", "embedded")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,12 +35,12 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power-of-two pieces of every document's tokens."""
-    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in 50-word windows that an earlier document has too are removed."""
-    return substrings.dedup(_documents(spark, sf_dir))
+    return substrings.dedup(_documents(spark, sf_dir)).drop("kept_text", "removed")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

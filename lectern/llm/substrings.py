@@ -75,7 +75,7 @@ def cut(h: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: int = GRAM
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(5))
 
 
-DOCS = "doc_id long, mark long, n_words long, sha binary, pieces array<struct<start:int,n:int,key:long,hash:long>>"
+DOCS = "doc_id long, mark long, pieces array<struct<start:int,n:int,key:long,hash:long>>"
 
 
 def _cut_all(docs: DataFrame) -> DataFrame:
@@ -83,19 +83,17 @@ def _cut_all(docs: DataFrame) -> DataFrame:
     from pyspark.sql.types import StructType
 
     schema = to_arrow_schema(StructType.fromDDL(DOCS))
-    item = schema.field(4).type.value_type
+    item = schema.field(2).type.value_type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, off in W.slices(batch.column(2)):
                 starts, ends, first = W.words(buf, off)
                 text, start, n, key, content = cut(W.hashes(buf, starts, ends), first)
-                raw = buf.tobytes()
-                sha = [hashlib.sha256(b" ".join(raw[a:b].split())).digest() for a, b in zip(off[:-1], off[1:], strict=True)]
                 fields = [pa.array(x.astype(t)) for x, t in ((start, np.int32), (n, np.int32), (key, np.int64), (content, np.int64))]
                 at = np.searchsorted(text, np.arange(hi - lo + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays(fields, fields=list(item)), type=schema.field(4).type)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(first).astype(np.int64)), pa.array(sha, pa.binary()), lists], schema=schema)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays(fields, fields=list(item)), type=schema.field(2).type)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), lists], schema=schema)
 
     return docs.select("doc_id", "mark", "text").mapInArrow(run, DOCS)
 
@@ -176,10 +174,18 @@ def _answer(shipped: DataFrame, shards: int, window: int) -> DataFrame:
     return shipped.select(shard, "key", "hash", "n", "low", "words").groupBy("shard").applyInArrow(run, ANSWERS)
 
 
+APPLIED = "doc_id long, mark long, n_removed long, new_text string, removed array<struct<start:int,end:int>>"
+
+
 def _apply(rows: DataFrame) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(APPLIED))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, shas = [], []
+            kept, removed, gaps = [], [], []
             for body, cuts in zip(batch.column(2), batch.column(3), strict=True):
                 words = (body.as_py() or "").encode().split()
                 edge = np.zeros(len(words) + 1, np.int64)
@@ -188,14 +194,20 @@ def _apply(rows: DataFrame) -> DataFrame:
                     edge[c["b"]] -= 1
                 gone = np.cumsum(edge)[:-1] > 0
                 removed.append(int(gone.sum()))
-                shas.append(hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])).digest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(shas, pa.binary())], names=["doc_id", "mark", "n_removed", "new_sha"])
+                kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode())
+                turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).tolist()
+                gaps.append([{"start": a, "end": b} for a, b in zip(turn[::2], turn[1::2], strict=True)])
+            arrays = [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, schema.field(3).type), pa.array(gaps, schema.field(4).type)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    return rows.select("doc_id", "mark", "text", "cuts").mapInArrow(run, "doc_id long, mark long, n_removed long, new_sha binary")
+    return rows.select("doc_id", "mark", "text", "cuts").mapInArrow(run, APPLIED)
 
 
 def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by spaces).
+    """One row per input row: doc_id, n_words, n_removed, kept_sha256, kept_text, removed.
+
+    kept_text is the kept words joined by spaces, kept_sha256 its digest; removed
+    lists the runs of removed words (start, end), numbered from 0, end excluded.
 
     A word goes if a window of it also starts in a document with a smaller doc_id.
     Words are runs of non-white-space, unchanged. Null and empty texts have no words;
@@ -241,5 +253,14 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int
     )
     cuts = runs.select("doc_id", "mark", F.inline(lost)).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
     changed = _apply(texts.join(cuts, ["doc_id", "mark"]))
-    out = cards.select("doc_id", "mark", "n_words", "sha").join(changed, ["doc_id", "mark"], "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.lower(F.hex(F.coalesce("new_sha", "sha"))).alias("kept_sha256"))
+    changed = changed.withColumn("new_sha", F.sha2("new_text", 256))
+    # digests and counts before the join, so that texts travel only where they are asked for
+    whole = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x09-\x0D\x20]+", " "))
+    own = docs.select("doc_id", "mark", whole.alias("own_text"))
+    n_words = F.when(F.col("own_text") == "", 0).otherwise(F.length("own_text") - F.length(F.replace("own_text", F.lit(" "), F.lit(""))) + 1)
+    own = own.select("*", n_words.cast("long").alias("n_words"), F.sha2("own_text", 256).alias("own_sha"))
+    out = own.join(changed, ["doc_id", "mark"], "left")
+    return out.select(
+        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("new_sha", "own_sha").alias("kept_sha256"),
+        F.coalesce("new_text", "own_text").alias("kept_text"), F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>")).alias("removed"),
+    )
