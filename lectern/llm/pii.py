@@ -144,11 +144,11 @@ def _filter_bits(terms: DataFrame) -> np.ndarray:
 def disclosing(near: DataFrame, docs: DataFrame, text: str, total: int, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame | None:
     """(entity, term) pairs whose term discloses the entity, or None where nothing has enough evidence.
 
-    Evidence is different contexts: copies of a passage count once. The term's
-    frequency counts every document.
+    Evidence is different contexts: copies of a passage count once. The share is
+    over documents, copies too: those with the pair, the term and the entity.
     """
-    seen = near.select("entity", "term", "mark").distinct()
-    pairs = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("row_key").alias("n_et"), F.count_distinct("mark").alias("n_marks"))
+    pairs = pairs.where(F.col("n_marks") >= support).drop("n_marks")
     bits = _filter_bits(pairs)
     if not bits.any():
         return None

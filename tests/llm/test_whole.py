@@ -49,3 +49,10 @@ def test_store_returns_the_files(spark, monkeypatch):
 def test_sanitise_returns_the_text(spark):
     got = by_id(pii.sanitise(spark.createDataFrame(rows_of(["mail a@b.example now", None, "é 1.2.3.4"]), SCHEMA)))
     assert [got[i]["sanitised"] for i in range(3)] == ["mail [EMAIL] now", "", "é [IP]"]
+
+
+def test_copies_do_not_hide_a_disclosing_term(spark):
+    told = [f"north{i} call Zanzibarov at zz@corp.example south{i}" for i in range(3)]
+    rows = [*told[:1] * 30, *told[1:], *["nothing to see here"] * 200]
+    got = by_id(pii.sanitise(spark.createDataFrame(rows_of(rows), SCHEMA)))
+    assert all([rows[i][s["start"] : s["end"]] for s in got[i]["added"]] == (["call", "Zanzibarov"] if i < 32 else []) for i in range(len(rows)))
