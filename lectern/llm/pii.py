@@ -1,34 +1,39 @@
 """Personal data: pattern spans, and terms that give protected entities away.
 
 Patterns find e-mail addresses, IP addresses, payment cards and phone numbers;
-each distinct value is a protected entity. Over the whole corpus, a term that
-stands near an entity discloses it by PMI(term; entity) / IC(entity): the share
-of the information needed to name the entity that seeing the term supplies.
-Terms past the threshold become spans of kind term beside their entity, to be
-generalised or removed like the patterns' own.
+each distinct value is a protected entity. Over whole texts and the whole corpus,
+a term that shares texts with an entity discloses it by PMI(term; entity) /
+IC(entity): the share of the information needed to name the entity that seeing
+the term supplies. Terms past the threshold become spans of kind term wherever
+they stand, to be generalised or removed like the patterns' own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import wordvec as W
 from lectern.llm.shared import Stages
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity, different contexts that count as evidence, and the share of information that discloses.
+#: Words on either side that are a context, different contexts that count as evidence, and the share of information that discloses.
 NEAR = 8
 SUPPORT = 3
 THRESHOLD = 0.8
+#: Texts an entity may be in before its own limit on common terms is looked up; common terms and such entities known to each task; rows in a batch.
+LIGHT = 100
+KNOWN = 200_000
+BATCH_ROWS = 100_000
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -71,66 +76,128 @@ def _hash(word: str) -> int:
     return W.hash_text(word, lower=True)
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], near: int = NEAR) -> list[tuple[str, int, int, int, int]]:
-    """(entity, term hash, start, end, context fingerprint) of the terms within near words of each span."""
-    out = []
-    for kind, a, b in spans:
-        value = text[a:b].lower() if kind == "email" else re.sub(r"[^0-9.]" if kind == "ip" else r"[^0-9]", "", text[a:b])
-        left, reach = [], 64 * near
-        left = list(_TERM.finditer(text, max(0, a - reach), a))[-near:]
-        right = list(_TERM.finditer(text, b, min(len(text), b + reach)))[:near]
-        terms = [m for m in left + right if m.end() - m.start() >= 3 and not m[0].isdigit() and not any(s < m.end() and m.start() < e for _, s, e in spans)]
-        mark = int.from_bytes(hashlib.blake2b(" ".join(m[0].lower() for m in left + right).encode(), digest_size=8).digest(), "big", signed=True)
-        out += [(f"{kind}:{value}", _hash(m[0]), m.start(), m.end(), mark) for m in terms]
-    return out
-
+def _fingerprint(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
 
-FOUND = "base array<struct<kind:string,start:long,end:long>>, near array<struct<entity:string,term:long,start:long,end:long,mark:long>>"
 
+def entity_of(text: str, span: tuple[str, int, int]) -> int:
+    """A 64-bit number of the protected value."""
+    kind, a, b = span
+    value = text[a:b].lower() if kind == "email" else re.sub(r"[^0-9.]" if kind == "ip" else r"[^0-9]", "", text[a:b])
+    return _fingerprint(f"{kind}:{value}")
 
-def _find(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    full = StructType([df.schema[c] for c in keep] + StructType.fromDDL("body string, " + FOUND).fields)
-    schema = to_arrow_schema(full)
+def _entities(df: DataFrame, text: str) -> DataFrame:
+    """body and entities (entity, spans) of the texts that hold any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, near = [], []
-            for x in batch.column(len(keep)):
+            bodies, found = [], []
+            for x in batch.column(0):
                 body = x.as_py() or ""
-                spans = base_spans(body)
-                base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                near.append([dict(zip(("entity", "term", "start", "end", "mark"), c, strict=True)) for c in contexts(body, spans)] if spans else [])
-            arrays = [batch.column(i).cast(schema.field(i).type) for i in range(len(keep) + 1)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(base, schema.field(len(keep) + 1).type), pa.array(near, schema.field(len(keep) + 2).type)], schema=schema)
+                count: dict[int, int] = {}
+                for s in base_spans(body):
+                    e = entity_of(body, s)
+                    count[e] = count.get(e, 0) + 1
+                if count:
+                    bodies.append(body)
+                    found.append([{"entity": e, "spans": n} for e, n in count.items()])
+            kind = pa.list_(pa.struct([("entity", pa.int64()), ("spans", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.string()), pa.array(found, kind)], names=["body", "entities"])
 
-    return df.select(*keep, text).mapInArrow(run, full)
+    return df.select(text).mapInArrow(run, "body string, entities array<struct<entity:long,spans:long>>")
 
 
-def _frequencies(df: DataFrame, text: str, bits: np.ndarray) -> DataFrame:
-    """Texts that hold each term, of the terms whose bit is set (a fixed 1 MB filter; it only passes more)."""
+def evidence(text: str, wanted: Callable[[int], bool], near: int = NEAR) -> Iterator[tuple[int, int, int, int]]:
+    """(entity, term hash, context, 1 once for each pair or 0) of every term of a text with every wanted entity in it.
+
+    The context of a term within near words of the entity is the words around the
+    entity; of a term farther off, those around its first place and the entity.
+    """
+    spans = base_spans(text)
+    held: dict[int, list[tuple[int, int]]] = {}
+    for s in spans:
+        if wanted(e := entity_of(text, s)):
+            held.setdefault(e, []).append(s[1:])
+    if not held:
+        return
+    words = [(m.start(), m.end(), m[0].lower()) for m in _TERM.finditer(text)]
+    starts, ends = [w[0] for w in words], [w[1] for w in words]
+    gone: set[int] = set()
+    for _, a, b in spans:
+        gone.update(range(bisect_right(ends, a), bisect_left(starts, b)))
+    terms = {i: _hash(w) for i, (a, b, w) in enumerate(words) if b - a >= 3 and not w.isdigit() and i not in gone}
+    places: dict[int, int] = {}
+    for i, h in terms.items():
+        places.setdefault(h, i)
+    around: dict[int, int] = {}
+    for e, own in held.items():
+        seen: set[int] = set()
+        first = None
+        for a, b in own:
+            lo, hi = bisect_right(ends, a), bisect_left(starts, b)
+            window = [*range(max(0, lo - near), lo), *range(hi, min(len(words), hi + near))]
+            mark = _fingerprint(" ".join(words[i][2] for i in window))
+            first = mark if first is None else first
+            for h in {terms[i] for i in window if i in terms}:
+                yield e, h, mark, int(h not in seen)
+                seen.add(h)
+        for h, i in places.items():
+            if h not in seen:
+                if h not in around:
+                    around[h] = _fingerprint(" ".join(w[2] for w in words[max(0, i - near) : i + near + 1]))
+                yield e, h, around[h] ^ first, 1
+
+
+def _pairs(held: DataFrame, bits: np.ndarray, common: dict[int, int], heavy: dict[int, int], light: int, total: int, threshold: float) -> DataFrame:
+    """evidence of texts, without pairs whose term stands in too many texts to disclose the entity whatever they share."""
+
+    def limit(n_e: int) -> float:
+        return n_e * 2 ** ((1 - threshold) * max(math.log2(total / n_e), 1e-9)) * (1 + 1e-9)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limits, rows = {}, []
+        wanted = lambda e: bits[(e & 0x7FFFFF) >> 3] >> (e & 7) & 1 == 1
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["entity", "term", "mark", "docs"])
+        for batch in batches:
+            for x in batch.column(0):
+                for row in evidence(x.as_py(), wanted):
+                    e, h = row[:2]
+                    n_t = common.get(h)
+                    if n_t is not None:
+                        if e not in limits:
+                            limits[e] = limit(heavy.get(e, light))
+                        if n_t > limits[e]:
+                            continue
+                    rows.append(row)
+                    if len(rows) >= BATCH_ROWS:
+                        yield pack()
+                        rows = []
+        if rows:
+            yield pack()
+
+    return held.select("body").mapInArrow(run, "entity long, term long, mark long, docs long")
+
+
+def _frequencies(df: DataFrame, text: str) -> DataFrame:
+    """Texts that hold each term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, buf, off in W.slices(batch.column(0)):
                 starts, ends, first = W.words(buf, off, W.NOT_ALNUM)
-                h = W.hashes(buf, starts, ends, lower=True)
-                at = (h & W.U(0x7FFFFF)).astype(np.int64)
-                ok = bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
-                pairs = np.unique(np.stack([W.owner(first)[ok].astype(np.uint64), h[ok]], 1), axis=0)
-                term, n = np.unique(pairs[:, 1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
+                term, which = np.unique(W.hashes(buf, starts, ends, lower=True), return_inverse=True)
+                held = np.unique(W.owner(first) * max(len(term), 1) + which) % max(len(term), 1)
+                yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int64)), pa.array(np.bincount(held, minlength=len(term)).astype(np.int64))], names=["term", "n"])
 
     return df.select(text).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def _filter_bits(terms: DataFrame) -> np.ndarray:
-    """2**23 bits, set at the low bits of each term's hash; built by aggregation, 256 rows to the driver at most."""
-    low = F.col("term").bitwiseAND(F.lit(0x7FFFFF))
+def _filter_bits(numbers: Column, rows: DataFrame) -> np.ndarray:
+    """2**23 bits, set at the low bits of each number; built by aggregation, 256 rows to the driver at most."""
+    low = numbers.bitwiseAND(F.lit(0x7FFFFF))
     rows = (
-        terms.select((low / 32768).cast("int").alias("part"), (low % 32768).alias("bit"))
+        rows.select((low / 32768).cast("int").alias("part"), (low % 32768).alias("bit"))
         .groupBy("part")
         .agg(F.bitmap_construct_agg("bit").alias("bits"))
         .collect()
@@ -141,19 +208,34 @@ def _filter_bits(terms: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def disclosing(near: DataFrame, docs: DataFrame, text: str, total: int, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame | None:
+def disclosing(df: DataFrame, text: str, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame | None:
     """(entity, term) pairs whose term discloses the entity, or None where nothing has enough evidence.
 
     Evidence is different contexts: copies of a passage count once. The share is
-    over documents, copies too: those with the pair, the term and the entity.
+    over whole documents, copies too: those with the pair, the term and the entity.
+    Entities with fewer places than support and terms in too many documents are
+    passed over early, which loses no pair.
     """
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("row_key").alias("n_et"), F.count_distinct("mark").alias("n_marks"))
-    pairs = pairs.where(F.col("n_marks") >= support).drop("n_marks")
-    bits = _filter_bits(pairs)
+    stages = Stages(df.sparkSession, "pii")
+    held = stages.save(_entities(df, text), "held")
+    entities = held.select(F.inline("entities")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.sum("spans").alias("spans"))
+    entities = stages.save(entities.where(F.col("spans") >= support).select("entity", "n_e"), "entities")
+    bits = _filter_bits(F.col("entity"), entities)
     if not bits.any():
         return None
-    entities = near.groupBy("entity").agg(F.count_distinct("row_key").alias("n_e"))
-    joined = pairs.join(entities, "entity").join(_frequencies(docs, text, bits), "term")
+    total = df.count()
+    terms = stages.save(_frequencies(df, text), "terms")
+
+    def most(rows: DataFrame, key: str, n: str, above: float) -> tuple[dict[int, int], int]:
+        """The KNOWN most frequent above a bound, and the largest count left out."""
+        top = rows.where(F.col(n) > above).orderBy(F.desc(n)).limit(KNOWN).toArrow().to_pydict()
+        return dict(zip(top[key], top[n], strict=True)), (top[n][-1] if len(top[n]) == KNOWN else math.floor(above))
+
+    heavy, light = most(entities, "entity", "n_e", LIGHT)
+    common, _ = most(terms, "term", "n_t", min(light, total))
+    pairs = _pairs(held, bits, common, heavy, min(light, total), total, threshold)
+    pairs = pairs.groupBy("entity", "term", "mark").agg(F.sum("docs").alias("docs")).groupBy("entity", "term").agg(F.sum("docs").alias("n_et"), F.count(F.lit(1)).alias("n_marks"))
+    joined = pairs.where(F.col("n_marks") >= support).join(entities, "entity").join(terms, "term")
     information = F.greatest(F.log2(F.lit(float(total)) / F.col("n_e")), F.lit(1e-9))
     share = 1 + F.log2(F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0))) / information
     return joined.where(share >= threshold).select("entity", "term")
@@ -162,29 +244,67 @@ def disclosing(near: DataFrame, docs: DataFrame, text: str, total: int, support:
 def sanitise(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: the columns of keep, base and added spans (kind, start, end in code points), sanitised text.
 
-    Null texts count as empty and have no span; repeated rows count as documents of
-    their own; an empty table gives an empty result. Only keep and text are read.
+    added: every place of a disclosing term, in texts without its entity too, but
+    not where a pattern's span is. Null texts count as empty and have no span;
+    repeated rows count as documents of their own; an empty table gives an empty
+    result. Only keep and text are read. Each task is sent the disclosing terms, 8
+    bytes each.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
     keep = list(keep)
-    stages = Stages(df.sparkSession, "pii")
-    found = stages.save(_find(df, text, keep).withColumn("row_key", F.monotonically_increasing_id()), "found")
-    near = found.select("row_key", F.explode("near").alias("n")).select("row_key", "n.*")
-    pairs = disclosing(near, df, text, found.count(), support, threshold)
-    none = F.array().cast("array<struct<kind:string,start:long,end:long>>")
-    if pairs is None:
-        return _redact_all(found.select(*keep, "body", "base", none.alias("added")), keep)
-    span = F.struct(F.lit("term").alias("kind"), F.col("start"), F.col("end"))
-    added = near.join(pairs, ["entity", "term"]).groupBy("row_key").agg(F.array_sort(F.collect_set(span)).alias("added"))
-    return _redact_all(found.join(added, "row_key", "left").select(*keep, "body", "base", F.coalesce("added", none).alias("added")), keep)
-
-
-def _redact_all(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, base and added of rows, and body with all spans replaced as sanitised."""
-    @F.pandas_udf("string")
-    def sanitised(body: pd.Series, base: pd.Series, added: pd.Series) -> pd.Series:
-        return pd.Series([redact(x, [(s["kind"], s["start"], s["end"]) for s in [*b, *a]]) for x, b, a in zip(body, base, added, strict=True)], dtype=object)
-
-    return rows.select(*keep, "base", "added", sanitised("body", "base", "added").alias("sanitised"))
+    full = StructType([df.schema[c] for c in keep] + StructType.fromDDL(MARKED).fields)
+    schema = to_arrow_schema(full)
+    pairs = disclosing(df, text, support, threshold)
+    terms = np.zeros(0, np.int64) if pairs is None else np.sort(pairs.select("term").distinct().toArrow()["term"].to_numpy())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, buf, off in W.slices(batch.column(len(keep))):
+                at = _places(buf, off, terms)
+                cols: list[list] = [[], [], []]
+                for i in range(lo, hi):
+                    body = batch.column(len(keep))[i].as_py() or ""
+                    base = base_spans(body)
+                    added = [("term", a, b) for a, b in _outside(at.get(i - lo, []), base)]
+                    for to, x in zip(cols, (base, added), strict=False):
+                        to.append([{"kind": k, "start": a, "end": b} for k, a, b in x])
+                    cols[2].append(redact(body, [*base, *added]))
+                kept = [batch.column(i).slice(lo, hi - lo).cast(schema.field(i).type) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays(kept + [pa.array(c, schema.field(len(keep) + i).type) for i, c in enumerate(cols)], schema=schema)
+
+    return df.select(*keep, text).mapInArrow(run, full)
+
+
+MARKED = "base array<struct<kind:string,start:long,end:long>>, added array<struct<kind:string,start:long,end:long>>, sanitised string"
+
+
+def _places(buf: np.ndarray, off: np.ndarray, terms: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """Starts and ends in code points of the words among terms (sorted hashes), by text number."""
+    if not len(terms):
+        return {}
+    starts, ends, first = W.words(buf, off, W.NOT_ALNUM)
+    h = W.hashes(buf, starts, ends, lower=True).astype(np.int64)
+    hit = np.flatnonzero(terms[np.minimum(np.searchsorted(terms, h), len(terms) - 1)] == h)
+    if not len(hit):
+        return {}
+    points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    text = W.owner(first)[hit]
+    out: dict[int, list[tuple[int, int]]] = {}
+    for i, a, b in zip(text.tolist(), (points[starts[hit]] - points[off[text]]).tolist(), (points[ends[hit]] - points[off[text]]).tolist(), strict=True):
+        out.setdefault(i, []).append((a, b))
+    return out
+
+
+def _outside(places: list[tuple[int, int]], spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Those of places, in order, that overlap no span."""
+    ends = [b for _, b in places]
+    starts = [a for a, _ in places]
+    gone: set[int] = set()
+    for _, a, b in spans:
+        gone.update(range(bisect_right(ends, a), bisect_left(starts, b)))
+    return [x for i, x in enumerate(places) if i not in gone]
 
 
 def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str:

@@ -56,3 +56,21 @@ def test_copies_do_not_hide_a_disclosing_term(spark):
     rows = [*told[:1] * 30, *told[1:], *["nothing to see here"] * 200]
     got = by_id(pii.sanitise(spark.createDataFrame(rows_of(rows), SCHEMA)))
     assert all([rows[i][s["start"] : s["end"]] for s in got[i]["added"]] == (["call", "Zanzibarov"] if i < 32 else []) for i in range(len(rows)))
+
+
+def test_terms_far_from_their_entity_and_without_it(spark):
+    body = lambda i: " ".join(f"plain{i}x{k}" for k in range(30))
+    rows = [f"Zanzibarov notes {body(i)} zanzibarov\n{body(i + 50)} zz@corp.example" for i in range(4)]
+    rows += ["seen Ünder Zanzibarov, only", "Zanzibarov", *["nothing to see here"] * 100, None]
+    got = by_id(pii.sanitise(spark.createDataFrame(rows_of(rows), SCHEMA)))
+    added = [[rows[i][s["start"] : s["end"]] for s in got[i]["added"]] for i in range(len(rows))]
+    assert added == [["Zanzibarov", "notes", "zanzibarov"]] * 4 + [["Zanzibarov"], ["Zanzibarov"]] + [[]] * 101
+    assert got[4]["sanitised"] == "seen Ünder [TERM], only" and got[0]["sanitised"].endswith("[EMAIL]")
+
+
+def test_early_pruning_loses_no_pair(spark, monkeypatch):
+    rows = [f"Zanzibarov {'often' if i % 2 else 'seldom'} word{i} far {'x ' * 20} zz@corp.example {i}" for i in range(40)] + [f"far often {i}" for i in range(300)]
+    df = spark.createDataFrame(rows_of(rows), SCHEMA)
+    want = {tuple(r) for r in pii.disclosing(df, "text").collect()}
+    monkeypatch.setattr(pii, "LIGHT", 1)
+    assert {tuple(r) for r in pii.disclosing(df, "text").collect()} == want and {t for _, t in want} == {pii._hash("zanzibarov"), pii._hash("seldom")}
