@@ -59,6 +59,8 @@ RULES = (
 # Where sentences end: closing punctuation and white space, and every line break, or every empty line and colon before a line break.
 _BY_LINE = r"[.!?][\x09-\x0D\x20]+|\n"
 _BY_PARAGRAPH = r"[.!?][\x09-\x0D\x20]+|:[\x09\x20]*\n|\n[\x09\x0B-\x0D\x20]*\n"
+# As by paragraph, where a line of comment marks alone is empty too. Each of these ends is one by line.
+_BY_BLOCK = r"[.!?][\x09-\x0D\x20]+|:[\x09\x20]*\n|\n[\x09\x0B-\x0D\x20#*/;%!-]*\n"
 
 
 def normal(sentence: str) -> str:
@@ -72,30 +74,38 @@ def _cue() -> str:
     return "^[^a-z0-9]*(?:" + "|".join("[^a-z0-9]+".join(x) for x in starts) + ")"
 
 
-def _sequence(text: Column, ends: str) -> tuple[Column, Column]:
-    """(identifiers in order, number of sentences). Only sentences that start like a known one are normalised."""
+def _sequence(text: Column) -> tuple[Column, Column]:
+    """(identifiers in order, number of sentences by line). Only sentences that start like a known one are normalised.
+
+    A block that is a known sentence as a whole gives that one; any other block
+    gives the known ones among its lines. So both splits count, in order.
+    """
     known = F.create_map(*(F.lit(x) for k, s in SENTENCES.items() for x in (normal(s), k)))
-    parts = F.split(F.lower(text), ends)
-    likely = F.filter(parts, lambda s: s.rlike(_cue()))
-    found = F.transform(likely, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))))
-    return F.filter(found, lambda k: k.isNotNull()), F.size(F.filter(parts, lambda s: s.rlike("[a-z0-9]")))
+    none = F.array().cast("array<string>")
+
+    def identifier(s: Column) -> Column:
+        return F.when(s.rlike(_cue()), F.try_element_at(known, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))))
+
+    def by_line(block: Column) -> Column:
+        return F.when(F.contains(block, F.lit("\n")), F.filter(F.transform(F.split(block, _BY_LINE), identifier), lambda k: k.isNotNull())).otherwise(none)
+
+    blocks = F.transform(F.split(F.lower(text), _BY_BLOCK), lambda b: F.struct(b.alias("block"), identifier(b).alias("whole")))
+    found = F.flatten(F.transform(blocks, lambda b: F.when(b["whole"].isNotNull(), F.array(b["whole"])).otherwise(by_line(b["block"]))))
+    return found, F.size(F.filter(F.split(F.lower(text), _BY_LINE), lambda s: s.rlike("[a-z0-9]")))
 
 
 def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per input row: the columns of keep, n_sentences, sentence_ids and licenses.
 
-    sentence_ids: identifiers of the known sentences in order. Texts that wrap
-    sentences over lines are read by paragraphs where that knows more of them.
+    sentence_ids: identifiers of the known sentences in order, those that stand on
+    one line and those that are wrapped over the lines of a paragraph.
     licenses: names of the rules that claimed a run, in rule order, each once; a
     claimed run is gone for later rules. Null and empty texts have no sentence. Only
     keep and text are read, so extra columns cannot clash.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    by_line, count = _sequence(body, _BY_LINE)
-    by_paragraph, _ = _sequence(body, _BY_PARAGRAPH)
-    rows = df.select(*keep, by_line.alias("_lines"), count.cast("long").alias("n_sentences"), by_paragraph.alias("_paragraphs"))
-    ids = F.when(F.size("_paragraphs") > F.size("_lines"), F.col("_paragraphs")).otherwise(F.col("_lines"))
-    rows = rows.select(*keep, "n_sentences", ids.alias("sentence_ids"))
+    ids, count = _sequence(body)
+    rows = df.select(*keep, count.cast("long").alias("n_sentences"), ids.alias("sentence_ids"))
     left, claims = F.concat_ws("", F.transform("sentence_ids", lambda k: F.concat(F.lit("<"), k, F.lit(">")))), []
     for name, run in RULES:
         pattern = "".join(f"<{k}>" for k in run)
@@ -106,7 +116,7 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",))
 
 
 def oracle(table: str = "documents") -> str:
-    """DuckDB SQL for scan() with the lists comma-joined."""
+    """DuckDB SQL for scan() with the lists comma-joined, where one split knows all that both know and no comment mark stands alone."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = "MAP {" + ", ".join(f"{quote(normal(s))}: {quote(k)}" for k, s in SENTENCES.items()) + "}"
 

@@ -6,7 +6,7 @@ import collections
 import hashlib
 
 import public_tokenizers
-from lectern.llm import media, packing, pii, substrings
+from lectern.llm import licenses, media, packing, pii, substrings
 from llm.test_llm import SCHEMA, WORD, by_id, corpus, rows_of
 
 
@@ -74,3 +74,17 @@ def test_early_pruning_loses_no_pair(spark, monkeypatch):
     want = {tuple(r) for r in pii.disclosing(df, "text").collect()}
     monkeypatch.setattr(pii, "LIGHT", 1)
     assert {tuple(r) for r in pii.disclosing(df, "text").collect()} == want and {t for _, t in want} == {pii._hash("zanzibarov"), pii._hash("seldom")}
+
+
+def test_licenses_of_both_splits(spark):
+    s = licenses.SENTENCES
+    header = s["apache-2-header"].replace("you may", "\n# you may").replace("except in", "except\n# in")
+    grant = s["mit-grant"].replace(" copies", "\ncopies")
+    texts = [
+        f"# Copyright 2020 X\n# All rights reserved.\n# {header}\n#\n# {s['apache-2-copy']}\n#\n# {s['apache-2-as-is'].replace('software', chr(10) + '# software')}\n",
+        f"Heading\nReleased under the MIT License.\n\n{grant}\n\n{s['mit-notice']}\n{s['cc0'].replace('author', chr(10) + 'author')}",
+        f"notes\n#\n# {grant}\n#\n# more",
+    ]
+    got = by_id(licenses.scan(spark.createDataFrame(rows_of(texts), SCHEMA)))
+    assert [got[i]["sentence_ids"] for i in range(3)] == [["all-rights", "apache-2-header", "apache-2-copy", "apache-2-as-is"], ["mit-released", "mit-grant", "mit-notice", "cc0"], ["mit-grant"]]
+    assert [got[i]["licenses"] for i in range(3)] == [["Apache-2.0", "all-rights-reserved"], ["MIT", "CC0-1.0"], ["MIT"]]
