@@ -27,7 +27,7 @@ from lectern.llm.eliasfano import Level
 from lectern.llm.shared import Stages
 
 BLOCK_BYTES = 8 << 20
-#: Tokens a shard answers for, about; the discount of pairs; quantisation steps for a factor of ten.
+#: Tokens a shard answers for, about; the discount of pairs; most quantisation steps for a factor of ten.
 SHARD_TOKENS = 3_000_000
 DISCOUNT = 0.75
 STEPS = 32
@@ -35,13 +35,22 @@ _END = W.U(0x5851F42D4C957F2D)
 _NONE = 0xFFFFFFFF
 
 
-def quantise(count: np.ndarray) -> np.ndarray:
+def steps_for(largest: int) -> float:
+    """Steps for a factor of ten with which codes reach the largest possible count."""
+    return min(STEPS, 254 / math.log10((max(largest, 2) - DISCOUNT) / (1 - DISCOUNT)))
+
+
+def quantise(count: np.ndarray, steps: float = STEPS) -> np.ndarray:
     """A one-byte code, from 1, of the discounted mass count - DISCOUNT on a logarithmic scale."""
-    return np.clip(1 + np.rint(STEPS * np.log10((count - DISCOUNT) / (1 - DISCOUNT))), 1, 255).astype(np.uint8)
+    code = 1 + np.rint(steps * np.log10((count - DISCOUNT) / (1 - DISCOUNT)))
+    if len(code) and code.max() > 255:
+        raise ValueError("a count is beyond the codes")
+    return code.astype(np.uint8)
 
 
-#: The discounted mass of each code; 0 for pairs that never occurred.
-MASS = np.concatenate([[0.0], (1 - DISCOUNT) * 10 ** (np.arange(255) / STEPS)])
+def masses(steps: float = STEPS) -> np.ndarray:
+    """The discounted mass of each code; 0 for pairs that never occurred."""
+    return np.concatenate([[0.0], (1 - DISCOUNT) * 10 ** (np.arange(255) / steps)])
 
 BLOCK = "doc_ids binary, train binary, bounds binary, tokens binary, vocabulary binary"
 
@@ -228,13 +237,13 @@ def _ask_pairs(aligned: DataFrame, n: int, shards: int) -> DataFrame:
 SAY_PAIRS = "shard int, block long, followers binary, codes binary"
 
 
-def answer_pairs(asked: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+def answer_pairs(asked: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], steps: float = STEPS) -> list[tuple[np.ndarray, np.ndarray]]:
     """Build a shard's level from training counts and answer every request (contexts, sizes, words, counts) with (followers, codes)."""
     keys = [np.repeat(c.astype(np.uint64) << W.U(32), s) | w for c, s, w, _ in asked]
     counts = [k for *_, k in asked]
     unique, which = np.unique(np.concatenate([k[c > 0] for k, c in zip(keys, counts, strict=True)]), return_inverse=True)
     total = np.bincount(which, np.concatenate([c[c > 0] for c in counts]), len(unique))
-    level = Level((unique >> W.U(32)).astype(np.int64), (unique & W.U(0xFFFFFFFF)).astype(np.int64), quantise(total))
+    level = Level((unique >> W.U(32)).astype(np.int64), (unique & W.U(0xFFFFFFFF)).astype(np.int64), quantise(total, steps))
     out = []
     with tempfile.TemporaryDirectory() as folder:
         level.save(os.path.join(folder, "level"))
@@ -245,10 +254,10 @@ def answer_pairs(asked: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return out
 
 
-def _say_pairs(asked: DataFrame) -> DataFrame:
+def _say_pairs(asked: DataFrame, steps: float) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         rows = [tuple(_array(table[c][i].as_py(), "<u4") for c in ("contexts", "sizes", "words", "counts")) for i in range(table.num_rows)]
-        said = answer_pairs(rows)
+        said = answer_pairs(rows, steps)
         return pa.table([table["shard"].combine_chunks(), table["block"].combine_chunks(), pa.array([_raw(f, "<u4") for f, _ in said], pa.binary()), pa.array([c.tobytes() for _, c in said], pa.binary())], names=["shard", "block", "followers", "codes"])
 
     return asked.groupBy("shard").applyInArrow(run, SAY_PAIRS)
@@ -258,6 +267,8 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def _score(aligned: DataFrame, said: DataFrame, n: int, v: int, rest: float, shards: int) -> DataFrame:
+    table = masses(steps_for(n))
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = {c: left[c][0].as_py() for c in _ALIGNED}
         b, ids, counts = _known(row)
@@ -270,7 +281,7 @@ def _score(aligned: DataFrame, said: DataFrame, n: int, v: int, rest: float, sha
             followers = np.concatenate([_array(x.as_py(), "<u4") for x in right["followers"]])
             codes = np.concatenate([_array(x.as_py(), "u1") for x in right["codes"]])
             by_pair = np.empty(len(codes))
-            by_pair[p.order] = MASS[codes]
+            by_pair[p.order] = table[codes]
             mass[p.ok] = by_pair[p.which]
             follow = np.bincount(p.v[p.head], followers, len(counts))  # over the shards a context is dealt to
         c, single = counts[p.before], uni[b.tokens]
@@ -303,5 +314,5 @@ def score(df: DataFrame, train: Column, text: str = "text", doc_id: str = "doc_i
     rest = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
     aligned = stages.save(_align(blocks, words), "aligned")
     stages.drop(blocks, words)
-    pairs = stages.save(_say_pairs(_ask_pairs(aligned, n, shards)), "pairs")
+    pairs = stages.save(_say_pairs(_ask_pairs(aligned, n, shards), steps_for(n)), "pairs")
     return _score(aligned, pairs, n, v, rest, shards)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import collections
 import hashlib
 
+import numpy as np
 import public_tokenizers
-from lectern.llm import licenses, media, packing, pii, substrings
+from lectern.llm import licenses, lm, media, packing, pii, substrings
 from llm.test_llm import SCHEMA, WORD, by_id, corpus, rows_of
 
 
@@ -88,3 +89,11 @@ def test_licenses_of_both_splits(spark):
     got = by_id(licenses.scan(spark.createDataFrame(rows_of(texts), SCHEMA)))
     assert [got[i]["sentence_ids"] for i in range(3)] == [["all-rights", "apache-2-header", "apache-2-copy", "apache-2-as-is"], ["mit-released", "mit-grant", "mit-notice", "cc0"], ["mit-grant"]]
     assert [got[i]["licenses"] for i in range(3)] == [["Apache-2.0", "all-rights-reserved"], ["MIT", "CC0-1.0"], ["MIT"]]
+
+
+def test_codes_reach_the_largest_count():
+    for largest in (10, 10**7, 10**9, 10**12):
+        steps, counts = lm.steps_for(largest), np.unique(np.geomspace(1, largest, 500).astype(np.int64))
+        ratio = lm.masses(steps)[lm.quantise(counts, steps)] / (counts - lm.DISCOUNT)
+        assert np.abs(np.log10(ratio)).max() <= 0.5 / steps + 1e-9
+    assert lm.steps_for(2 * 10**7) == lm.STEPS
