@@ -12,7 +12,9 @@ def components(edges: DataFrame, stages: Stages, most: int = 60) -> DataFrame:
     """(id, comp): the smallest id reachable over edges (a, b), for every id on an edge.
 
     Each round takes the smallest label among neighbours and then the label of that
-    label, so long chains shrink fast; rounds are written tables.
+    label, so long chains shrink fast; rounds are written tables. Edges whose ends
+    agree already can still carry a smaller label on, so all of them stay; callers
+    contract what earlier edges joined.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = stages.save(both, "links")

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
 import re
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Seconds of a write that leave too few shuffle files to clean up after at once.
-SMALL_S = 1.0
+#: Frees a write's shuffle files as soon as its table stands; nothing reads them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _fallback: dict[str, str] = {}
 
 
@@ -28,33 +28,46 @@ def shared_root(spark: SparkSession) -> str:
     return _fallback[key]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 class Stages:
-    """Parquet tables that cut lineage; a lost executor costs only the running stage."""
+    """Parquet tables that cut lineage; a lost executor costs only the running stage.
+
+    Tables that a returned result still reads stay until the application ends, the
+    others until drop(); the shuffle files behind a table go when it is written.
+    """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        jvm, conf, root = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), self.root
+
+        def clear() -> None:
+            with contextlib.suppress(Exception):  # the gateway may be gone with the application
+                target = jvm.org.apache.hadoop.fs.Path(root)
+                target.getFileSystem(conf).delete(target, True)
+
+        atexit.register(clear)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as a table and return the table."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        start = time.monotonic()
-        df.write.option("compression", "zstd").parquet(path)
-        took = time.monotonic() - start
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stage_path = path  # type: ignore[attr-defined]
-        if took > SMALL_S:
-            # what the table replaces is garbage now; the cleaner then frees its shuffle files
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._stage_path)  # type: ignore[attr-defined]
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, table._stage_path)  # type: ignore[attr-defined]
