@@ -18,7 +18,7 @@ So no link between different sets that share a bucket is lost.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -207,37 +207,32 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("rep", "regs", "text").mapInArrow(run, "rep long, n long, regs binary, bits array<long>, x binary")
 
 
-def _allowed(percent: int, n: Column | np.ndarray, m: Column | np.ndarray) -> Column | np.ndarray:
-    """(100 + percent) times the shingles in which two similar sets of n and m differ at most."""
-    return (100 - percent) * (n + m)
+def _may_link(percent: int, n: str, m: str, bits: Callable[[int], tuple[Column, Column]]) -> Column:
+    """Whether bitmaps differ in no more bits than two similar sets of n and m shingles may differ in shingles."""
+    differ = reduce(lambda x, y: x + y, (F.bit_count(p.bitwiseXOR(q)) for p, q in map(bits, range(PARITY))))
+    return (100 + percent) * differ <= (100 - percent) * (F.col(n) + F.col(m))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, judged: bool = False) -> DataFrame:
-    """The pairs (a, b, ca, cb) whose full sets reach the threshold; sketches rule most others out first, unless judged already."""
+    """The pairs (a, b, ca, cb) whose full sets reach the threshold; bitmaps (unless judged already) and estimates rule most others out first."""
     t = percent / 100
     floor = t - ERRORS * math.sqrt(t * (1 - t) / REGISTERS)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                n, m = (part.column(i).to_numpy() for i in (4, 5))
-                bits = [part.column(i).flatten().to_numpy().astype(np.uint64).reshape(-1, PARITY) for i in (6, 7)]
-                differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
-                near = estimate(_matrix(part.column(8)), _matrix(part.column(9)))
-                good = ((100 + percent) * differ <= _allowed(percent, n, m)) & ((near >= floor) | (np.minimum(n, m) < ESTIMATED))
-                yield pa.RecordBatch.from_arrays([part.column(i).filter(pa.array(good)) for i in range(4)], names=["a", "b", "ca", "cb"])
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for i, (p, q) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
-                p, q = (np.frombuffer(v.as_buffer(), "<u8") for v in (p, q))
-                p, q = (p, q) if len(p) <= len(q) else (q, p)
-                found = np.searchsorted(q, p)
-                common = int(np.count_nonzero(q[np.minimum(found, len(q) - 1)] == p)) if len(q) else 0
-                if 100 * common >= percent * (len(p) + len(q) - common):
-                    good.append(i)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                near = estimate(_matrix(part.column(6)), _matrix(part.column(7)))
+                for i, (p, q) in enumerate(zip(part.column(4), part.column(5), strict=True)):
+                    p, q = (np.frombuffer(v.as_buffer(), "<u8") for v in (p, q))
+                    p, q = (p, q) if len(p) <= len(q) else (q, p)
+                    if len(p) >= ESTIMATED and near[i] < floor:
+                        continue
+                    found = np.searchsorted(q, p)
+                    common = int(np.count_nonzero(q[np.minimum(found, len(q) - 1)] == p)) if len(q) else 0
+                    if 100 * common >= percent * (len(p) + len(q) - common):
+                        good.append(lo + i)
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(good, pa.int64())) for i in range(4)], names=["a", "b", "ca", "cb"])
 
     def both(frame: DataFrame, *what: str) -> DataFrame:
@@ -245,8 +240,9 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, judged: bool = Fal
         return frame.join(two, "b").join(one, "a").select("a", "b", "ca", "cb", *(f"{w}_{c}" for w in what for c in "ab"))
 
     if not judged:
-        pairs = both(pairs, "n", "bits", "regs").mapInArrow(judge, "a long, b long, ca long, cb long")
-    return both(pairs, "x").mapInArrow(verify, "a long, b long, ca long, cb long")
+        bits = lambda i: (F.col("bits_a")[i], F.col("bits_b")[i])
+        pairs = both(pairs, "n", "bits").where(_may_link(percent, "n_a", "n_b", bits)).select("a", "b", "ca", "cb")
+    return both(pairs, "x", "regs").mapInArrow(verify, "a long, b long, ca long, cb long")
 
 
 def _tokens(sets: DataFrame) -> DataFrame:
@@ -288,10 +284,9 @@ def _prefix_pairs(named: DataFrame, sets: DataFrame, stages: Stages, percent: in
     first = first.select("*", *(F.col("bits")[i].alias(f"p{i}") for i in range(PARITY))).drop("bits")
     other = first.select("x", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("comp").alias("cb"), F.col("i").alias("j"), *(F.col(f"p{i}").alias(f"q{i}") for i in range(PARITY)))
     reach = 1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
-    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(PARITY)))
     pairs = first.withColumnRenamed("rep", "a").withColumnRenamed("comp", "ca").join(other, "x")
     pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits(percent) & (100 * reach >= percent * (F.col("n") + F.col("m") - reach)))
-    return pairs.where((100 + percent) * differ <= _allowed(percent, F.col("n"), F.col("m")))
+    return pairs.where(_may_link(percent, "n", "m", lambda i: (F.col(f"p{i}"), F.col(f"q{i}"))))
 
 
 def _fits(percent: int) -> Column:
