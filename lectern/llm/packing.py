@@ -104,7 +104,9 @@ class WordTokens:
         if b"<|" in buf.tobytes():  # names of special tokens keep their case and punctuation
             starts, ends, first = W.words(buf, off)
         else:
-            buf = _LOWER[buf]
+            low = _LOWER[buf]
+            # a capital before a mark keeps its case: the tokenizer composes the two before it lower-cases
+            buf = np.where((low != buf) & (np.append(buf[1:], np.uint8(0)) >= 128), buf, low)
             starts, ends, first = self._parts(buf, off)
         _, at, which = np.unique(W.hashes(buf, starts, ends), return_index=True, return_inverse=True)
         raw = buf.tobytes()
@@ -126,9 +128,11 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_i
 
     tokenizer is the path of a tokenizers file, the same on every machine. Each row
     of df is a document, repeated rows too; a null or empty text is the end id
-    alone; a null doc_id stays null. ids are the token ids of the piece, ids_crc32 is
-    over their little-endian 32-bit form, bucket is log2 of the length, offset is 0,
-    and sequence_id is unique in the result. Other columns are not read.
+    alone; a null doc_id stays null; a text of any length is cut whole; an empty table
+    gives an empty result. ids are the token ids of the piece, ids_crc32 is over
+    their little-endian 32-bit form, bucket is log2 of the length and offset is 0.
+    sequence_id is unique in the result but numbers the pieces of one partitioning of
+    df. Only text and doc_id are read, so other columns cannot clash.
     """
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
