@@ -153,12 +153,17 @@ class Level:
             base[later] = self.words.access(first[later] - 1) + 1
         return first, end, base
 
-    def find(self, first: np.ndarray, end: np.ndarray, base: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The code of each word after its context's range, 0 where it never followed."""
-        out = np.zeros(len(word), np.uint8)
+    def place(self, first: np.ndarray, end: np.ndarray, base: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Where each word stands after its context's range begins, -1 where it never followed."""
+        out = np.full(len(word), -1, np.int64)
         some = np.flatnonzero(end > first)
         if len(some):
             at, hit = self.words.successor(base[some] + word[some])
             ok = hit & (at >= first[some]) & (at < end[some])
-            out[some[ok]] = self.codes[at[ok]]
+            out[some[ok]] = at[ok]
         return out
+
+    def find(self, first: np.ndarray, end: np.ndarray, base: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The code of each word after its context's range, 0 where it never followed."""
+        at = self.place(first, end, base, word)
+        return np.where(at >= 0, self.codes[np.maximum(at, 0)], 0) if len(self.codes) else np.zeros(len(word), np.uint8)

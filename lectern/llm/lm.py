@@ -1,13 +1,18 @@
 """Language-model scoring with an Elias-Fano n-gram trie in shards.
 
 Texts become blocks of about 8 MB. Blocks ask word shards for the ids and counts
-of their different words, then trie shards for the successors of their
-different word pairs; each shard builds its levels from the training part of
-what it is asked, maps them into memory and answers by context-relative
-successor search. Only different words and pairs of a block travel, ids are
-dense and answers are one byte, and a context too frequent for one shard is
-dealt over several by its successors. The model interpolates absolutely
-discounted pairs with absolutely discounted words; unknown words are one class.
+of their different words, then, order by order, trie shards for the children of
+their different contexts: words under words, then words under word pairs. Each
+shard builds one level from the training part of what it is asked, maps it into
+memory and answers by context-relative successor search; a node's place is its
+id, by which the next order's pointers find its children. Levels keep absolutely
+discounted probabilities in one byte, on a logarithmic scale that reaches from 1
+down to the least one the corpus can hold. Only different words and grams of a
+block travel, and a context too frequent for one shard is dealt over several by
+its successors. Messages between blocks and many shards go through relays, each
+for a range of shards and a batch of blocks, so that a block sends a bounded
+number of rows. A text's probability interpolates orders 3, 2 and 1; unknown
+words are one class.
 """
 
 from __future__ import annotations
@@ -27,44 +32,52 @@ from lectern.llm.eliasfano import Level
 from lectern.llm.shared import Stages
 
 BLOCK_BYTES = 8 << 20
-#: Tokens a shard answers for, about; the discount of pairs; most quantisation steps for a factor of ten.
+#: Tokens a shard answers for, about; ranges of shards, and blocks in a batch, that a relay serves.
 SHARD_TOKENS = 3_000_000
+FAN = 128
+#: The longest grams; the absolute discount; how often a word pair must occur to be a context.
+ORDER = 3
 DISCOUNT = 0.75
-STEPS = 32
+LEAST = 2
 _END = W.U(0x5851F42D4C957F2D)
-_NONE = 0xFFFFFFFF
+_NONE = (1 << 40) - 1
 
 
-def steps_for(largest: int) -> float:
-    """Steps for a factor of ten with which codes reach the largest possible count."""
-    return min(STEPS, 254 / math.log10((max(largest, 2) - DISCOUNT) / (1 - DISCOUNT)))
+def step_for(tokens: int) -> float:
+    """Powers of ten between two codes, so that they reach the least discounted probability among so many tokens."""
+    return math.log10(max(tokens, 2) / (1 - DISCOUNT)) / 254
 
 
-def quantise(count: np.ndarray, steps: float = STEPS) -> np.ndarray:
-    """A one-byte code, from 1, of the discounted mass count - DISCOUNT on a logarithmic scale."""
-    code = 1 + np.rint(steps * np.log10((count - DISCOUNT) / (1 - DISCOUNT)))
-    if len(code) and code.max() > 255:
-        raise ValueError("a count is beyond the codes")
+def quantise(p: np.ndarray, step: float) -> np.ndarray:
+    """A one-byte code, from 1, of probabilities on a logarithmic scale."""
+    code = 1 + np.rint(-np.log10(p) / step)
+    if len(code) and not 1 <= code.min() <= code.max() <= 255:
+        raise ValueError("a probability is beyond the codes")
     return code.astype(np.uint8)
 
 
-def masses(steps: float = STEPS) -> np.ndarray:
-    """The discounted mass of each code; 0 for pairs that never occurred."""
-    return np.concatenate([[0.0], (1 - DISCOUNT) * 10 ** (np.arange(255) / steps)])
+def probabilities(step: float) -> np.ndarray:
+    """The probability of each code; 0 for grams that never occurred."""
+    return np.concatenate([[0.0], 10 ** (-np.arange(255) * step)])
 
-BLOCK = "doc_ids binary, train binary, bounds binary, tokens binary, vocabulary binary"
 
+def _pack(x: np.ndarray) -> bytes:
+    """Unsigned numbers byte by byte, all lowest bytes first, without the bytes that all have 0; a first byte says how many are left."""
+    x = np.ascontiguousarray(x.astype("<u8"))
+    size = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([size]) + x.view("u1").reshape(-1, 8)[:, :size].T.tobytes()
 
-def _raw(x: np.ndarray, kind: str) -> bytes:
-    """The numbers byte by byte, all lowest bytes first: ids and counts are small, so most of it compresses away."""
-    x = np.ascontiguousarray(x.astype(kind))
-    return x.view("u1").reshape(-1, x.itemsize).T.tobytes()
 
+def _unpack(raw: bytes) -> np.ndarray:
+    """What _pack() wrote, as 64-bit integers."""
+    body = np.frombuffer(raw, "u1", offset=1).reshape(raw[0], -1)
+    out = np.zeros((body.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = body.T
+    return out.view("<i8").reshape(-1)
 
-def _array(raw: bytes, kind: str) -> np.ndarray:
-    """What _raw() wrote."""
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(size, -1).T).view(kind).reshape(-1)
+
+BLOCK = "doc_ids binary, train binary, bounds binary, tokens binary, vocabulary binary, n_tokens long"
+_BLOCK = ["doc_ids", "train", "bounds", "tokens"]
 
 
 def _blocks(df: DataFrame) -> DataFrame:
@@ -82,237 +95,372 @@ def _blocks(df: DataFrame) -> DataFrame:
                 h[bounds[1:] - 1] = _END
                 vocabulary, tokens = np.unique(h, return_inverse=True)
                 ids = pa.array(batch.column(0).slice(lo, n)).cast(pa.int64())
-                row = (_raw(ids.fill_null(0).to_numpy(), "<i8") + _raw(ids.is_null().to_numpy(zero_copy_only=False), "u1"), _raw(train[lo:hi], "u1"), _raw(bounds, "<i8"), _raw(tokens, "<u4"), _raw(vocabulary, "<u8"))
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["doc_ids", "train", "bounds", "tokens", "vocabulary"])
+                packed = _pack(np.append(ids.fill_null(0).to_numpy().view(np.uint64), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint64)))
+                row = (packed, _pack(train[lo:hi]), _pack(bounds), _pack(tokens), _pack(vocabulary))
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in row), pa.array([len(tokens)])], names=[*_BLOCK, "vocabulary", "n_tokens"])
 
     return df.mapInArrow(run, BLOCK)
 
 
 class Block:
-    """A block row as arrays."""
+    """A block row as arrays, as far as its stage knows them."""
 
     def __init__(self, row: dict) -> None:
-        n = len(row["train"])
-        self.ids = _array(row["doc_ids"][: 8 * n], "<i8")
-        self.no_id = _array(row["doc_ids"][8 * n :], "u1").astype(bool)
-        self.train = _array(row["train"], "u1").astype(bool)
-        self.bounds = _array(row["bounds"], "<i8")
-        self.tokens = _array(row["tokens"], "<u4").astype(np.int64)
-        self.vocabulary = _array(row["vocabulary"], "<u8")
-        self.owner = np.repeat(np.arange(n), np.diff(self.bounds))
-
-
-ASK_WORDS = "shard int, block long, words binary, counts binary"
-
-
-def _word_shard(h: np.ndarray, shards: int) -> np.ndarray:
-    """Sorted hashes fall into rising shards."""
-    return ((h >> W.U(32)) * W.U(shards) >> W.U(32)).astype(np.int64)
-
-
-def _rows(table: pa.RecordBatch | pa.Table, names: list[str]) -> Iterator[dict]:
-    for i in range(table.num_rows):
-        yield {n: table.column(n)[i].as_py() for n in names}
-
-
-_NAMES = ["block", "doc_ids", "train", "bounds", "tokens", "vocabulary"]
+        ids = _unpack(row["doc_ids"])
+        self.ids, self.no_id = np.split(ids, 2)
+        self.train = _unpack(row["train"]).astype(bool)
+        self.bounds, self.tokens = _unpack(row["bounds"]), _unpack(row["tokens"])
+        self.owner = np.repeat(np.arange(len(self.train)), np.diff(self.bounds))
+        self.learns = self.train[self.owner]
+        for name in ("vocabulary", "word_ids", "counts", "codes", "follow", "pair_counts"):
+            if name in row:
+                setattr(self, name, _unpack(row[name]))
+        if "pair_ids" in row:
+            self.pair_ids = np.zeros(len(self.pair_counts), np.int64)
+            self.pair_ids[self.pair_counts >= LEAST] = _unpack(row["pair_ids"])
+
+
+# Messages. A block's row holds one parcel for each shard of a range; a shard's row holds parcels of one or more blocks.
+
+ASKED = "part int, block long, items array<struct<shard:int,a:binary,b:binary,c:binary,d:binary,e:binary>>"
+_PARCEL = pa.list_(pa.struct([("shard", pa.int32()), *((c, pa.binary()) for c in "abcde")]))
+SAID = "shard int, items array<struct<block:long,x:binary,y:binary,z:binary,u:binary>>, n long, v long, n1 long, n2 long"
+_ANSWER = pa.list_(pa.struct([("block", pa.int64()), *((c, pa.binary()) for c in "xyzu")]))
+
+
+def _span(shards: int) -> int:
+    """Shards in a range."""
+    return -(-shards // FAN)
+
+
+def _ask_rows(block: int, parcels: list[tuple[int, list[bytes]]], span: int) -> pa.RecordBatch:
+    """A block's parcels (shard, contents), one row for each range of shards."""
+    parts: dict[int, list[dict]] = {}
+    for shard, contents in parcels:
+        item = {"shard": shard, **dict(zip("abcde", contents, strict=False))}
+        parts.setdefault(shard // span, []).append(item)
+    return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array(list(parts.values()), _PARCEL)], names=["part", "block", "items"])
+
+
+def _deliver(asked: DataFrame, shards: int, blocks: int) -> DataFrame:
+    """(shard, items): rows of parcels for each shard."""
+    span = _span(shards)
+    fields = lambda i, block: F.struct(block.alias("block"), *(i[c].alias(c) for c in "abcde"))
+    if span == 1:
+        return asked.select(F.col("part").alias("shard"), F.transform("items", lambda i: fields(i, F.col("block"))).alias("items"))
+    batch = F.pmod(F.xxhash64("block"), F.lit(-(-blocks // FAN))).alias("batch")
+    met = asked.groupBy("part", batch).agg(F.collect_list(F.struct("block", "items")).alias("rows"))
+    each = met.select("rows", F.explode(F.sequence(F.col("part") * span, F.col("part") * span + span - 1)).alias("shard"))
+    own = F.flatten(F.transform("rows", lambda r: F.transform(F.filter(r["items"], lambda i: i["shard"] == F.col("shard")), lambda i: fields(i, r["block"]))))
+    return each.select("shard", own.alias("items")).where(F.size("items") > 0)
+
+
+def _return(said: DataFrame, shards: int, blocks: int) -> DataFrame:
+    """(block, items): rows of answers for each block."""
+    span = _span(shards)
+    fields = lambda i, shard: F.struct(shard.alias("shard"), *(i[c].alias(c) for c in "xyzu"))
+    if span == 1:
+        return said.select(F.inline("items"), "shard").select("block", F.array(F.struct("shard", *"xyzu")).alias("items"))
+    batch = F.pmod(F.xxhash64(F.col("items")[0]["block"]), F.lit(-(-blocks // FAN))).alias("batch")
+    met = said.groupBy(F.floor(F.col("shard") / span).alias("part"), batch).agg(F.collect_list(F.struct("shard", "items")).alias("rows"))
+    each = met.select("rows", F.explode(F.array_distinct(F.flatten(F.transform("rows", lambda r: F.transform(r["items"], lambda i: i["block"]))))).alias("block"))
+    own = F.flatten(F.transform("rows", lambda r: F.transform(F.filter(r["items"], lambda i: i["block"] == F.col("block")), lambda i: fields(i, r["shard"]))))
+    return each.select("block", own.alias("items"))
+
+
+def _items(table: pa.Table) -> list[dict]:
+    return table["items"].combine_chunks().flatten().to_pylist()
+
+
+def _replies(table: pa.Table, answers: list[tuple], sums: tuple[int, int, int, int] = (0, 0, 0, 0)) -> pa.Table:
+    """answers, in the order of the parcels, as rows like those of table."""
+    asked, k = table["items"].combine_chunks(), table.num_rows
+    fields = [asked.flatten().field("block"), *(pa.array([a[i] if i < len(a) else None for a in answers], pa.binary()) for i in range(4))]
+    ends = np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy())]).astype(np.int32)
+    rows = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, fields=list(_ANSWER.value_type)), type=_ANSWER)
+    return pa.table([table["shard"].combine_chunks(), rows, *(pa.array([x] * k, pa.int64()) for x in sums)], names=["shard", "items", "n", "v", "n1", "n2"])
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    for i in range(batch.num_rows):
+        yield {n: batch.column(n)[i].as_py() for n in batch.schema.names}
 
 
 def _ask_words(blocks: DataFrame, shards: int) -> DataFrame:
+    span = _span(shards)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in _rows(batch, _NAMES):
+            for row in _rows(batch):
                 b = Block(row)
-                counts = np.bincount(b.tokens[b.train[b.owner]], minlength=len(b.vocabulary))
-                edge = np.searchsorted(_word_shard(b.vocabulary, shards), np.arange(shards + 1))
-                out = [(s, row["block"], _raw(b.vocabulary[x:y], "<u8"), _raw(counts[x:y], "<u4")) for s, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if y > x]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "block", "words", "counts"])
-
-    return blocks.mapInArrow(run, ASK_WORDS)
-
+                words = b.vocabulary.view(np.uint64)
+                counts = np.bincount(b.tokens[b.learns], minlength=len(words))
+                # sorted hashes fall into rising shards
+                edge = np.searchsorted(((words >> W.U(32)) * W.U(shards) >> W.U(32)).astype(np.int64), np.arange(shards + 1))
+                yield _ask_rows(row["block"], [(s, [_pack(words[x:y]), _pack(counts[x:y])]) for s, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if y > x], span)
 
-SAY_WORDS = "shard int, block long, ids binary, counts binary, n long, v long, n1 long, n2 long"
+    return blocks.mapInArrow(run, ASKED)
 
 
 def _say_words(asked: DataFrame, shards: int) -> DataFrame:
     """Ids (rank * shards + shard of the words seen in training) and counts, in the order asked; totals in every row."""
 
     def run(table: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        hashes = [_array(x.as_py(), "<u8") for x in table["words"]]
-        counts = [_array(x.as_py(), "<u4") for x in table["counts"]]
-        all_words, which = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(which, np.concatenate(counts), len(all_words)).astype(np.int64)
+        shard, items = table["shard"][0].as_py(), _items(table)
+        hashes = [_unpack(i["a"]).view(np.uint64) for i in items]
+        words, which = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.bincount(which, np.concatenate([_unpack(i["b"]) for i in items]), len(words)).astype(np.int64)
         seen = total > 0
         ids = np.where(seen, (np.cumsum(seen) - 1) * shards + shard, _NONE)
-        if len(ids) and int(ids[seen].max(initial=0)) >= _NONE:
-            raise ValueError("more than 2**32 different words")
         cut = np.cumsum([0] + [len(x) for x in hashes])
         said = [which[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        k = table.num_rows
-        sums = [int(total.sum()), int(seen.sum()), int((total == 1).sum()), int((total == 2).sum())]
-        return pa.table([pa.array([shard] * k, pa.int32()), table["block"].combine_chunks(), pa.array([_raw(ids[w], "<u4") for w in said], pa.binary()), pa.array([_raw(total[w], "<u4" if total.max(initial=0) < 2**32 else "<u8") for w in said], pa.binary()), *(pa.array([x] * k, pa.int64()) for x in sums)], names=["shard", "block", "ids", "counts", "n", "v", "n1", "n2"])
+        sums = (int(total.sum()), int(seen.sum()), int((total == 1).sum()), int((total == 2).sum()))
+        return _replies(table, [(_pack(ids[w]), _pack(total[w])) for w in said], sums)
 
-    return asked.groupBy("shard").applyInArrow(run, SAY_WORDS)
+    return asked.groupBy("shard").applyInArrow(run, SAID)
 
 
-class Pairs:
-    """What a block asks of the trie shards, in their order: its different pairs of known words, and its known contexts.
+class Grams:
+    """What a block asks of a level's shards, in their order: its different grams (context, word), and its known contexts.
 
-    A context's pairs are dealt over parts shards by their second word. Where a
-    context has several parts, or no pair of known words, it also asks every part
-    with the word that stands for none, so that all its successors are counted.
+    A context's grams are dealt over parts shards by their word. Where a context has
+    several parts, or no gram of a known word, it also asks every part with the word
+    that stands for none, so that all its successors are counted.
     """
 
-    def __init__(self, b: Block, ids: np.ndarray, counts: np.ndarray, n: int, shards: int) -> None:
-        word = b.tokens
-        self.before = np.empty_like(word)
-        self.before[1:] = word[:-1]
-        self.before[b.bounds[:-1]] = word[b.bounds[1:] - 1]  # a document starts after an end
-        self.ok = (counts[word] > 0) & (counts[self.before] > 0)
-        key = self.before[self.ok].astype(np.uint64) << W.U(32) | word[self.ok].astype(np.uint64)
+    def __init__(self, context: np.ndarray, known: np.ndarray, b: Block, ids: np.ndarray, counts: np.ndarray, n: int, shards: int) -> None:
+        self.ok = known & (b.counts[b.tokens] > 0)
+        key = context[self.ok].astype(np.uint64) << W.U(32) | b.tokens[self.ok].astype(np.uint64)
         unique, self.which = np.unique(key, return_inverse=True)
+        self.different = len(unique)
         v, w = (unique >> W.U(32)).astype(np.int64), (unique & W.U(0xFFFFFFFF)).astype(np.int64)
         parts = np.minimum(1 + counts * shards // max(n, 1), shards)
         alone = (parts > 1) | (np.bincount(v, minlength=len(ids)) == 0)
-        more = np.flatnonzero((np.bincount(self.before, minlength=len(ids)) > 0) & (counts > 0) & alone)
+        more = np.flatnonzero((np.bincount(context[known], minlength=len(ids)) > 0) & alone)
         extra = np.repeat(more, parts[more])
         part = np.arange(len(extra)) - np.repeat(np.cumsum(parts[more]) - parts[more], parts[more])
-        sub = np.concatenate([(W.mix(ids[w].astype(np.uint64)) % parts[v].astype(np.uint64)).astype(np.int64), part])
-        self.v, second = np.concatenate([v, extra]), np.concatenate([ids[w], np.full(len(extra), _NONE)])
-        count = np.bincount(self.which[b.train[b.owner][self.ok]], minlength=len(self.v))
+        sub = np.concatenate([(W.mix(b.word_ids[w].astype(np.uint64)) % parts[v].astype(np.uint64)).astype(np.int64), part])
+        self.v, second = np.concatenate([v, extra]), np.concatenate([b.word_ids[w], np.full(len(extra), _NONE)])
+        count = np.bincount(self.which[b.learns[self.ok]], minlength=len(self.v))
         shard = ((W.mix(ids[self.v].astype(np.uint64) + W.U(1)) % W.U(shards)).astype(np.int64) + sub) % shards
-        self.order = np.lexsort((second, ids[self.v], shard))
+        by_context = np.argsort(self.v, kind="stable")
+        self.order = by_context[np.argsort(shard[by_context].astype(np.int16 if shards < 1 << 15 else np.int64), kind="stable")]
         self.shard, self.v, self.second, self.count = (x[self.order] for x in (shard, self.v, second, count))
         new = np.concatenate([[True], (self.v[1:] != self.v[:-1]) | (self.shard[1:] != self.shard[:-1])]) if len(self.v) else np.zeros(0, bool)
         self.head = np.flatnonzero(new)
+        self.ids, self.counts = ids, counts
+
+    def parcels(self, shards: int) -> list[tuple[int, list[bytes]]]:
+        """Contexts, how many grams each has, how often they occur, and the words and counts of the grams, by shard."""
+        sizes = np.diff(np.append(self.head, len(self.v)))
+        edge = np.searchsorted(self.shard, np.arange(shards + 1))
+        heads = np.searchsorted(self.head, edge)
+        out = []
+        for s in range(shards):
+            x, y = edge[s], edge[s + 1]
+            if y > x:
+                c = self.v[self.head[heads[s] : heads[s + 1]]]
+                out.append((s, [_pack(self.ids[c]), _pack(sizes[heads[s] : heads[s + 1]]), _pack(self.counts[c]), _pack(self.second[x:y]), _pack(self.count[x:y])]))
+        return out
+
+    def dealt(self, values: np.ndarray) -> np.ndarray:
+        """Values in the order asked, as one for each different gram."""
+        out = np.empty(len(self.v), values.dtype)
+        out[self.order] = values
+        return out[: self.different]
+
+    def followers(self, values: np.ndarray) -> np.ndarray:
+        """Followers by context, over the shards it is dealt to."""
+        return np.bincount(self.v[self.head], values, len(self.ids)).astype(np.int64)
+
+
+def _pairs(b: Block, n: int, shards: int) -> tuple[np.ndarray, Grams]:
+    """The word before each token, and the block's word pairs; a document starts after an end."""
+    before = np.empty_like(b.tokens)
+    before[1:] = b.tokens[:-1]
+    before[b.bounds[:-1]] = b.tokens[b.bounds[1:] - 1]
+    return before, Grams(before, b.counts[before] > 0, b, b.word_ids, b.counts, n, shards)
+
+
+def _triples(b: Block, pairs: Grams, n: int, shards: int) -> tuple[np.ndarray, np.ndarray, Grams]:
+    """The word pair before each token, whether it is a context, and the block's grams of three; a document's first token has none."""
+    before = np.zeros(len(b.tokens), np.int64)
+    known = np.zeros(len(b.tokens), bool)
+    pair = np.full(len(b.tokens), -1, np.int64)
+    pair[pairs.ok] = pairs.which
+    before[1:] = pair[:-1]
+    before[b.bounds[:-1]] = -1
+    known = (before >= 0) & (np.append(b.pair_counts, 0)[before] >= LEAST)
+    before = np.where(known, before, 0)
+    return before, known, Grams(before, known, b, b.pair_ids, b.pair_counts, n, shards)
+
+
+def _ask_grams(state: DataFrame, order: int, n: int, shards: int) -> DataFrame:
+    span = _span(shards)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                b = Block(row)
+                _, grams = _pairs(b, n, shards)
+                if order == 3:
+                    *_, grams = _triples(b, grams, n, shards)
+                yield _ask_rows(row["block"], grams.parcels(shards), span)
+
+    return state.mapInArrow(run, ASKED)
+
+
+def answer_grams(asked: list[tuple[np.ndarray, ...]], step: float, shard: int = 0, shards: int = 1) -> list[tuple[np.ndarray, ...]]:
+    """Build a shard's level from training counts and answer every parcel (contexts, sizes, occurrences, words, counts).
+
+    An answer is (followers by context, codes, counts and places of its grams); a
+    gram's place numbers the node all over the level.
+    """
+    contexts, context = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+    often = np.zeros(len(contexts), np.int64)
+    often[context] = np.concatenate([a[2] for a in asked])
+    words, word = np.unique(np.concatenate([a[3] for a in asked]), return_inverse=True)
+    counts = np.concatenate([a[4] for a in asked])
+    key = np.repeat(context, np.concatenate([a[1] for a in asked])).astype(np.uint64) << W.U(32) | word.astype(np.uint64)
+    unique, which = np.unique(key[counts > 0], return_inverse=True)
+    total = np.bincount(which, counts[counts > 0], len(unique)).astype(np.int64)
+    at = (unique >> W.U(32)).astype(np.int64)
+    level = Level(contexts[at], words[(unique & W.U(0xFFFFFFFF)).astype(np.int64)], quantise((total - DISCOUNT) / often[at], step))
+    out = []
+    with tempfile.TemporaryDirectory() as folder:
+        level.save(os.path.join(folder, "level"))
+        for c, s, _, w, _ in asked:
+            ranges = level.ranges(c)
+            place = level.place(*(np.repeat(r, s) for r in ranges), w)
+            hit = place >= 0
+            codes, sums = np.zeros(len(w), np.uint8), np.zeros(len(w), np.int64)
+            codes[hit], sums[hit] = level.codes[place[hit]], total[place[hit]]
+            out.append((ranges[1] - ranges[0], codes, sums, place * shards + shard))
+        del level
+    return out
+
+
+def _say_grams(asked: DataFrame, step: float, shards: int, nodes: bool) -> DataFrame:
+    """Followers and codes; where nodes have children, counts, and ids of those that occur often enough."""
+
+    def run(table: pa.Table) -> pa.Table:
+        said = answer_grams([tuple(_unpack(i[c]) for c in "abcde") for i in _items(table)], step, table["shard"][0].as_py(), shards)
+        return _replies(table, [(_pack(f), c.tobytes(), *((_pack(k), _pack(at[k >= LEAST])) if nodes else ())) for f, c, k, at in said])
+
+    return asked.groupBy("shard").applyInArrow(run, SAID)
+
 
+STATE = "block long, doc_ids binary, train binary, bounds binary, tokens binary, word_ids binary, counts binary"
+STATE_3 = f"{STATE}, codes binary, follow binary, pair_counts binary, pair_ids binary"
 
-ASK_PAIRS = "shard int, block long, contexts binary, sizes binary, words binary, counts binary"
-_ALIGNED = ["block", "doc_ids", "train", "bounds", "tokens", "ids", "counts"]
 
+def _sorted_items(right: pa.Table) -> list[dict]:
+    return sorted(_items(right), key=lambda i: i["shard"])
 
-def _known(row: dict) -> tuple[Block, np.ndarray, np.ndarray]:
-    b = Block({**row, "vocabulary": b""})
-    return b, _array(row["ids"], "<u4").astype(np.int64), _array(row["counts"], "<i8")
 
+def _joined(items: list[dict], field: str, unpack: bool = True) -> np.ndarray:
+    parts = [_unpack(i[field]) if unpack else np.frombuffer(i[field], np.uint8) for i in items]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64 if unpack else np.uint8)
 
-def _align(blocks: DataFrame, said: DataFrame) -> DataFrame:
+
+def _learn_words(blocks: DataFrame, back: DataFrame) -> DataFrame:
     """Blocks with the id and count of each of their words instead of hashes."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("shard")
-        ids = np.concatenate([_array(x.as_py(), "<u4") for x in right["ids"]])
-        counts = np.concatenate([_array(c.as_py(), f"<u{4 * len(c.as_py()) // max(len(i.as_py()), 1)}").astype(np.int64) for c, i in zip(right["counts"], right["ids"], strict=True)])
-        out = [left[c].combine_chunks() for c in ("block", "doc_ids", "train", "bounds", "tokens")]
-        return pa.table([*out, pa.array([_raw(ids, "<u4")], pa.binary()), pa.array([_raw(counts, "<i8")], pa.binary())], names=_ALIGNED)
+        items = _sorted_items(right)
+        new = [pa.array([_pack(_joined(items, c))], pa.binary()) for c in "xy"]
+        return pa.table([left[c].combine_chunks() for c in ("block", *_BLOCK)] + new, names=["block", *_BLOCK, "word_ids", "counts"])
 
-    schema = "block long, doc_ids binary, train binary, bounds binary, tokens binary, ids binary, counts binary"
-    some = said.select("block", "shard", "ids", "counts")
-    return blocks.groupBy("block").cogroup(some.groupBy("block")).applyInArrow(run, schema)
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, STATE)
 
 
-def _ask_pairs(aligned: DataFrame, n: int, shards: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch, _ALIGNED):
-                b, ids, counts = _known(row)
-                p = Pairs(b, ids, counts, n, shards)
-                sizes = np.diff(np.append(p.head, len(p.v)))
-                edge = np.searchsorted(p.shard, np.arange(shards + 1))
-                heads = np.searchsorted(p.head, edge)
-                out = []
-                for s in range(shards):
-                    x, y = edge[s], edge[s + 1]
-                    if y > x:
-                        c = p.head[heads[s] : heads[s + 1]]
-                        out.append((s, row["block"], _raw(ids[p.v[c]], "<u4"), _raw(sizes[heads[s] : heads[s + 1]], "<u4"), _raw(p.second[x:y], "<u4"), _raw(p.count[x:y], "<u4")))
-                kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
-                cols = list(zip(*out, strict=True)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["shard", "block", "contexts", "sizes", "words", "counts"])
-
-    return aligned.mapInArrow(run, ASK_PAIRS)
-
-
-SAY_PAIRS = "shard int, block long, followers binary, codes binary"
-
-
-def answer_pairs(asked: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], steps: float = STEPS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Build a shard's level from training counts and answer every request (contexts, sizes, words, counts) with (followers, codes)."""
-    keys = [np.repeat(c.astype(np.uint64) << W.U(32), s) | w for c, s, w, _ in asked]
-    counts = [k for *_, k in asked]
-    unique, which = np.unique(np.concatenate([k[c > 0] for k, c in zip(keys, counts, strict=True)]), return_inverse=True)
-    total = np.bincount(which, np.concatenate([c[c > 0] for c in counts]), len(unique))
-    level = Level((unique >> W.U(32)).astype(np.int64), (unique & W.U(0xFFFFFFFF)).astype(np.int64), quantise(total, steps))
-    out = []
-    with tempfile.TemporaryDirectory() as folder:
-        level.save(os.path.join(folder, "level"))
-        for c, s, w, _ in asked:
-            ranges = level.ranges(c.astype(np.int64))
-            out.append((ranges[1] - ranges[0], level.find(*(np.repeat(r, s) for r in ranges), w.astype(np.int64))))
-        del level
-    return out
+def _row(left: pa.Table) -> dict:
+    return {c: left[c][0].as_py() for c in left.schema.names}
 
 
-def _say_pairs(asked: DataFrame, steps: float) -> DataFrame:
-    def run(table: pa.Table) -> pa.Table:
-        rows = [tuple(_array(table[c][i].as_py(), "<u4") for c in ("contexts", "sizes", "words", "counts")) for i in range(table.num_rows)]
-        said = answer_pairs(rows, steps)
-        return pa.table([table["shard"].combine_chunks(), table["block"].combine_chunks(), pa.array([_raw(f, "<u4") for f, _ in said], pa.binary()), pa.array([c.tobytes() for _, c in said], pa.binary())], names=["shard", "block", "followers", "codes"])
+def _learn_pairs(state: DataFrame, back: DataFrame, n: int, shards: int) -> DataFrame:
+    """Blocks with the code, count and id of each different word pair, and the followers of each word."""
 
-    return asked.groupBy("shard").applyInArrow(run, SAY_PAIRS)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        items = _sorted_items(right)
+        _, pairs = _pairs(Block(_row(left)), n, shards)
+        count = _joined(items, "z")
+        ids = np.zeros(len(count), np.int64)
+        ids[count >= LEAST] = _joined(items, "u")
+        dealt = pairs.dealt(count)
+        new = (pairs.dealt(_joined(items, "y", unpack=False)), pairs.followers(_joined(items, "x")), dealt, pairs.dealt(ids)[dealt >= LEAST])
+        return pa.table([left[c].combine_chunks() for c in left.schema.names] + [pa.array([_pack(x)], pa.binary()) for x in new], names=[x.split()[0] for x in STATE_3.split(", ")])
+
+    return state.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, STATE_3)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(aligned: DataFrame, said: DataFrame, n: int, v: int, rest: float, shards: int) -> DataFrame:
-    table = masses(steps_for(n))
+def _score(state: DataFrame, back: DataFrame, order: int, n: int, v: int, rest: float, shards: int) -> DataFrame:
+    table = probabilities(step_for(n))
+
+    def mixed(grams: Grams, context: np.ndarray, known: np.ndarray, codes: np.ndarray, follow: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Interpolated probabilities of all tokens: discounted ones and the share left for the lower order."""
+        own = np.zeros(len(lower))
+        own[grams.ok] = table[codes][grams.which]
+        left = DISCOUNT * follow[context] / np.maximum(grams.counts[context], 1)
+        return np.where(known, own + left * lower, lower)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = {c: left[c][0].as_py() for c in _ALIGNED}
-        b, ids, counts = _known(row)
-        base = np.log10((counts + 0.5) / (n + 0.5 * (v + 1)))
-        uni = np.where(counts > 0, counts - rest, rest * v + 0.5) / (n + 0.5)
-        p = Pairs(b, ids, counts, n, shards)
-        follow, mass = np.zeros(len(counts)), np.zeros(len(b.tokens))
-        if right.num_rows:
-            right = right.sort_by("shard")
-            followers = np.concatenate([_array(x.as_py(), "<u4") for x in right["followers"]])
-            codes = np.concatenate([_array(x.as_py(), "u1") for x in right["codes"]])
-            by_pair = np.empty(len(codes))
-            by_pair[p.order] = table[codes]
-            mass[p.ok] = by_pair[p.which]
-            follow = np.bincount(p.v[p.head], followers, len(counts))  # over the shards a context is dealt to
-        c, single = counts[p.before], uni[b.tokens]
-        logs = np.log10(np.where(c > 0, (mass + DISCOUNT * follow[p.before] * single) / np.maximum(c, 1), single))
-        sums = [np.add.reduceat(x, b.bounds[:-1]) for x in (base[b.tokens], logs, (counts[b.tokens] > 0).astype(np.int64))]
+        b, items = Block(_row(left)), _sorted_items(right)
+        base = np.log10((b.counts + 0.5) / (n + 0.5 * (v + 1)))
+        p = (np.where(b.counts > 0, b.counts - rest, rest * v + 0.5) / (n + 0.5))[b.tokens]
+        before, pairs = _pairs(b, n, shards)
+        said = _joined(items, "y", unpack=False), _joined(items, "x")
+        if order == 3:
+            p = mixed(pairs, before, b.counts[before] > 0, b.codes, b.follow, p)
+            before, known, triples = _triples(b, pairs, n, shards)
+            p = mixed(triples, before, known, triples.dealt(said[0]), triples.followers(said[1]), p) if known.any() else p
+        else:
+            p = mixed(pairs, before, b.counts[before] > 0, pairs.dealt(said[0]), pairs.followers(said[1]), p)
+        sums = [np.add.reduceat(x, b.bounds[:-1]) for x in (base[b.tokens], np.log10(p), (b.counts[b.tokens] > 0).astype(np.int64))]
         docs = len(b.train)
-        return pa.table([pa.array(b.ids, pa.int64(), mask=b.no_id), pa.array(~b.train), pa.array(np.diff(b.bounds)), pa.array(sums[2]), pa.array(np.full(docs, n, np.int64)), pa.array(sums[0]), pa.array(sums[1])], names=[x.split()[0] for x in SCORES.split(", ")])
+        return pa.table([pa.array(b.ids, pa.int64(), mask=b.no_id.astype(bool)), pa.array(~b.train), pa.array(np.diff(b.bounds)), pa.array(sums[2]), pa.array(np.full(docs, n, np.int64)), pa.array(sums[0]), pa.array(sums[1])], names=[x.split()[0] for x in SCORES.split(", ")])
 
-    return aligned.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(run, SCORES)
+    return state.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, SCORES)
 
 
-def score(df: DataFrame, train: Column, text: str = "text", doc_id: str = "doc_id", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def score(df: DataFrame, train: Column, text: str = "text", doc_id: str = "doc_id", shard_tokens: int = SHARD_TOKENS, order: int = ORDER) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     train marks the rows the model learns from; where it is null the row is one of
     them. Tokens are words (runs of non-white-space, A-Z as a-z) and an end; null
     texts count as empty and are an end alone. base_score sums log10((c + 0.5) / (N +
-    0.5 * (V + 1))); score is the model's log10 probability. doc_id is integral and
-    only carried, so repeated and null ones are rows of their own. Only text, doc_id
-    and train are read. Without training rows every token is unknown.
+    0.5 * (V + 1))); score is the log10 probability under grams of up to order (2 or
+    3) tokens. doc_id is integral and only carried, so repeated and null ones are
+    rows of their own. A text of any length is scored whole. Only text, doc_id and
+    train are read, so other columns cannot clash. Without training rows every token
+    is unknown; an empty table gives an empty result.
     """
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     stages = Stages(df.sparkSession, "lm")
     rows = df.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(train, F.lit(True)).alias("train"), F.col(text).alias("text"))
-    blocks = stages.save(_blocks(rows).withColumn("block", F.monotonically_increasing_id()).select(*_NAMES), "blocks")
-    tokens = blocks.agg(F.sum(F.octet_length("tokens") / 4)).first()[0] or 0
-    shards = max(1, math.ceil(tokens / shard_tokens))
-    words = stages.save(_say_words(_ask_words(blocks, shards), shards), "words")
+    numbered = _blocks(rows).withColumn("block", F.monotonically_increasing_id())
+    state = stages.save(numbered.select("block", *_BLOCK, "vocabulary", "n_tokens"), "blocks")
+    tokens, blocks = state.agg(F.sum("n_tokens"), F.count(F.lit(1))).first()
+    shards = max(1, math.ceil((tokens or 0) / shard_tokens))
+    state = state.drop("n_tokens")
+
+    def round_(asked: DataFrame, say: str, answer: object) -> DataFrame:
+        return stages.save(answer(_deliver(asked, shards, blocks)), say)  # type: ignore[operator]
+
+    words = round_(_ask_words(state, shards), "words", lambda a: _say_words(a, shards))
     sums = words.groupBy("shard").agg(*(F.max(c).alias(c) for c in ("n", "v", "n1", "n2"))).agg(*(F.sum(c) for c in ("n", "v", "n1", "n2"))).first()
     n, v, n1, n2 = (int(x or 0) for x in sums)
     rest = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
-    aligned = stages.save(_align(blocks, words), "aligned")
-    stages.drop(blocks, words)
-    pairs = stages.save(_say_pairs(_ask_pairs(aligned, n, shards), steps_for(n)), "pairs")
-    return _score(aligned, pairs, n, v, rest, shards)
+    step, done = step_for(n), words
+    state = stages.save(_learn_words(state, _return(words, shards, blocks)), "known")
+    stages.drop(done)
+    for k in range(2, order + 1):
+        said = round_(_ask_grams(state, k, n, shards), f"grams{k}", lambda a, k=k: _say_grams(a, step, shards, k < order))
+        if k < order:
+            old, state = state, stages.save(_learn_pairs(state, _return(said, shards, blocks), n, shards), "pairs")
+            stages.drop(old, said)
+    return _score(state, _return(said, shards, blocks), order, n, v, rest, shards)
