@@ -4,8 +4,8 @@ Target weights are source token shares raised to an exponent and normalised; the
 exponent is bisected to a target entropy, or to the flattest weights within a
 limit on repetition. Each source is then read in a permuted order of blocks:
 whole passes, and a last pass up to the block and document where its token
-budget ends. That end is one row per source, so documents are chosen by a
-broadcast of a few rows and texts are never shuffled.
+budget ends. That end is one row per source, so texts are counted once and travel
+once, when the mixture deals whole blocks to partitions and puts them in order.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.shared import Stages
 
-MAX_SOURCES = 100_000
+#: Bytes of a table of sources that tasks may each be sent; a larger one is joined by shuffle.
+SENT_BYTES = 16 << 20
 BLOCK_DOCS = 1024
 LIMIT = 2.0
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,46 +27,49 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class Plan:
-    """exponent, budget in tokens, and by source (tokens, documents, weight, token budget)."""
+    """exponent, token budget, tokens of all sources, and the sum of the raised shares."""
 
     exponent: float
-    budget: int
-    sources: dict[str | None, tuple[int, int, float, int]]
+    budget: float
+    tokens: int
+    norm: float
 
+    def weight(self, tokens: int) -> float:
+        """The weight of a source of so many tokens."""
+        return (tokens / self.tokens) ** self.exponent / self.norm if tokens else 0.0
 
-def weights(tokens: list[int], exponent: float) -> list[float]:
-    """Shares raised to exponent, normalised; a source without tokens weighs nothing."""
-    total = sum(tokens)
-    raised = [(t / total) ** exponent if t else 0.0 for t in tokens]
-    return [x / sum(raised) for x in raised] if total else [0.0] * len(tokens)
 
+def entropy(p: list[tuple[float, int]]) -> float:
+    """Of weights and how many sources have each, in nats."""
+    return -sum(x * math.log(x) * k for x, k in p if x)
 
-def entropy(p: list[float]) -> float:
-    """In nats."""
-    return -sum(x * math.log(x) for x in p if x)
 
-
-def plan(shares: dict[str | None, tuple[int, int]], limit: float = LIMIT, target_entropy: float | None = None, budget: int | None = None) -> Plan:
-    """Exponent, weights and budgets from tokens and documents by source.
+def plan(sources: dict[int, int], limit: float = LIMIT, target_entropy: float | None = None, budget: int | None = None) -> Plan:
+    """Exponent and budget from how many sources have how many tokens.
 
     Without a budget, the smallest one with which no source is cut, so a source's
     repetition is its weight over share relative to the least; limit bounds the
     largest repetition. With target_entropy the exponent meets that instead (the
-    nearest one in [0, 1] where it is out of reach).
+    nearest one in [0, 1] where it is out of reach). Sources of equal size weigh the
+    same, so what grows with the corpus is at most the number of different sizes.
     """
-    names = sorted(shares, key=lambda s: (s is None, s or ""))
-    tokens = [shares[s][0] for s in names]
+    sizes = sorted((t, k) for t, k in sources.items() if t)
+    total = sum(t * k for t, k in sizes)
 
-    def size(p: list[float]) -> float:
-        return budget if budget is not None else max((t / x for t, x in zip(tokens, p, strict=True) if t), default=0.0)
+    def at(e: float) -> Plan:
+        norm = sum((t / total) ** e * k for t, k in sizes)
+        made = Plan(e, 0.0, total, norm)
+        return Plan(e, budget if budget is not None else max(t / made.weight(t) for t, _ in sizes), total, norm)
 
     def low(e: float) -> bool:
         """Whether the exponent is too low: weights flatter than asked for."""
-        p = weights(tokens, e)
+        made = at(e)
         if target_entropy is not None:
-            return entropy(p) > target_entropy
-        return max((size(p) * x / t for t, x in zip(tokens, p, strict=True) if t), default=0.0) > limit * (1 + 1e-12)
+            return entropy([(made.weight(t), k) for t, k in sizes]) > target_entropy
+        return max(made.budget * made.weight(t) / t for t, _ in sizes) > limit * (1 + 1e-12)
 
+    if not sizes:
+        return Plan(0.0, budget or 0, 0, 1.0)
     a, b = 0.0, 1.0
     if not low(a):
         b = a
@@ -73,15 +77,7 @@ def plan(shares: dict[str | None, tuple[int, int]], limit: float = LIMIT, target
         if b - a <= 1e-12:
             break
         a, b = ((a + b) / 2, b) if low((a + b) / 2) else (a, (a + b) / 2)
-    p = weights(tokens, b)
-    total = int(math.floor(size(p) + 1e-6))
-    exact = [total * x for x in p]
-    given = [int(x) for x in exact]
-    for i in sorted(range(len(names)), key=lambda i: given[i] - exact[i])[: total - sum(given)]:
-        given[i] += 1
-    if budget is None:
-        given = [max(g, t) for g, t in zip(given, tokens, strict=True)]
-    return Plan(b, sum(given), {s: (*shares[s], x, g) for s, x, g in zip(names, p, given, strict=True)})
+    return at(b)
 
 
 def n_tokens(text: str) -> Column:
@@ -93,52 +89,111 @@ def _hash(seed: int, *parts: Column) -> Column:
     return F.xxhash64(F.lit(seed), *parts)
 
 
-def copies(df: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", limit: float = LIMIT, target_entropy: float | None = None, budget: int | None = None, block_docs: int = BLOCK_DOCS, seed: int = 7) -> tuple[DataFrame, Plan]:
-    """df with _weight, _block and _copies (how often the mixture reads the row), and the plan.
+def _before(rows: DataFrame, by: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """rows with running sums over the rows of the same by that come earlier in order.
+
+    The first column of order is a hash: its high byte splits each group into ranges,
+    whose sums run over a few hundred rows; inside a range rows meet in one task.
+    """
+    rows = rows.withColumn("_range", F.shiftright(F.col(order[0]), 56))
+    each = rows.groupBy(*by, "_range").agg(*(F.sum(v).alias(f"_{n}") for n, v in sums.items()))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select(F.struct(*by, "_range", *(F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(n) for n in sums)).alias("_e"))
+    rows = rows.join(each, [F.col(c).eqNullSafe(F.col(f"_e.{c}")) for c in (*by, "_range")])
+    inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumns({n: F.col(f"_e.{n}") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for n, v in sums.items()}).drop("_e", "_range")
+
+
+@dataclass(frozen=True)
+class Mixture:
+    """slim (source, id, tokens), sources, blocks and cuts of a mixture, all of them tables, and its plan."""
+
+    plan: Plan
+    slim: DataFrame
+    sources: DataFrame
+    blocks: DataFrame
+    cuts: DataFrame
+    seed: int
+
+    def placed(self, rows: DataFrame, source: str, doc_id: str) -> DataFrame:
+        """rows with _weight, _block, _order and _key (their places in a pass) and _copies (how often the mixture reads them)."""
+        rows = rows.join(_sent(self.sources, "_p"), F.col(source).eqNullSafe(F.col("_p.source")), "left")
+        rows = rows.withColumn("_block", F.pmod(_hash(self.seed, F.col(doc_id)), F.col("_p.blocks"))).withColumn("_order", _hash(self.seed + 1, F.col(source), F.col("_block"))).withColumn("_key", _hash(self.seed + 2, F.col(doc_id)))
+        rows = rows.join(_sent(self.cuts, "_c"), F.col(source).eqNullSafe(F.col("_c.source")), "left")
+        here, there = F.struct(F.col("_order"), F.col("_block")), F.struct(F.col("_c._order"), F.col("_c._block"))
+        chosen = F.when(F.col("_p.rest") == 0, False).when(F.col("_c").isNull(), True).when(here == there, F.coalesce(F.col("_key") <= F.col("_c.last"), F.lit(False))).otherwise(here < there)
+        return rows.withColumn("_copies", F.col("_p.passes") + chosen.cast("long")).withColumn("_weight", F.col("_p.weight")).drop("_p", "_c")
+
+
+def _sent(table: DataFrame, name: str) -> DataFrame:
+    """table as one struct column; sent to all tasks if its checked size allows."""
+    size = table.agg(F.sum(F.coalesce(F.octet_length(F.col("source").cast("string")), F.lit(0)) + 64)).first()[0] or 0
+    packed = table.select(F.struct(*table.columns).alias(name))
+    return F.broadcast(packed) if size <= SENT_BYTES else packed
+
+
+def prepare(df: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", limit: float = LIMIT, target_entropy: float | None = None, budget: int | None = None, block_docs: int = BLOCK_DOCS, seed: int = 7) -> Mixture:
+    """Count the words of every text once, and find weights, budgets, blocks and where each source's last pass ends.
 
     The last, partial pass over a source takes blocks in the order of a seeded hash
     and documents within them likewise, as far as whole documents fit its budget.
-    A null source is a source of its own; rows that repeat a doc_id in a source
-    share its fate; empty texts have no tokens and are read once per whole pass. At
-    most MAX_SOURCES sources, else ValueError. An empty table gives an empty mixture.
     """
     stages = Stages(df.sparkSession, "mix")
     slim = stages.save(df.select(F.col(source).alias("source"), F.col(doc_id).alias("id"), n_tokens(text).alias("tokens")), "tokens")
-    rows = slim.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    made = plan({r["source"]: (r["t"], r["n"]) for r in rows}, limit, target_entropy, budget)
-    table = df.sparkSession.createDataFrame(
-        [(s, w, max(1, -(-n // block_docs)), g // t if t else 1, g % t if t else 0) for s, (t, n, w, g) in made.sources.items()],
-        "source string, weight double, blocks long, passes long, rest long",
-    ).withColumn("source", F.col("source").cast(df.schema[source].dataType))
-    table = F.broadcast(table)  # at most MAX_SOURCES rows
-
-    def keyed(frame: DataFrame, by: str, ident: str) -> DataFrame:
-        block = F.pmod(_hash(seed, F.col(ident)), F.col("_p.blocks"))
-        listed = frame.join(table.select(F.struct(*table.columns).alias("_p")), F.col(by).eqNullSafe(F.col("_p.source")), "left")
-        return listed.withColumn("_block", block).withColumn("_order", _hash(seed + 1, F.col(by), F.col("_block"))).withColumn("_key", _hash(seed + 2, F.col(ident)))
-
-    parts = keyed(slim, "source", "id").where("_p.rest > 0").select("source", "id", "tokens", "_order", "_block", "_key", F.col("_p.rest").alias("rest"))
-    sums = parts.groupBy("source", "_order", "_block", "rest").agg(F.sum("tokens").alias("tokens"))
-    running = Window.partitionBy("source").orderBy("_order", "_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cross = sums.withColumn("sum", F.sum("tokens").over(running)).where((F.col("sum") > F.col("rest")) & (F.col("sum") - F.col("tokens") <= F.col("rest")))
-    cross = cross.groupBy("source").agg(F.min(F.struct("sum", "_order", "_block", (F.col("rest") - F.col("sum") + F.col("tokens")).alias("left"))).alias("c")).select(F.col("source").alias("s"), "c.*")
-    cross = F.broadcast(cross)  # one row per source
-    inner = parts.join(cross.select("s", F.col("_order").alias("o"), F.col("_block").alias("b"), "left"), F.col("source").eqNullSafe(F.col("s")) & (F.col("_order") == F.col("o")) & (F.col("_block") == F.col("b")))
-    docs = inner.groupBy("s", "id", "_key", "left").agg(F.sum("tokens").alias("tokens"))
-    running = Window.partitionBy("s").orderBy("_key", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fits = docs.withColumn("sum", F.sum("tokens").over(running)).where("sum <= left").groupBy("s").agg(F.max("_key").alias("last"))
-    cut = cross.select("s", F.struct("_order", "_block").alias("at")).join(F.broadcast(fits.withColumnRenamed("s", "s2")), F.col("s").eqNullSafe(F.col("s2")), "left").collect()
-    cuts = df.sparkSession.createDataFrame([(r["s"], r["at"]["_order"], r["at"]["_block"], r["last"]) for r in cut], f"s {df.schema[source].dataType.simpleString()}, o long, b long, last long")
-    whole = keyed(df, source, doc_id).join(F.broadcast(cuts.select(F.struct(*cuts.columns).alias("_c"))), F.col(source).eqNullSafe(F.col("_c.s")), "left")
-    here, there = F.struct(F.col("_order"), F.col("_block")), F.struct(F.col("_c.o"), F.col("_c.b"))
-    chosen = F.when(F.col("_p.rest") == 0, False).when(F.col("_c").isNull(), True).when(here == there, F.coalesce(F.col("_key") <= F.col("_c.last"), F.lit(False))).otherwise(here < there)
-    stages.drop(slim)
-    return whole.withColumn("_copies", F.col("_p.passes") + chosen.cast("long")).withColumn("_weight", F.col("_p.weight")).drop("_p", "_c", "_key", "_order"), made
-
-
-def mix(df: DataFrame, **how: object) -> DataFrame:
-    """The mixture: df's columns, each row as often as copies() says."""
-    marked, _ = copies(df, **how)  # type: ignore[arg-type]
-    return marked.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    per = stages.save(slim.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")), "totals")
+    made = plan({r["t"]: r["n"] for r in per.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}, limit, target_entropy, budget)
+    weight = F.when(F.col("t") > 0, F.pow(F.col("t") / F.lit(float(max(made.tokens, 1))), F.lit(made.exponent)) / F.lit(made.norm)).otherwise(0.0)
+    share = F.floor(F.lit(float(made.budget)) * weight + 1e-6).cast("long")
+    given = F.when(F.col("t") == 0, 0).otherwise(share if budget is not None else F.greatest(share, "t"))
+    sources = per.select("source", weight.alias("weight"), F.greatest(F.lit(1), F.ceil(F.col("n") / block_docs)).alias("blocks"), "t", given.alias("given"))
+    sources = sources.select("source", "weight", "blocks", "given", F.when(F.col("t") > 0, F.floor(F.col("given") / F.greatest("t", F.lit(1)))).otherwise(1).cast("long").alias("passes"), F.when(F.col("t") > 0, F.col("given") % F.greatest("t", F.lit(1))).otherwise(0).cast("long").alias("rest"))
+    sources = stages.save(sources, "sources")
+    none = df.sparkSession.createDataFrame([], f"source {df.schema[source].dataType.simpleString()}, _order long, _block long, last long")
+    mixture = Mixture(made, slim, sources, none, none, seed)
+    placed = mixture.placed(slim, "source", "id").select("source", "id", "tokens", "_block", "_order", "_key")
+    sums = placed.groupBy("source", "_block", "_order").agg(F.sum("tokens").alias("tokens"))
+    blocks = stages.save(_before(sums, ["source"], ["_order", "_block"], {"before": F.col("tokens"), "block_rank": F.lit(1)}), "blocks")
+    split = blocks.join(_sent(sources.select("source", "rest"), "_p"), F.col("source").eqNullSafe(F.col("_p.source"))).where("_p.rest > 0 AND before <= _p.rest AND before + tokens > _p.rest")
+    split = split.groupBy("source").agg(F.min_by(F.struct("_order", "_block", (F.col("_p.rest") - F.col("before")).alias("left")), F.struct("_order", "_block")).alias("x")).select("source", "x.*")
+    split = stages.save(split, "split")
+    inner = placed.join(_sent(split, "_c"), F.col("source").eqNullSafe(F.col("_c.source")) & (F.col("_order") == F.col("_c._order")) & (F.col("_block") == F.col("_c._block")))
+    docs = inner.groupBy("source", "id", "_key", F.col("_c.left").alias("left")).agg(F.sum("tokens").alias("tokens"))
+    running = Window.partitionBy("source").orderBy("_key", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one block of each source
+    fits = docs.withColumn("sum", F.sum("tokens").over(running)).where("sum <= left").groupBy(F.col("source").alias("s")).agg(F.max("_key").alias("last"))
+    cuts = stages.save(split.join(fits, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "_order", "_block", "last"), "cuts")
+    return Mixture(made, slim, sources, blocks, cuts, seed)
+
+
+def schedule(df: DataFrame, **how: object) -> DataFrame:
+    """One row per input row: doc_id, source, n_tokens, exponent, weight, block, copies, block_rank, place.
+
+    copies says how often the mixture reads the row, once in each of as many passes;
+    block_rank is the place of its block in the source's permutation and place that of
+    the row in its block, both from 0. A null source is a source of its own; rows that
+    repeat a doc_id in a source share its fate; null and empty texts have no tokens
+    and are read once per whole pass; a text of any length counts whole; any number of
+    sources will do. An empty table gives an empty schedule. Only the source, text and
+    id columns are read, so other columns cannot clash.
+    """
+    made = prepare(df, **how)  # type: ignore[arg-type]
+    rows = made.placed(made.slim, "source", "id")
+    ranks = made.blocks.select(F.struct("source", "_block", "block_rank").alias("_b"))
+    rows = rows.join(ranks, F.col("source").eqNullSafe(F.col("_b.source")) & (F.col("_block") == F.col("_b._block")), "left")
+    place = F.row_number().over(Window.partitionBy("source", "_block").orderBy("_key", "id", "tokens")) - 1
+    return rows.select(
+        F.col("id").alias("doc_id"), "source", F.col("tokens").alias("n_tokens"), F.lit(made.plan.exponent).alias("exponent"), F.col("_weight").alias("weight"),
+        F.col("_block").alias("block"), F.col("_copies").alias("copies"), F.col("_b.block_rank").cast("long").alias("block_rank"), place.cast("long").alias("place"),
+    )
+
+
+def mix(df: DataFrame, source: str = "source", doc_id: str = "doc_id", **how: object) -> DataFrame:
+    """The mixture: df's columns, each row as often as schedule() says, in permuted blocks.
+
+    Whole blocks of one pass are dealt to partitions, which hold them in the order of
+    a seeded hash over all sources and passes, their rows by another. The inputs that
+    schedule() defines hold here too.
+    """
+    made = prepare(df, source=source, doc_id=doc_id, **how)  # type: ignore[arg-type]
+    rows = made.placed(df, source, doc_id).where("_copies > 0").withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    turn = _hash(made.seed + 3, F.col("_order"), F.col("_block"), F.col("_pass"))
+    return rows.withColumn("_turn", turn).repartition("_turn").sortWithinPartitions("_turn", "_key").select(*[F.col(f"`{c}`") for c in df.columns])
