@@ -32,7 +32,7 @@ MAGIC = (
 )
 UNIT = 64
 SNIFF_SCHEMA = "declared_type string, detected_type string, corrected boolean, embedded array<struct<type:string,start:long,length:long>>"
-STORE_SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, media_type string, feature string, media binary, embedded array<struct<type:string,start:long,length:long,content:binary>>"
+STORE_SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, declared_type string, media_type string, corrected boolean, feature string, media binary, embedded array<struct<type:string,start:long,length:long,content:binary>>"
 #: Bytes of media in an output batch, about.
 BATCH_BYTES = 8 << 20
 
@@ -167,6 +167,13 @@ def find_media(blob: bytes) -> list[tuple[str, int, int]]:
     return sorted(((kind, at, n) for at, kind in hits if (n := VALIDATORS[kind](blob, at))), key=lambda x: (x[1], -x[2]))
 
 
+def sniffed(blob: bytes, declared: str | None) -> tuple[str | None, bool, list[tuple[str, int, int]]]:
+    """(real type, whether that corrects the declared one, files that start later) of a value."""
+    found = find_media(blob)
+    real = next((k for k, at, _ in found if at == 0), None)
+    return real, real is not None and real != declared, [x for x in found if x[1]]
+
+
 def wav_of(payload: bytes, rate: int = 8000) -> bytes:
     """payload as the unsigned 8-bit samples of a mono WAV file."""
     pad = len(payload) % 2
@@ -202,7 +209,9 @@ def sniff(df: DataFrame, content: str, declared: str | None = None, keep: tuple[
     (the valid file at byte 0; null where there is none), corrected (the declared
     type is another one) and embedded (valid files that start later). Null content
     counts as empty bytes; a null declared type is corrected whenever a type is
-    found. Other columns are not read, so their names cannot clash.
+    found; a value of any length is walked whole; rows that repeat give equal rows;
+    an empty table gives an empty result. Other columns are not read, so their names
+    cannot clash.
     """
     keep = list(keep)
     full, schema = _arrow_schema(df, keep, SNIFF_SCHEMA)
@@ -213,11 +222,9 @@ def sniff(df: DataFrame, content: str, declared: str | None = None, keep: tuple[
             said = batch.column(len(keep) + 1).to_pylist() if declared else [None] * batch.num_rows
             rows: list[list] = [[], [], [], []]
             for i, was in enumerate(said):
-                blob = batch.column(len(keep))[i].as_py() or b""
-                found = find_media(blob)
-                real = next((k for k, at, _ in found if at == 0), None)
-                inner = [{"type": k, "start": at, "length": n} for k, at, n in found if at]
-                for to, x in zip(rows, (was, real, real is not None and real != was, inner), strict=True):
+                real, corrected, later = sniffed(batch.column(len(keep))[i].as_py() or b"", was)
+                inner = [{"type": k, "start": at, "length": n} for k, at, n in later]
+                for to, x in zip(rows, (was, real, corrected, inner), strict=True):
                     to.append(x)
             arrays = [batch.column(i) for i in range(len(keep))] + [pa.array(x, schema.field(len(keep) + i).type) for i, x in enumerate(rows)]
             yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
@@ -225,31 +232,32 @@ def sniff(df: DataFrame, content: str, declared: str | None = None, keep: tuple[
     return df.select(*names).mapInArrow(run, full)
 
 
-def store(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def store(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), declared: str = "application/octet-stream") -> DataFrame:
     """Each text as the samples of a WAV file, read back through the sniffer, with its figures.
 
     The payload is the text's UTF-8 bytes and zero bytes up to a positive multiple
-    of 64. The stored file is sniffed under a wrong declared type, the file at byte
-    0 is carved and its samples are the payload read back. Null text counts as
-    empty; texts of any length are one file; equal texts give equal rows. feature:
-    corrected type, sum of samples, crossings of the mid level, embedded files. media
-    is the stored file, embedded the valid files inside it, each carved out.
+    of 64. The stored file is sniffed under the declared type, which the type found
+    corrects, and the samples of the file found are the payload read back. Null text
+    counts as empty; texts of any length are one file; equal texts, repeated rows
+    too, give equal rows; an empty table gives an empty result. feature: type found,
+    sum of samples, crossings of the mid level, embedded files. media is the stored
+    file, embedded the valid files inside it, each carved out. Only keep and text are
+    read, so other columns cannot clash.
     """
     keep = list(keep)
     full, schema = _arrow_schema(df, keep, STORE_SCHEMA)
 
     def one(raw: bytes) -> tuple:
         media = wav_of(raw + b"\0" * ((-len(raw)) % UNIT or (0 if raw else UNIT)))
-        found = find_media(media)
-        kind, at, size = found[0]
-        if at or kind != "audio/wav":
+        kind, corrected, later = sniffed(media, declared)
+        if kind != "audio/wav":
             raise ValueError("the stored file is not whole")
-        back = samples_of(media[at : at + size])
+        back = samples_of(media)
         x = np.frombuffer(back, np.uint8)
         crossings = int(np.count_nonzero((x[1:] < 128) != (x[:-1] < 128)))
-        feature = f"{kind};sum={int(x.sum(dtype=np.int64))};crossings={crossings};embedded={len(found) - 1}"
-        inner = [{"type": k, "start": a, "length": n, "content": media[a : a + n]} for k, a, n in found[1:]]
-        return (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), kind, feature, media, inner)
+        feature = f"{kind};sum={int(x.sum(dtype=np.int64))};crossings={crossings};embedded={len(later)}"
+        inner = [{"type": k, "start": a, "length": n, "content": media[a : a + n]} for k, a, n in later]
+        return (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), declared, kind, corrected, feature, media, inner)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,7 +265,7 @@ def store(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
             lo, rows, held = 0, [], 0
             for hi, x in enumerate(texts, 1):
                 rows.append(one(x.as_py()))
-                held += len(rows[-1][8])
+                held += len(rows[-1][10])
                 if held < BATCH_BYTES and hi < len(texts):
                     continue
                 kept = [batch.column(i).slice(lo, hi - lo).cast(schema.field(i).type) for i in range(len(keep))]

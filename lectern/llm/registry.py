@@ -72,9 +72,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the mixture of sources reads every document."""
-    marked, made = mixing.copies(_documents(spark, sf_dir))
-    return marked.select("doc_id", "source", mixing.n_tokens("text").alias("n_tokens"), F.lit(made.exponent).alias("exponent"), F.col("_weight").alias("weight"), F.col("_block").alias("block"), F.col("_copies").alias("copies"))
+    """How often and where the mixture of sources reads every document."""
+    return mixing.schedule(_documents(spark, sf_dir))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +84,29 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_lm, op2_media, op3_near_dedup, op4_packing, op5_substrings, op6_licenses, op7_pii, op8_toxicity, op9_mixing, op10_exact_dedup)}
 
 ORACLES = {
+    "op2_media": r"""
+        WITH p AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        q AS (SELECT doc_id, n, CASE WHEN n = 0 THEN 64 ELSE n + (64 - n % 64) % 64 END AS size, h || repeat('00', (CASE WHEN n = 0 THEN 64 ELSE (64 - n % 64) % 64 END)::BIGINT) AS h FROM p),
+        w AS (SELECT *, printf('%08x', 36 + size) AS whole, printf('%08x', size) AS data, regexp_extract_all(h, '..') AS bytes FROM q),
+        m AS (SELECT *, unhex('52494646' || whole[7:8] || whole[5:6] || whole[3:4] || whole[1:2] || '57415645666D74201000000001000100401F0000401F00000100080064617461' || data[7:8] || data[5:6] || data[3:4] || data[1:2] || h) AS media,
+              flatten(list_transform(bytes[-64:], lambda b: [('0x' || b)::BIGINT, 0, 0, 0, 0, 0, 0, 0])) AS steps,
+              len(regexp_extract_all(array_to_string(list_transform(bytes, lambda b: CASE WHEN b < '80' THEN '0' ELSE '1' END), ''), '0+|1+')) - 1 AS crossings FROM w)
+        SELECT doc_id, n::BIGINT AS n_bytes, size::BIGINT AS payload_bytes, sha256(unhex(h)) AS payload_sha256,
+               xor(list_reduce(list_prepend(4294967295::BIGINT, steps), lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(xor(c, b) >> 1, 3988292384) ELSE xor(c, b) >> 1 END), 4294967295::BIGINT) AS tail_crc32,
+               octet_length(media)::BIGINT AS media_bytes, sha256(media) AS media_sha256, 'application/octet-stream' AS declared_type, 'audio/wav' AS media_type, true AS corrected,
+               'audio/wav;sum=' || list_sum(list_transform(bytes, lambda b: ('0x' || b)::BIGINT)) || ';crossings=' || crossings || ';embedded=0' AS feature
+        FROM m""",
+    "op3_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) > 2 THEN list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])
+              WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingles FROM w),
+        t AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS x FROM s),
+        e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+              HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+        c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+        SELECT doc_id, len(shingles)::BIGINT AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(least, doc_id)) AS kept
+        FROM s LEFT JOIN c ON doc_id = a""",
     "op5_substrings": r"""
         WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
         s AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50),
