@@ -1,6 +1,6 @@
 """Language-model scoring with an Elias-Fano n-gram trie in shards.
 
-Texts become blocks of about 8 MB. Blocks ask word shards for the ids and counts
+Texts become blocks of about 6 MB. Blocks ask word shards for the ids and counts
 of their different words, then, order by order, trie shards for the children of
 their different contexts: words under words, then words under word pairs. Each
 shard builds one level from the training part of what it is asked, maps it into
@@ -19,8 +19,9 @@ from __future__ import annotations
 
 import math
 import os
+import struct
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,9 @@ from lectern.llm import wordvec as W
 from lectern.llm.eliasfano import Level
 from lectern.llm.shared import Stages
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Tokens a shard answers for, about; ranges of shards, and blocks in a batch, that a relay serves.
-SHARD_TOKENS = 3_000_000
+SHARD_TOKENS = 1_500_000
 FAN = 128
 #: The longest grams; the absolute discount; how often a word pair must occur to be a context.
 ORDER = 3
@@ -62,20 +63,31 @@ def probabilities(step: float) -> np.ndarray:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Unsigned numbers byte by byte, all lowest bytes first, without the bytes that all have 0; a first byte says how many are left."""
+    """Unsigned numbers byte by byte, all lowest bytes first, without the bytes that all have 0, compressed; ahead of them how many numbers of how many bytes."""
     x = np.ascontiguousarray(x.astype("<u8"))
     size = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([size]) + x.view("u1").reshape(-1, 8)[:, :size].T.tobytes()
+    return struct.pack("<QB", len(x), size) + pa.compress(x.view("u1").reshape(-1, 8)[:, :size].T.tobytes(), "zstd", asbytes=True)
 
 
 def _unpack(raw: bytes) -> np.ndarray:
     """What _pack() wrote, as 64-bit integers."""
-    body = np.frombuffer(raw, "u1", offset=1).reshape(raw[0], -1)
-    out = np.zeros((body.shape[1], 8), np.uint8)
-    out[:, : raw[0]] = body.T
+    n, size = struct.unpack_from("<QB", raw)
+    planes = np.frombuffer(pa.decompress(memoryview(raw)[9:], n * size, "zstd"), "u1").reshape(size, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :size] = planes.T
     return out.view("<i8").reshape(-1)
 
 
+def _pack_rising(x: np.ndarray) -> bytes:
+    """_pack() of the steps of a rising sequence."""
+    return _pack(np.diff(x, prepend=0))
+
+
+def _unpack_rising(raw: bytes) -> np.ndarray:
+    """What _pack_rising() wrote."""
+    return np.cumsum(_unpack(raw))
+
+
 BLOCK = "doc_ids binary, train binary, bounds binary, tokens binary, vocabulary binary, n_tokens long"
 _BLOCK = ["doc_ids", "train", "bounds", "tokens"]
 
@@ -109,9 +121,8 @@ class Block:
         ids = _unpack(row["doc_ids"])
         self.ids, self.no_id = np.split(ids, 2)
         self.train = _unpack(row["train"]).astype(bool)
-        self.bounds, self.tokens = _unpack(row["bounds"]), _unpack(row["tokens"])
-        self.owner = np.repeat(np.arange(len(self.train)), np.diff(self.bounds))
-        self.learns = self.train[self.owner]
+        self.bounds, self.tokens = _unpack(row["bounds"]), _unpack(row["tokens"]).astype(np.int32)
+        self.learns = np.repeat(self.train, np.diff(self.bounds))
         for name in ("vocabulary", "word_ids", "counts", "codes", "follow", "pair_counts"):
             if name in row:
                 setattr(self, name, _unpack(row[name]))
@@ -203,7 +214,7 @@ def _ask_words(blocks: DataFrame, shards: int) -> DataFrame:
 
 
 def _say_words(asked: DataFrame, shards: int) -> DataFrame:
-    """Ids (rank * shards + shard of the words seen in training) and counts, in the order asked; totals in every row."""
+    """Ids (rank * shards + shard of the words seen in training, frequent ones first) and counts, in the order asked; totals in every row."""
 
     def run(table: pa.Table) -> pa.Table:
         shard, items = table["shard"][0].as_py(), _items(table)
@@ -211,7 +222,9 @@ def _say_words(asked: DataFrame, shards: int) -> DataFrame:
         words, which = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(which, np.concatenate([_unpack(i["b"]) for i in items]), len(words)).astype(np.int64)
         seen = total > 0
-        ids = np.where(seen, (np.cumsum(seen) - 1) * shards + shard, _NONE)
+        rank = np.empty(len(words), np.int64)
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(words))
+        ids = np.where(seen, rank * shards + shard, _NONE)
         cut = np.cumsum([0] + [len(x) for x in hashes])
         said = [which[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
         sums = (int(total.sum()), int(seen.sum()), int((total == 1).sum()), int((total == 2).sum()))
@@ -228,11 +241,17 @@ class Grams:
     that stands for none, so that all its successors are counted.
     """
 
-    def __init__(self, context: np.ndarray, known: np.ndarray, b: Block, ids: np.ndarray, counts: np.ndarray, n: int, shards: int) -> None:
+    def __init__(self, context: np.ndarray, known: np.ndarray, b: Block, ids: np.ndarray, counts: np.ndarray, n: int, shards: int, asks: bool = True) -> None:
+        self.ids, self.counts = ids, counts
         self.ok = known & (b.counts[b.tokens] > 0)
-        key = context[self.ok].astype(np.uint64) << W.U(32) | b.tokens[self.ok].astype(np.uint64)
-        unique, self.which = np.unique(key, return_inverse=True)
-        self.different = len(unique)
+        key = context[self.ok].astype(np.uint64)
+        key <<= W.U(32)
+        key |= b.tokens[self.ok].astype(np.uint64)
+        unique, which = np.unique(key, return_inverse=True)
+        del key
+        self.different, self.which = len(unique), which.astype(np.int32)
+        if not asks:
+            return
         v, w = (unique >> W.U(32)).astype(np.int64), (unique & W.U(0xFFFFFFFF)).astype(np.int64)
         parts = np.minimum(1 + counts * shards // max(n, 1), shards)
         alone = (parts > 1) | (np.bincount(v, minlength=len(ids)) == 0)
@@ -248,7 +267,6 @@ class Grams:
         self.shard, self.v, self.second, self.count = (x[self.order] for x in (shard, self.v, second, count))
         new = np.concatenate([[True], (self.v[1:] != self.v[:-1]) | (self.shard[1:] != self.shard[:-1])]) if len(self.v) else np.zeros(0, bool)
         self.head = np.flatnonzero(new)
-        self.ids, self.counts = ids, counts
 
     def parcels(self, shards: int) -> list[tuple[int, list[bytes]]]:
         """Contexts, how many grams each has, how often they occur, and the words and counts of the grams, by shard."""
@@ -260,7 +278,7 @@ class Grams:
             x, y = edge[s], edge[s + 1]
             if y > x:
                 c = self.v[self.head[heads[s] : heads[s + 1]]]
-                out.append((s, [_pack(self.ids[c]), _pack(sizes[heads[s] : heads[s + 1]]), _pack(self.counts[c]), _pack(self.second[x:y]), _pack(self.count[x:y])]))
+                out.append((s, [_pack_rising(self.ids[c]), _pack(sizes[heads[s] : heads[s + 1]]), _pack(self.counts[c]), _pack(self.second[x:y]), _pack(self.count[x:y])]))
         return out
 
     def dealt(self, values: np.ndarray) -> np.ndarray:
@@ -274,24 +292,21 @@ class Grams:
         return np.bincount(self.v[self.head], values, len(self.ids)).astype(np.int64)
 
 
-def _pairs(b: Block, n: int, shards: int) -> tuple[np.ndarray, Grams]:
+def _pairs(b: Block, n: int, shards: int, asks: bool = True) -> tuple[np.ndarray, Grams]:
     """The word before each token, and the block's word pairs; a document starts after an end."""
     before = np.empty_like(b.tokens)
     before[1:] = b.tokens[:-1]
     before[b.bounds[:-1]] = b.tokens[b.bounds[1:] - 1]
-    return before, Grams(before, b.counts[before] > 0, b, b.word_ids, b.counts, n, shards)
+    return before, Grams(before, b.counts[before] > 0, b, b.word_ids, b.counts, n, shards, asks)
 
 
 def _triples(b: Block, pairs: Grams, n: int, shards: int) -> tuple[np.ndarray, np.ndarray, Grams]:
     """The word pair before each token, whether it is a context, and the block's grams of three; a document's first token has none."""
-    before = np.zeros(len(b.tokens), np.int64)
-    known = np.zeros(len(b.tokens), bool)
-    pair = np.full(len(b.tokens), -1, np.int64)
-    pair[pairs.ok] = pairs.which
-    before[1:] = pair[:-1]
+    before = np.full(len(b.tokens), -1, np.int32)
+    before[1:][pairs.ok[:-1]] = pairs.which if pairs.ok[-1:].sum() == 0 else pairs.which[:-1]
     before[b.bounds[:-1]] = -1
     known = (before >= 0) & (np.append(b.pair_counts, 0)[before] >= LEAST)
-    before = np.where(known, before, 0)
+    before[~known] = 0
     return before, known, Grams(before, known, b, b.pair_ids, b.pair_counts, n, shards)
 
 
@@ -302,7 +317,7 @@ def _ask_grams(state: DataFrame, order: int, n: int, shards: int) -> DataFrame:
         for batch in batches:
             for row in _rows(batch):
                 b = Block(row)
-                _, grams = _pairs(b, n, shards)
+                _, grams = _pairs(b, n, shards, order == 2)
                 if order == 3:
                     *_, grams = _triples(b, grams, n, shards)
                 yield _ask_rows(row["block"], grams.parcels(shards), span)
@@ -344,8 +359,8 @@ def _say_grams(asked: DataFrame, step: float, shards: int, nodes: bool) -> DataF
     """Followers and codes; where nodes have children, counts, and ids of those that occur often enough."""
 
     def run(table: pa.Table) -> pa.Table:
-        said = answer_grams([tuple(_unpack(i[c]) for c in "abcde") for i in _items(table)], step, table["shard"][0].as_py(), shards)
-        return _replies(table, [(_pack(f), c.tobytes(), *((_pack(k), _pack(at[k >= LEAST])) if nodes else ())) for f, c, k, at in said])
+        said = answer_grams([(_unpack_rising(i["a"]), *(_unpack(i[c]) for c in "bcde")) for i in _items(table)], step, table["shard"][0].as_py(), shards)
+        return _replies(table, [(_pack(f), _pack(c), *((_pack(k), _pack_rising(at[k >= LEAST])) if nodes else ())) for f, c, k, at in said])
 
     return asked.groupBy("shard").applyInArrow(run, SAID)
 
@@ -358,18 +373,28 @@ def _sorted_items(right: pa.Table) -> list[dict]:
     return sorted(_items(right), key=lambda i: i["shard"])
 
 
-def _joined(items: list[dict], field: str, unpack: bool = True) -> np.ndarray:
-    parts = [_unpack(i[field]) if unpack else np.frombuffer(i[field], np.uint8) for i in items]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64 if unpack else np.uint8)
+def _joined(items: list[dict], field: str, unpack: Callable[[bytes], np.ndarray] = _unpack) -> np.ndarray:
+    parts = [unpack(i[field]) for i in items]
+    return np.concatenate(parts) if parts else unpack(_pack(np.zeros(0)))
+
+
+def _codes(raw: bytes) -> np.ndarray:
+    """Codes as they travel."""
+    return _unpack(raw).astype(np.uint8)
 
 
 def _learn_words(blocks: DataFrame, back: DataFrame) -> DataFrame:
-    """Blocks with the id and count of each of their words instead of hashes."""
+    """Blocks with the id and count of each of their words instead of hashes, and words numbered by id: frequent ones first, unknown ones last."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         items = _sorted_items(right)
-        new = [pa.array([_pack(_joined(items, c))], pa.binary()) for c in "xy"]
-        return pa.table([left[c].combine_chunks() for c in ("block", *_BLOCK)] + new, names=["block", *_BLOCK, "word_ids", "counts"])
+        ids, counts = _joined(items, "x"), _joined(items, "y")
+        order = np.argsort(ids, kind="stable")
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        tokens = number[_unpack(left["tokens"][0].as_py())]
+        new = [pa.array([_pack(x)], pa.binary()) for x in (tokens, ids[order], counts[order])]
+        return pa.table([left[c].combine_chunks() for c in ("block", *_BLOCK[:-1])] + new, names=["block", *_BLOCK, "word_ids", "counts"])
 
     return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, STATE)
 
@@ -386,9 +411,9 @@ def _learn_pairs(state: DataFrame, back: DataFrame, n: int, shards: int) -> Data
         _, pairs = _pairs(Block(_row(left)), n, shards)
         count = _joined(items, "z")
         ids = np.zeros(len(count), np.int64)
-        ids[count >= LEAST] = _joined(items, "u")
+        ids[count >= LEAST] = _joined(items, "u", _unpack_rising)
         dealt = pairs.dealt(count)
-        new = (pairs.dealt(_joined(items, "y", unpack=False)), pairs.followers(_joined(items, "x")), dealt, pairs.dealt(ids)[dealt >= LEAST])
+        new = (pairs.dealt(_joined(items, "y", _codes)), pairs.followers(_joined(items, "x")), dealt, pairs.dealt(ids)[dealt >= LEAST])
         return pa.table([left[c].combine_chunks() for c in left.schema.names] + [pa.array([_pack(x)], pa.binary()) for x in new], names=[x.split()[0] for x in STATE_3.split(", ")])
 
     return state.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, STATE_3)
@@ -411,8 +436,8 @@ def _score(state: DataFrame, back: DataFrame, order: int, n: int, v: int, rest:
         b, items = Block(_row(left)), _sorted_items(right)
         base = np.log10((b.counts + 0.5) / (n + 0.5 * (v + 1)))
         p = (np.where(b.counts > 0, b.counts - rest, rest * v + 0.5) / (n + 0.5))[b.tokens]
-        before, pairs = _pairs(b, n, shards)
-        said = _joined(items, "y", unpack=False), _joined(items, "x")
+        before, pairs = _pairs(b, n, shards, order == 2)
+        said = _joined(items, "y", _codes), _joined(items, "x")
         if order == 3:
             p = mixed(pairs, before, b.counts[before] > 0, b.codes, b.follow, p)
             before, known, triples = _triples(b, pairs, n, shards)
