@@ -17,8 +17,8 @@ BOXES = "array<struct<quad:array<struct<x:double,y:double>>,score:double>>"
 class Detector(Protocol):
     """Finds text lines."""
 
-    def detect(self, content: bytes) -> list[dict[str, Any]]:
-        """quad and score of each line."""
+    def detect(self, pixels: np.ndarray) -> list[dict[str, Any]]:
+        """quad and score of each line of an upright image (height, width, 3)."""
         ...
 
 
@@ -27,7 +27,7 @@ class Recognizer(Protocol):
 
     classes: list[str]
 
-    def probabilities(self, crop: bytes) -> list[list[float]]:
+    def probabilities(self, pixels: np.ndarray) -> np.ndarray:
         """A row of class probabilities for each step; class 0 is blank."""
         ...
 
@@ -35,8 +35,8 @@ class Recognizer(Protocol):
 class CodeDecoder(Protocol):
     """Reads bar codes."""
 
-    def decode(self, content: bytes) -> list[dict[str, Any]]:
-        """text, symbology, quad and angle of each code."""
+    def decode(self, pixels: np.ndarray) -> list[dict[str, Any]]:
+        """text, symbology, quad and angle of each code of an image."""
         ...
 
 
@@ -148,6 +148,18 @@ def boxes(probability: np.ndarray, threshold: float, box_threshold: float, uncli
     return out
 
 
+def map_components(rows: Column, threshold: float) -> Column:
+    """components() of the cells above threshold, over a column array<array<double>> of maps."""
+
+    @F.arrow_udf("array<struct<rows:array<int>,columns:array<int>>>")
+    def run(column: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("rows", pa.list_(pa.int32())), ("columns", pa.list_(pa.int32()))]))
+        maps = [np.array(m.as_py(), float) if m.is_valid and len(m) else np.zeros((0, 0)) for m in column]
+        return pa.array([[{"rows": r.tolist(), "columns": c.tolist()} for r, c in components(m > threshold)] for m in maps], kind)
+
+    return run(rows)
+
+
 def map_boxes(rows: Column, threshold: float, box_threshold: float, unclip: float) -> Column:
     """boxes() over a column array<array<double>> of maps."""
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.catalog import Catalog
 from lectern.functions import decision as D
 from lectern.functions import geometry as G
-from lectern.operators import decode, headers
+from lectern.operators import decode, front, headers
+from lectern.operators.vision import CodeDecoder, Detector, Recognizer
+from lectern.sources.images import Codec, codec
 from lectern.sources.results import CANDIDATES, OTHER, TAG
 
 LEAST, TOP, LOCAL_CANDIDATE = 0.01, 3, 0.05
@@ -25,35 +29,57 @@ def read_lines(crops: DataFrame, classes: list[str], catalog: Catalog) -> DataFr
 
     A text keeps its best probability over turns and kinds, the first of them in a tie;
     texts rank by probability, ties by first appearance. Lines whose best reading is
-    under LEAST are without readings. Everything about a line is one group, so one
-    shuffle by line.
+    under LEAST are without readings. A line's few turns meet in one array, so lines
+    shuffle once and their matrices never do.
     """
     free = decode.greedy(F.col("probs"), classes)
     decoded = crops.withColumns({"free": free, "found": decode.all_kinds(F.col("probs"), classes, catalog, top=TOP)})
     sure = F.pow(F.col("free.probability"), 1 / F.greatest(F.lit(1), F.length("free.text")))
-    line = Window.partitionBy("photo", "line_no")
-    decoded = decoded.withColumn("sure", sure)
-    plain = F.min_by(F.struct(F.col("free.text").alias("text"), F.col("sure").alias("confidence"), "turn"), F.struct(-F.col("sure"), "turn_ord"))
-    lines = decoded.groupBy("photo", "line_no").agg(F.min_by("quad", "turn_ord").alias("quad"), plain.alias("plain"))
-    each = decoded.select("photo", "line_no", "turn", "turn_ord", F.col("free.text").alias("free_text"), F.posexplode("found").alias("rank", "r"))
-    each = each.select("photo", "line_no", "turn", "free_text", F.struct("turn_ord", "r.kind_ord", "rank").alias("ord"), "r.text", "r.probability", "r.tag_id")
-    best = each.groupBy("photo", "line_no", "text").agg(
-        F.min("ord").alias("first_ord"), F.min_by(F.struct("probability", "tag_id", "turn", "free_text"), F.struct(-F.col("probability"), "ord")).alias("b")
-    )
-    ranked = best.withColumn("place", F.row_number().over(line.orderBy(F.desc("b.probability"), "first_ord"))).where(F.col("place") <= TOP)
-    reading = F.struct("place", "text", F.col("b.probability").alias("probability"), F.col("b.tag_id").alias("tag_id"))
-    top = ranked.groupBy("photo", "line_no").agg(F.array_sort(F.collect_list(reading)).alias("readings"), F.min_by(F.struct("b.turn", "b.free_text", "text"), "place").alias("won"))
-    joined = lines.join(top, ["photo", "line_no"], "left")
-    readable = F.element_at("readings", 1)["probability"] >= LEAST
-    joined = joined.withColumn("readings", F.when(readable, F.transform("readings", lambda r: F.struct(r["text"].alias("text"), r["probability"].alias("probability"), r["tag_id"].alias("tag_id")))))
+    turn = F.struct("turn_ord", "turn", "quad", F.col("free.text").alias("free_text"), sure.alias("sure"), "found")
+    lines = decoded.groupBy("photo", "line_no").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    reading = lambda c: F.transform(c["found"], lambda r, i: F.struct(
+        r["text"].alias("text"), (-r["probability"]).alias("key"), F.struct(c["turn_ord"].alias("t"), r["kind_ord"].alias("k"), i.alias("i")).alias("ord"),
+        r["probability"].alias("probability"), r["tag_id"].alias("tag_id"), c["turn"].alias("turn"), c["free_text"].alias("free_text"),
+    ))
+    heads = lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["text"] != x["text"]))
+    lines = lines.withColumn("all", F.array_sort(F.flatten(F.transform("turns", reading))))
+    lines = lines.withColumn("came", F.array_sort(F.transform("all", lambda x: F.struct(x["text"].alias("text"), x["ord"].alias("ord")))))
+    ranked = F.zip_with(heads(F.col("all")), heads(F.col("came")), lambda x, y: F.struct(x["key"].alias("key"), y["ord"].alias("ord"), x.alias("r")))
+    lines = lines.withColumn("ranked", F.transform(F.slice(F.array_sort(ranked), 1, TOP), lambda x: x["r"])).drop("all", "came")
+    best, first = F.get("ranked", F.lit(0)), F.get("turns", F.lit(0))
+    plain = F.get(F.array_sort(F.transform("turns", lambda c: F.struct((-c["sure"]).alias("key"), c["turn_ord"].alias("ord"), c["free_text"].alias("text"), c["sure"].alias("sure"), c["turn"].alias("turn")))), F.lit(0))
+    lines = lines.select("photo", "line_no", first["quad"].alias("quad"), plain.alias("plain"), best.alias("won"), F.when(best["probability"] >= LEAST, F.transform("ranked", lambda r: F.struct(r["text"].alias("text"), r["probability"].alias("probability"), r["tag_id"].alias("tag_id")))).alias("readings"))
     agrees = F.replace("won.free_text", F.lit(" "), F.lit("")) == F.col("won.text")
-    turn = F.when(F.col("readings").isNotNull(), F.col("won.turn")).otherwise(F.col("plain.turn"))
-    return joined.select(
-        "photo", "line_no", "readings", agrees.alias("agrees"), F.col("plain.text").alias("plain_text"), F.col("plain.confidence").alias("plain_confidence"),
-        G.rotated(F.col("quad"), turn).alias("quad"), G.turned_angle(G.top_edge_angle(F.col("quad")), turn.cast("double")).alias("angle"),
+    turned = F.when(F.col("readings").isNotNull(), F.col("won.turn")).otherwise(F.col("plain.turn"))
+    return lines.select(
+        "photo", "line_no", "readings", agrees.alias("agrees"), F.col("plain.text").alias("plain_text"), F.col("plain.sure").alias("plain_confidence"),
+        G.rotated(F.col("quad"), turned).alias("quad"), G.turned_angle(G.top_edge_angle(F.col("quad")), turned.cast("double")).alias("angle"),
     )
 
 
+def read_local(photos: DataFrame, classes: list[str], catalog: Catalog, detector: Callable[[], Detector], recognizer: Callable[[], Recognizer], decoder: Callable[[], CodeDecoder] | None = None, open_reading: bool = False, model: str = "local", save: Callable[[DataFrame], DataFrame] = lambda rows: rows, make: Callable[[], Codec] = codec) -> DataFrame:
+    """Results (image, ..., error) of photos (image, content) by injected models: lines, codes, decisions and assembly; failed photos keep their error.
+
+    save cuts the plan after the models have run (a written table): without it each use
+    of the result runs them again.
+    """
+    crops = save(front.recognised(photos, detector, recognizer, make=make))
+    lines = read_lines(crops.where("error IS NULL").drop("error", "score"), classes, catalog)
+    tags, others = [local_tags(lines, catalog)], []
+    if decoder is not None:
+        codes = save(front.decoded(photos, decoder, make=make)).where("error IS NULL")
+        fitted, rest = code_tags(codes, catalog)
+        tags = [fitted, without_decoded(tags[0], fitted)]
+        others.append(rest)
+    if open_reading:
+        free = lines.where("readings IS NULL")
+        others.append(other_texts(free.select("photo", F.col("line_no").alias("ord"), F.col("plain_text").alias("text"), F.col("plain_confidence").alias("confidence"), "quad", "angle")))
+    named = photos.select(F.col("image").alias("photo")).withColumn("timings_ms", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
+    done = assemble(named, tags, others if open_reading else [], model)
+    failed = crops.where("error IS NOT NULL").groupBy(F.col("photo").alias("image")).agg(F.min("error").alias("error"))
+    return done.join(failed, "image", "left")
+
+
 def _tag(decided: Column, polygon: Column, angle: Column, source: str, digits: int | None) -> Column:
     number = (lambda c: F.round(c, digits)) if digits else (lambda c: c)
     candidates = F.transform(decided["candidates"], lambda c: F.struct(c["text"].alias("text"), number(c["confidence"]).alias("confidence")))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern import grammar
@@ -198,72 +198,104 @@ def f9_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Reading
 
 _CLASSES = ["", "6", "7", "9"]
-_STEPS = "SELECT vec_id, list_transform(range(5), lambda t: list_transform(range(4), lambda c: exp(embedding[t * 4 + c + 1]::DOUBLE))) AS m FROM embeddings"
-
-
-def _matrices(spark: SparkSession, sf_dir: str, steps: int = 5) -> DataFrame:
-    """Rows of softmax over four classes from the first values of each vector."""
+_STEPS = """SELECT vec_id, turn, list_transform(CASE turn WHEN 0 THEN m ELSE list_reverse(m) END, lambda r: list_transform(r, lambda x: x / list_sum(r))) AS p
+    FROM (SELECT vec_id, turn, list_transform(range(16), lambda t: list_transform(range(4), lambda c: exp(embedding[t * 4 + c + 1]::DOUBLE * (CASE turn WHEN 0 THEN 1.0 ELSE 0.5 END)))) AS m FROM embeddings, (VALUES (0), (180)) turns(turn)) q"""
+_FREE = """f AS (SELECT vec_id, turn, list_transform(p, lambda r: list_position(r, list_max(r))) AS best, list_product(list_transform(p, lambda r: list_max(r))) AS w FROM s),
+    g AS (SELECT vec_id, turn, w, array_to_string(list_transform(list_filter(best, lambda c, i: c > 1 AND (i = 1 OR c <> best[i - 1])), lambda c: ['', '6', '7', '9'][c]), '') AS free FROM f)"""
+
+
+def _beam(kinds: str, turns: str = "true") -> str:
+    """Beams of 16 over alignments in SQL, step by step: kinds (kind, kind_ord, letters, shortest, longest); the outcome is table d."""
+    return f"""WITH RECURSIVE s AS (SELECT * FROM ({_STEPS}) q WHERE {turns}), k(kind, kind_ord, letters, shortest, longest) AS (VALUES {kinds}), {_FREE},
+    b(vec_id, turn, kind, t, text, x, y, came) AS (
+        SELECT vec_id, turn, kind, 0, '', 1.0::DOUBLE, 0.0::DOUBLE, 0::BIGINT FROM s, k
+        UNION ALL
+        SELECT vec_id, turn, kind, t, text, x, y, CASE WHEN n > 16 THEN r ELSE pos END FROM (
+            SELECT *, count(*) OVER (PARTITION BY vec_id, turn, kind) AS n, row_number() OVER (PARTITION BY vec_id, turn, kind ORDER BY x + y DESC, pos) AS r FROM (
+                SELECT vec_id, turn, kind, t, text, sum(x) AS x, sum(y) AS y, min(pos) AS pos FROM (
+                    SELECT b.vec_id, b.turn, b.kind, t + 1 AS t, CASE o WHEN 0 THEN text ELSE text || 'x679'[o + 1] END AS text,
+                        CASE o WHEN 0 THEN (x + y) * p[t + 1][1] ELSE 0.0 END AS x,
+                        CASE WHEN o > 0 THEN (CASE WHEN right(text, 1) = 'x679'[o + 1] THEN x ELSE x + y END) * p[t + 1][o + 1] WHEN text = '' THEN 0.0 ELSE y * p[t + 1][strpos('x679', right(text, 1))] END AS y,
+                        came * 4 + o AS pos
+                    FROM b JOIN s ON b.vec_id = s.vec_id AND b.turn = s.turn JOIN k ON b.kind = k.kind, range(4) os(o)
+                    WHERE t < 16 AND (o = 0 OR (strpos(letters, 'x679'[o + 1]) > 0 AND length(text) < longest AND p[t + 1][o + 1] >= 1e-4))) e
+                GROUP BY vec_id, turn, kind, t, text) h) i
+        WHERE r <= 16),
+    d AS (SELECT b.vec_id, b.turn, b.kind, kind_ord, text, x + y AS w, row_number() OVER (PARTITION BY b.vec_id, b.turn, b.kind ORDER BY x + y DESC, came) - 1 AS place
+        FROM b JOIN k ON b.kind = k.kind WHERE t = 16 AND length(text) >= shortest AND x + y > 0)"""
+
+
+def _matrices(spark: SparkSession, sf_dir: str, heat: float = 1.0) -> DataFrame:
+    """Sixteen steps of softmax over four classes from the values of each vector."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    cell = lambda t, c: F.exp(F.get("embedding", t * 4 + c).cast("double"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda t: F.array(*(cell(t, c) for c in range(4))))
+    cell = lambda t, c: F.exp(F.get("embedding", t * 4 + c).cast("double") * heat)
+    raw = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda t: F.array(*(cell(t, c) for c in range(4))))
     soft = F.transform(raw, lambda r: F.transform(r, lambda x: x / F.aggregate(r, F.lit(0.0), lambda a, y: a + y)))
     return rows.select("vec_id", soft.alias("probs"))
 
 
-@query("r1_greedy", f"""WITH b AS (SELECT vec_id, list_transform(m, lambda r: list_position(r, list_max(r))) AS best FROM ({_STEPS}) s),
-    k AS (SELECT vec_id, list_filter(best, lambda c, i: c > 1 AND (i = 1 OR c <> best[i - 1])) AS kept FROM b)
-    SELECT vec_id, array_to_string(list_transform(kept, lambda c: ['', '6', '7', '9'][c]), '') AS text FROM k""")
-def r1_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The free reading of probability matrices."""
-    return _matrices(spark, sf_dir).select("vec_id", decode.greedy(F.col("probs"), _CLASSES)["text"].alias("text"))
+def _digits(c: Column) -> Column:
+    """A probability as its logarithm, to be compared."""
+    return F.round(F.log10(c), 6)
 
 
-def _alignments() -> str:
-    """All alignments of four steps summed by text, in SQL: the meaning of constrained decoding."""
-    digits = "['', '6', '7', '9']"
-    return f"""WITH s AS (SELECT vec_id, list_transform(m, lambda r: list_transform(r, lambda x: x / list_sum(r))) AS p FROM (SELECT vec_id, m[1:4] AS m FROM ({_STEPS}) q) z),
-    a AS (SELECT vec_id, p[1][i] * p[2][j] * p[3][k] * p[4][l] AS w, [i, j, k, l] AS c FROM s, range(1, 5) t1(i), range(1, 5) t2(j), range(1, 5) t3(k), range(1, 5) t4(l)),
-    x AS (SELECT vec_id, w, array_to_string(list_transform(list_filter(c, lambda y, n: y > 1 AND (n = 1 OR y <> c[n - 1])), lambda y: {digits}[y]), '') AS text FROM a),
-    g AS (SELECT vec_id, text, sum(w) AS w FROM x WHERE regexp_full_match(text, '[679]{{2,3}}') GROUP BY 1, 2)
-    SELECT vec_id, text, CAST(round(w * 1e6) AS BIGINT) AS micro FROM g"""
+@query("r1_greedy", f"WITH s AS (SELECT * FROM ({_STEPS}) q WHERE turn = 0), {_FREE} SELECT vec_id, free AS text, round(log10(w), 6) AS log_probability FROM g")
+def r1_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The free reading of probability matrices, and its probability."""
+    read = decode.greedy(F.col("probs"), _CLASSES)
+    return _matrices(spark, sf_dir).select("vec_id", read.alias("r")).select("vec_id", "r.text", _digits(F.col("r.probability")).alias("log_probability"))
 
 
-@query("r2_constrained", _alignments())
+@query("r2_constrained", _beam("('one', 0, '679', 2, 3)", "turn = 0") + " SELECT vec_id, place, text, round(log10(w), 6) AS log_probability FROM d")
 def r2_constrained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts of a grammar with their probability; a wide beam makes it exact."""
-    a = grammar.compile_pattern("[679]{2,3}")
-    found = decode.constrained(F.col("probs"), _CLASSES, a, beam=256, least=0.0)
-    rows = _matrices(spark, sf_dir, 4).select("vec_id", F.inline(found))
-    return rows.select("vec_id", "text", F.round(F.col("probability") * 1e6).cast("long").alias("micro"))
+    """All texts of a grammar that the shipped beam finds, best first, with their probability."""
+    found = decode.constrained(F.col("probs"), _CLASSES, grammar.compile_pattern("[679]{2,3}"))
+    rows = _matrices(spark, sf_dir).select("vec_id", F.posexplode(found).alias("place", "r"))
+    return rows.select("vec_id", F.col("place").cast("long").alias("place"), "r.text", _digits(F.col("r.probability")).alias("log_probability"))
 
 
 def _crops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _matrices(spark, sf_dir)
-    flipped = F.reverse("probs")
     quad = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (40, 0), (40, 10), (0, 10))))
-    turns = F.array(F.struct(F.lit(0).alias("turn"), F.lit(0).alias("turn_ord"), F.col("probs")), F.struct(F.lit(180).alias("turn"), F.lit(1).alias("turn_ord"), flipped.alias("probs")))
-    return rows.select((F.col("vec_id") % 50).alias("photo"), F.col("vec_id").alias("line_no"), quad.alias("quad"), F.inline(turns))
+    upright = _matrices(spark, sf_dir).select("vec_id", F.lit(0).alias("turn"), F.lit(0).alias("turn_ord"), "probs")
+    turned = _matrices(spark, sf_dir, 0.5).select("vec_id", F.lit(180).alias("turn"), F.lit(1).alias("turn_ord"), F.reverse("probs").alias("probs"))
+    return upright.unionByName(turned).select((F.col("vec_id") % 50).alias("photo"), F.col("vec_id").alias("line_no"), quad.alias("quad"), "turn", "turn_ord", "probs")
 
 
 _DIGITS = Catalog("digits", (Kind("short", "[67]{2,3}"), Kind("long", "[679]{3,4}")))
+_LINES = _beam("('short', 0, '67', 2, 3), ('long', 1, '679', 3, 4)") + """,
+    e AS (SELECT d.*, g.free, turn * 1000000 + kind_ord * 1000 + place AS ord FROM d JOIN g USING (vec_id, turn) WHERE place < 3),
+    h AS (SELECT vec_id, text, max(w) AS w, min(ord) AS came, arg_min(struct_pack(kind := kind, turn := turn, free := free), struct_pack(w := -w, o := ord)) AS b FROM e GROUP BY vec_id, text),
+    i AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY w DESC, came) AS place FROM h),
+    j AS (SELECT vec_id, arg_min(text, place) AS text, max(w) AS w, arg_min(b, place) AS b, string_agg(text || ':' || b.kind || ':' || round(log10(w), 6), '|' ORDER BY place) FILTER (place <= 3) AS readings FROM i GROUP BY vec_id),
+    u AS (SELECT vec_id, arg_min(struct_pack(free := free, turn := turn), struct_pack(k := -pow(w, 1.0 / greatest(1, length(free))), t := turn)) AS p FROM g GROUP BY vec_id),
+    l AS (SELECT u.vec_id % 50 AS photo, u.vec_id AS line_no, u.p.free AS plain_text, j.text, j.w, j.b.kind AS kind, coalesce(j.w >= 0.01, false) AS ok, j.readings, j.b.free = j.text AS agrees, CASE WHEN coalesce(j.w >= 0.01, false) THEN j.b.turn ELSE u.p.turn END AS turn FROM u LEFT JOIN j ON u.vec_id = j.vec_id)"""
 
 
-@query("r4_read_lines")
+@query("r4_read_lines", f"{_LINES} SELECT photo, line_no, plain_text, CASE WHEN ok THEN readings END AS readings, agrees, turn::DOUBLE AS angle FROM l")
 def r4_read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines read in two turns under two kinds: ranked readings, agreement and angle."""
     lines = reading.read_lines(_crops(spark, sf_dir), _CLASSES, _DIGITS)
-    return lines.select("photo", "line_no", "plain_text", F.to_json("readings").alias("readings"), "agrees", "angle")
+    shown = F.array_join(F.transform("readings", lambda r: F.concat_ws(":", r["text"], r["tag_id"], _digits(r["probability"]).cast("string"))), "|")
+    return lines.select("photo", "line_no", "plain_text", shown.alias("readings"), "agrees", "angle")
 
 
-@query("r28_read_photos")
+@query("r28_read_photos", f"""{_LINES}, x AS (SELECT *, CASE WHEN regexp_full_match(text, '[69]*') AND translate(reverse(text), '69', '96') <> text AND regexp_full_match(translate(reverse(text), '69', '96'), '[67]{{2,3}}|[679]{{3,4}}') THEN 0.6 ELSE 1.0 END AS cap,
+        CASE WHEN agrees AND w >= 0.3 THEN 0.9 + 0.1 * w ELSE least(w, 0.89) END AS score FROM l),
+    y AS (SELECT *, least(cap, score) AS c FROM x),
+    z AS (SELECT *, CASE WHEN c >= 0.9 THEN 'accepted' WHEN c >= 0.25 THEN 'review' ELSE 'unreadable' END AS status FROM y)
+    SELECT photo AS image, count(*) FILTER (ok) AS n_tags, count(*) FILTER (NOT ok AND plain_text <> '') AS n_other, 0::BIGINT AS n_violations,
+        coalesce(string_agg((CASE WHEN c >= 0.25 THEN kind || ':' || text || ':' || CAST(round(c * 1e4) AS BIGINT) ELSE (CASE WHEN regexp_full_match(text, '[67]{{2,3}}') THEN 'short' ELSE 'long' END) || '::0' END) || ':' || status || ':' || turn, '|' ORDER BY line_no) FILTER (ok), '') AS tags FROM z GROUP BY photo""")
 def r28_read_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole results: lines decided into tags, nested by photo, as JSON."""
+    """Whole results: lines decided into tags, nested by photo, after a round trip through JSON."""
     lines = reading.read_lines(_crops(spark, sf_dir), _CLASSES, _DIGITS)
     tags = reading.local_tags(lines, _DIGITS)
     free = lines.where("readings IS NULL").select("photo", F.col("line_no").alias("ord"), F.col("plain_text").alias("text"), F.col("plain_confidence").alias("confidence"), "quad", "angle")
     photos = lines.select("photo").distinct().withColumn("timings_ms", F.create_map(F.lit("read"), F.lit(1.0)))
     done = reading.assemble(photos, [tags], [reading.other_texts(free)], "none")
-    return done.select("image", F.size("tags").alias("n_tags"), F.size(F.flatten(F.transform("tags", lambda t: R.violations(t)))).alias("n_violations"), R.result_json(F.struct(*done.columns)).alias("json"))
+    done = done.select(R.parse_results(R.result_json(F.struct(*done.columns))).alias("r")).select("r.*")
+    shown = F.transform("tags", lambda t: F.concat_ws(":", t["tag_id"], F.coalesce(t["text"], F.lit("")), F.round(t["confidence"] * 1e4).cast("long").cast("string"), t["status"], F.round(t["angle"]).cast("int").cast("string")))
+    broken = F.size(F.flatten(F.transform("tags", lambda t: R.violations(t)))).cast("long")
+    return done.select(F.col("image").cast("long").alias("image"), F.size("tags").cast("long").alias("n_tags"), F.size("other_texts").cast("long").alias("n_other"), broken.alias("n_violations"), F.array_join(shown, "|").alias("tags"))
 
 
 @query("r7_score", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 AND l_discount * 10 >= 0.3 THEN 0.9 + 0.1 * (l_discount * 10) ELSE least(l_discount * 10, 0.89) END AS score FROM lineitem")
@@ -400,14 +432,33 @@ def r20_header_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("id", D.normalised_header(F.col("text")).alias("plain"))
 
 
-@query("r22_headers_seen")
+# the first k letters that a pattern of places picks are misread
+_NOISY = """SELECT p_partkey AS id, CAST(floor(p_partkey / 4) AS BIGINT) AS photo, CASE p_partkey % 4 WHEN 0 THEN translate('entomology', substr('eyg', 1, CAST(floor(p_partkey / 4) AS BIGINT) % 4), '000') WHEN 1 THEN translate('COLLECTION', substr('CT', 1, CAST(floor(p_partkey / 12) AS BIGINT) % 3), '11')
+    WHEN 2 THEN CASE WHEN p_size % 2 = 0 THEN 'Herbarium - B' ELSE 'herbal' END ELSE p_brand END AS text FROM {part}"""
+
+
+@query("r22_headers_seen", f"""WITH x AS (SELECT photo, max(CASE WHEN id % 4 = 0 THEN 1 ELSE 0 END) + max(CASE WHEN id % 4 = 1 THEN 1 ELSE 0 END) = 2 AS whole, max(CASE WHEN text = 'Herbarium - B' THEN 1 ELSE 0 END) = 1 AS b,
+        max(CASE id % 4 WHEN 0 THEN CASE photo % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END ELSE 0 END) + max(CASE id % 4 WHEN 1 THEN CASE CAST(floor(photo / 3) AS BIGINT) % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 3 END ELSE 0 END) AS wrong FROM {_duck(_NOISY, 'part')} n GROUP BY photo)
+    SELECT photo, concat_ws(',', CASE WHEN whole AND wrong <= 4 THEN 'printed_a' END, CASE WHEN b THEN 'printed_b' END) AS seen FROM x""")
 def r22_headers_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers found in the text of photos, with recognition errors."""
-    noisy = F.when(F.col("id") % 4 == 0, "ENT0MOLOGY").when(F.col("id") % 4 == 1, "COLLECTI0N").when(F.col("id") % 4 == 2, "HERBARIUM B").otherwise(F.col("text"))
-    lines = _texts(spark, sf_dir).select(F.floor(F.col("id") / 4).alias("photo"), (F.col("id") % 4).alias("line_no"), noisy.alias("plain_text"))
+    """Headers found in the text of photos: over two lines, with up to six of twenty letters misread."""
+    lines = _sql(spark, sf_dir, _NOISY, "part").select("photo", (F.col("id") % 4).alias("line_no"), F.col("text").alias("plain_text"))
     return headers.photo_headers(lines, HEADED).select("photo", F.array_join("seen", ",").alias("seen"))
 
 
+_KINDS_BY_HEADER = "SELECT p_partkey AS id, CAST(floor(p_partkey / 3) AS BIGINT) AS photo, CASE p_partkey % 3 WHEN 0 THEN 'ENTOMOLOGY COLLECTION' WHEN 1 THEN CASE WHEN p_size % 2 = 0 THEN 'HERBARIUM B' ELSE 'x' END ELSE 'y' END AS plain, lpad(CAST(p_size AS STRING), 5, '0') AS text, p_size FROM {part}"
+
+
+@query("r24_with_kinds", f"""WITH x AS (SELECT * FROM {_duck(_KINDS_BY_HEADER, 'part')} k), h AS (SELECT photo, bool_or(id % 3 = 0) AS a, bool_or(id % 3 = 1 AND p_size % 2 = 0) AS b FROM x GROUP BY photo)
+    SELECT id, CASE WHEN a THEN 'printed_a' WHEN b THEN 'printed_b' ELSE 'plain' END AS kind FROM x JOIN h ON x.photo = h.photo""")
+def r24_with_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings whose kind follows the headers of their photo."""
+    rows = _sql(spark, sf_dir, _KINDS_BY_HEADER, "part")
+    readings = F.array(F.struct("text", F.lit(0.9).alias("probability"), F.lit("plain").alias("tag_id")))
+    lines = rows.select("id", "photo", F.col("id").alias("line_no"), F.col("plain").alias("plain_text"), readings.alias("readings"))
+    return headers.with_kinds(lines, HEADED).select("id", F.get("readings", F.lit(0))["tag_id"].alias("kind"))
+
+
 @query("r23_choose_kind", """WITH x AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN lpad(CAST(p_partkey % 100000 AS STRING), 5, '0') WHEN 1 THEN lpad(CAST(p_partkey % 10000 AS STRING), 4, '0') ELSE 'MD12345' END AS text, p_size % 2 = 0 AS a, p_size % 3 = 0 AS b FROM part)
     SELECT id, CASE WHEN id % 3 = 2 THEN 'letters' WHEN id % 3 = 1 THEN 'printed_b' WHEN a THEN 'printed_a' WHEN b THEN 'printed_b' ELSE 'plain' END AS kind FROM x""")
 def r23_choose_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -472,14 +523,21 @@ def x5_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.usage(calls, "user_id")
 
 
-@query("x2_parse_answers")
+_SAID = f"""SELECT id, size, concat('{{{{"tags":[{{{{"text":"', CASE WHEN size % 2 = 0 THEN '  ' ELSE '' END, text, ' ","legibility":"', CASE size % 11 WHEN 0 THEN 'sure' WHEN 1 THEN 'uncertain' ELSE 'certain' END,
+    '","alternatives":["', text, '","GJ00001"," GJ00001 ","","b","c","d"],"box":[', CASE size % 5 WHEN 0 THEN '1,1,1.5,1.2' WHEN 1 THEN '50,20,-7,2' WHEN 2 THEN '0,0,1e9,99' ELSE '1,2,50,20' END, '],"angle":',
+    CASE WHEN size % 7 = 0 THEN '"45"' WHEN size % 13 = 0 THEN '90' ELSE '"90"' END, CASE WHEN size % 17 = 0 THEN ',"more":1' ELSE '' END, CASE WHEN size % 19 = 0 THEN '}}}}]' ELSE '}}}}]}}}}' END) AS answer, text FROM ({TEXTS}) t"""
+_BAD_ANSWER = "size % 11 = 0 OR size % 5 = 0 OR size % 7 = 0 OR size % 13 = 0 OR size % 17 = 0 OR size % 19 = 0"
+
+
+@query("x2_parse_answers", f"""SELECT id, CASE WHEN NOT bad THEN trim(text) END AS text, CASE WHEN NOT bad THEN CASE size % 11 WHEN 1 THEN 'uncertain' ELSE 'certain' END END AS legibility, CASE WHEN NOT bad THEN array_to_string(list_filter(['GJ00001', 'b', 'c', 'd'], lambda a: a <> text)[1:3], '|') END AS alternatives,
+        CASE WHEN NOT bad THEN CASE size % 5 WHEN 1 THEN '0.0|2.0|50.0|20.0' WHEN 2 THEN '0.0|0.0|200.0|99.0' ELSE '1.0|2.0|50.0|20.0' END END AS box, CASE WHEN NOT bad THEN 90 END AS angle, CASE WHEN bad THEN 'invalid_response' END AS error
+    FROM (SELECT id, size, text, {_BAD_ANSWER} AS bad FROM {_duck(_SAID, 'part')} a) x""")
 def x2_parse_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers parsed strictly: any fault fails the whole answer."""
-    box = F.when(F.col("size") % 5 == 0, F.array(F.lit(1.0), F.lit(1.0), F.lit(1.5), F.lit(1.2))).otherwise(F.array(F.lit(1.0), F.lit(2.0), F.lit(50.0), F.lit(20.0)))
-    tag = F.struct("text", F.lit("certain").alias("legibility"), F.array("text", F.lit("GJ00001")).alias("alternatives"), box.alias("box"), F.when(F.col("size") % 7 == 0, "45").otherwise("90").alias("angle"))
-    rows = _texts(spark, sf_dir).select("id", F.to_json(F.struct(F.array(tag).alias("tags"))).alias("answer"))
-    rows = rows.select("id", answers.parsed_answer(F.col("answer"), "pixels_xyxy", F.lit(200), F.lit(100)).alias("a"))
-    return rows.select("id", F.to_json("a.tags").alias("tags"), "a.error")
+    """Answers parsed strictly: texts trimmed, alternatives distinct and at most three, boxes inside the image; any fault fails the whole answer."""
+    rows = _sql(spark, sf_dir, _SAID, "part").select("id", answers.parsed_answer(F.col("answer"), "pixels_xyxy", F.lit(200), F.lit(100)).alias("a"))
+    tag = F.get("a.tags", F.lit(0))
+    joined = lambda c: F.when(c.isNotNull(), F.array_join(c.cast("array<string>"), "|"))
+    return rows.select("id", tag["text"].alias("text"), tag["legibility"].alias("legibility"), joined(tag["alternatives"]).alias("alternatives"), joined(tag["box"]).alias("box"), tag["angle"].alias("angle"), "a.error")
 
 
 # Geometry
@@ -518,12 +576,47 @@ def m6_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", F.round(F.col("q.x") * 10).cast("long").alias("x10"))
 
 
-@query("m2_map_boxes")
+def _map_components(cut: str) -> str:
+    """8-connected areas of 8 by 8 maps above a threshold, by spreading the least cell number: table n (vec_id, comp, r, c, p)."""
+    return f"""WITH RECURSIVE g AS (SELECT vec_id, i // 8 AS r, i % 8 AS c, i, 1 / (1 + exp(-8 * embedding[i + 1]::DOUBLE)) AS p FROM embeddings, range(64) t(i)),
+    a AS (SELECT * FROM g WHERE p > {cut}),
+    w(vec_id, i, j) AS (SELECT vec_id, i, i FROM a UNION SELECT w.vec_id, w.i, y.i FROM w JOIN a x ON w.vec_id = x.vec_id AND w.j = x.i JOIN a y ON y.vec_id = x.vec_id AND abs(x.r - y.r) <= 1 AND abs(x.c - y.c) <= 1),
+    n AS (SELECT a.vec_id, a.r, a.c, a.p, m.comp FROM a JOIN (SELECT vec_id, i, min(j) AS comp FROM w GROUP BY vec_id, i) m ON a.vec_id = m.vec_id AND a.i = m.i)"""
+
+
+def _grid() -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.slice("embedding", r * 8 + 1, F.lit(8)), lambda x: 1 / (1 + F.exp(-8 * x.cast("double")))))
+
+
+# corners of pixels, the outermost of each line; rectangles along every edge that has all corners on one side
+_RECTANGLES = """, q AS (SELECT vec_id, comp, y, min(c) AS lo, max(c) + 1 AS hi FROM (SELECT vec_id, comp, c, unnest([r, r + 1]) AS y FROM n) o GROUP BY 1, 2, 3),
+    k AS (SELECT vec_id, comp, y, unnest([lo, hi]) AS x FROM q),
+    d AS (SELECT DISTINCT u.vec_id, u.comp, (v.x - u.x) / sqrt((v.x - u.x) ** 2 + (v.y - u.y) ** 2) AS dx, (v.y - u.y) / sqrt((v.x - u.x) ** 2 + (v.y - u.y) ** 2) AS dy FROM k u JOIN k v ON u.vec_id = v.vec_id AND u.comp = v.comp AND (u.x <> v.x OR u.y <> v.y)
+        JOIN k z ON u.vec_id = z.vec_id AND u.comp = z.comp GROUP BY u.vec_id, u.comp, u.x, u.y, v.x, v.y HAVING min((v.x - u.x) * (z.y - u.y) - (v.y - u.y) * (z.x - u.x)) >= 0),
+    e AS (SELECT d.vec_id, d.comp, max(x * dx + y * dy) - min(x * dx + y * dy) AS a, max(y * dx - x * dy) - min(y * dx - x * dy) AS b FROM d JOIN k ON d.vec_id = k.vec_id AND d.comp = k.comp GROUP BY d.vec_id, d.comp, dx, dy),
+    f AS (SELECT vec_id, comp, least(a, b) AS height, greatest(a, b) AS width FROM e QUALIFY row_number() OVER (PARTITION BY vec_id, comp ORDER BY round(a * b, 6), least(a, b)) = 1)"""
+
+
+@query("m1_components", _map_components("0.5") + " SELECT vec_id, comp AS first_cell, count(*) AS cells, sum(r)::BIGINT AS rows, sum(c)::BIGINT AS columns FROM n GROUP BY 1, 2")
+def m1_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected areas of maps: their cells."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.inline(vision.map_components(_grid(), 0.5)))
+    return rows.select("vec_id", (F.element_at("rows", 1) * 8 + F.element_at("columns", 1)).cast("long").alias("first_cell"), F.size("rows").cast("long").alias("cells"), _total("rows").alias("rows"), _total("columns").alias("columns"))
+
+
+def _total(name: str) -> Column:
+    return F.aggregate(name, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+@query("m2_map_boxes", _map_components("0.5") + _RECTANGLES + """ SELECT f.vec_id, round(s.score, 6) AS score, round((width + width * height * 1.5 / (width + height)) * (height + width * height * 1.5 / (width + height)), 3) AS area, 4 AS corners
+    FROM f JOIN (SELECT vec_id, comp, avg(p) AS score FROM n GROUP BY 1, 2) s ON f.vec_id = s.vec_id AND f.comp = s.comp WHERE height >= 3 AND score >= 0.75""")
 def m2_map_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text areas of probability maps made from vectors (8 by 8)."""
+    """Text areas of probability maps made from vectors (8 by 8): sure and large enough, in least rectangles, grown."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    grid = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.slice("embedding", r * 8 + 1, F.lit(8)), lambda x: (1 / (1 + F.exp(-8 * x))).cast("double")))
-    return rows.select("vec_id", F.explode(vision.map_boxes(grid, 0.5, 0.5, 1.5)).alias("b")).select("vec_id", F.round("b.score", 6).alias("score"), F.size("b.quad").alias("corners"))
+    boxes = rows.select("vec_id", F.explode(vision.map_boxes(_grid(), 0.5, 0.75, 1.5)).alias("b"))
+    x, y = (lambda i: F.element_at("b.quad", i)["x"]), (lambda i: F.element_at("b.quad", i)["y"])
+    twice = sum((x(i) * y(i % 4 + 1) - x(i % 4 + 1) * y(i) for i in range(1, 5)), F.lit(0.0))
+    return boxes.select("vec_id", F.round("b.score", 6).alias("score"), F.round(F.abs(twice) / 2, 3).alias("area"), F.size("b.quad").alias("corners"))
 
 
 # Evaluation

@@ -7,6 +7,8 @@ line.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,50 +37,58 @@ def label_text(text: Column) -> Column:
     return F.when(has_tag(text) & (text != UNREADABLE), text)
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of one text file; labels are small, so order comes from one partition."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r\n|[\n\r]")))
-    return rows.select((F.col("pos") + 1).cast("long").alias("line_no"), F.col("col").alias("value"))
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, value) of a text file that may be split: line_no rises with the line's place, as no line is shorter than a byte."""
+    rows = spark.read.text(path)
+    number = F.input_file_block_start() + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.select(number.alias("line_no"), F.regexp_replace("value", r"\r\z", "").alias("value"))
+
+
+def _where(lines: DataFrame, place: int) -> int:
+    """The number, from 1, of the line at a place."""
+    return lines.where(F.col("line_no") <= place).count()
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object a line; blank lines and placeholder texts do not count."""
-    lines = _numbered(spark, path).where(F.btrim("value") != "")
+    every = _lines(spark, path)
+    lines = every.where(F.btrim("value") != "")
     parsed = lines.withColumn("r", F.from_json("value", FIELDS, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     keys = F.json_object_keys("value")
     bad = parsed.where(keys.isNull()).agg(F.min("line_no")).first()[0]
     if bad is not None:
-        raise DatasetError(f"line {bad}: not a JSON object")
+        raise DatasetError(f"line {_where(every, bad)}: not a JSON object")
     rows = parsed.select("line_no", "r.*", F.array_contains(keys, "verified").alias("has_verified"))
-    return _checked(rows.where(F.coalesce(F.col("text") != PLACEHOLDER, F.lit(True))).select(*COLUMNS))
+    return _checked(rows.where(F.coalesce(F.col("text") != PLACEHOLDER, F.lit(True))).select(*COLUMNS), lambda place: _where(every, place))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header; ; separates if the header has more of them than commas. Rows without an image, examples and placeholders do not count."""
-    lines = _numbered(spark, path)
-    head = lines.where("line_no = 1").first()
-    if head is None or not head["value"].strip("﻿"):
+    """CSV with a header; ; separates if the header has more of them than commas. Quoted fields may hold separators and line breaks.
+
+    Rows without an image, examples and placeholders do not count. line_no counts
+    records, the header being the first.
+    """
+    head = spark.read.text(path).limit(1).collect()
+    if not head or not head[0][0].strip("\ufeff"):
         return spark.createDataFrame([], f"line_no long, {FIELDS}, has_verified boolean").select(*COLUMNS)
-    header = head["value"].lstrip("﻿")
-    sep = ";" if header.count(";") > header.count(",") else ","
-    names = [n.strip().strip('"') for n in header.split(sep)]
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    body = lines.where("line_no > 1").where(F.btrim("value") != "")
-    parsed = body.select("line_no", F.from_csv("value", F.lit(schema), {"sep": sep}).alias("r"))
-    columns = {n: F.btrim(F.coalesce(F.col(f"r.c{i}"), F.lit(""))) for i, n in enumerate(names) if n}
+    sep = ";" if head[0][0].count(";") > head[0][0].count(",") else ","
+    table = spark.read.csv(path, sep=sep, header=True, multiLine=True, quote='"', escape='"', inferSchema=False, enforceSchema=True)
+    names = [c.lstrip("\ufeff").strip().strip('"') for c in table.columns]
+    table = table.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("line_no", F.monotonically_increasing_id() + 2)
+    columns = {n: F.btrim(F.coalesce(F.col(f"c{i}"), F.lit(""))) for i, n in enumerate(names) if n}
     text = lambda n: columns.get(n, F.lit(None).cast("string"))
-    rows = parsed.select(
+    rows = table.select(
         "line_no", text("image").alias("image"), text("session").alias("session"), text("split").alias("split"), text("tag_id").alias("tag_id"), text("text").alias("text"),
         F.lit(None).cast("array<array<double>>").alias("polygon"), text("verified").alias("verified"), F.lit("verified" in names).alias("has_verified"),
     )
     rows = rows.where((F.col("image") != "") & ~F.startswith("image", F.lit(EXAMPLE)) & F.coalesce(F.col("text") != PLACEHOLDER, F.lit(True)))
-    return _checked(rows)
+    return _checked(rows, int)
 
 
-def _checked(rows: DataFrame) -> DataFrame:
+def _checked(rows: DataFrame, number: Callable[[int], int]) -> DataFrame:
     bad = rows.where(F.col("image").isNull() | (F.col("image") == "")).agg(F.min("line_no")).first()[0]
     if bad is not None:
-        raise DatasetError(f"line {bad}: image is missing")
+        raise DatasetError(f"line {number(bad)}: image is missing")
     return rows
 
 

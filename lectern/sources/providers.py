@@ -7,6 +7,7 @@ pruned and tested like any other column; only posting leaves the engine.
 from __future__ import annotations
 
 import json
+import random
 import time
 import urllib.error
 import urllib.request
@@ -19,12 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.decision import QUOTA_CODES, RETRY_STATUSES
-from lectern.operators.answers import ANGLES, KEYS, LEGIBILITY
+from lectern.catalog import Catalog
+from lectern.operators.answers import ANGLES, LEGIBILITY, instructions
+from lectern.sources.images import Codec, codec, prepared
 
+# The schema of an answer.
 ANSWER_SCHEMA = {
     "type": "object", "additionalProperties": False, "required": ["tags"],
     "properties": {"tags": {"type": "array", "items": {
-        "type": "object", "additionalProperties": False, "required": sorted(KEYS),
+        "type": "object", "additionalProperties": False, "required": ["text", "legibility", "alternatives", "box", "angle"],
         "properties": {
             "text": {"type": "string"}, "legibility": {"type": "string", "enum": list(LEGIBILITY)}, "alternatives": {"type": "array", "items": {"type": "string"}},
             "box": {"type": "array", "items": {"type": "number"}}, "angle": {"type": "string", "enum": list(ANGLES)},
@@ -63,6 +67,11 @@ class Api:
     extract: Callable[[Column, str], Column]
     key_prefix: str = ""
     headers: tuple[tuple[str, str], ...] = ()
+    older_side: int | None = None
+
+    def side(self, model: str, recent: tuple[str, ...] = ()) -> int:
+        """The longest side of an image that a model reads as it is. Where older models shrink images, only names that start like one of recent get max_side."""
+        return self.older_side if self.older_side and not model.startswith(recent) else self.max_side
 
     def body(self, content: Column, instructions: Column, model: str) -> Column:
         """The request as JSON text."""
@@ -157,7 +166,7 @@ _TOKENS = "usage struct<input_tokens:long,output_tokens:long>"
 APIS = {
     a.name: a
     for a in (
-        Api("messages", "https://api.anthropic.com/v1/messages", "pixels_xyxy", 2576, "x-api-key", f"model string, stop_reason string, content array<struct<type:string,text:string>>, {_TOKENS}", _messages_build, _messages_extract, headers=(("anthropic-version", "2023-06-01"),)),
+        Api("messages", "https://api.anthropic.com/v1/messages", "pixels_xyxy", 2576, "x-api-key", f"model string, stop_reason string, content array<struct<type:string,text:string>>, {_TOKENS}", _messages_build, _messages_extract, headers=(("anthropic-version", "2023-06-01"),), older_side=1568),
         Api("responses", "https://api.openai.com/v1/responses", "normalized_xyxy", 2048, "Authorization", f"model string, status string, incomplete_details struct<reason:string>, output array<struct<type:string,content:array<struct<type:string,text:string>>>>, {_TOKENS}", _responses_build, _responses_extract, "Bearer "),
         Api("content", "https://generativelanguage.googleapis.com/v1beta/models/{model}:generateContent", "normalized_yxyx", 2048, "x-goog-api-key", "modelVersion string, promptFeedback struct<blockReason:string>, candidates array<struct<finishReason:string,content:struct<parts:array<struct<text:string,thought:boolean>>>>>, usageMetadata struct<promptTokenCount:long,candidatesTokenCount:long,thoughtsTokenCount:long>", _content_build, _content_extract),
         Api("chat", "https://api.deepseek.com/chat/completions", "normalized_xyxy", 1300, "Authorization", "model string, choices array<struct<finish_reason:string,message:struct<content:string,refusal:string>>>, usage struct<prompt_tokens:long,completion_tokens:long>", _chat_build, _chat_extract, "Bearer "),
@@ -174,16 +183,29 @@ def _transport(url: str, headers: dict[str, str], body: bytes, timeout: float) -
         return e.code, {k.lower(): v for k, v in e.headers.items()}, e.read().decode(errors="replace")
 
 
-def _wait(headers: dict[str, str], limited: bool, attempt: int) -> float:
+def _wait(headers: dict[str, str], limited: bool, attempt: int, spread: Callable[[], float]) -> float:
+    """Seconds before the next attempt: what the answer asks for, else doubling with up to a second of spread, at most a minute."""
     for name, unit in (("retry-after-ms", 0.001), ("retry-after", 1.0)):
         try:
             return min(max(float(headers[name]) * unit, 0.0), 60.0)
         except (KeyError, ValueError):
             continue
-    return min((5.0 if limited else 1.0) * 2.0**attempt, 60.0)
+    return min((5.0 if limited else 1.0) * 2.0**attempt + spread(), 60.0)
+
+
+def requests_of(photos: DataFrame, api: Api, model: str, catalog: Catalog, recent: tuple[str, ...] = (), make: Callable[[], Codec] = codec) -> DataFrame:
+    """(image, width, height, body, error) of photos (image, content): upright, as large as the model reads, with instructions for that size.
+
+    Boxes in an answer are in pixels of the image that was sent; scale leads back.
+    """
+    sent = photos.select("image", prepared(F.col("content"), api.side(model, recent), make).alias("p")).select("image", "p.*")
+    wide, high = F.round(F.col("width") / F.col("scale")).cast("int"), F.round(F.col("height") / F.col("scale")).cast("int")
+    text = F.replace(F.replace(F.lit(instructions(catalog, api.box_format, 0, 0)), F.lit("the image is 0 by 0 pixels"), F.concat(F.lit("the image is "), wide, F.lit(" by "), high, F.lit(" pixels"))), F.lit("\r"), F.lit(""))
+    body = F.when(F.col("error").isNull(), api.body(F.col("content"), text, model))
+    return sent.select("image", wide.alias("width"), high.alias("height"), "scale", body.alias("body"), "error")
 
 
-def post(requests: DataFrame, api: Api, model: str, key: Callable[[], str], retries: int = 2, timeout: float = 120.0, transport: Callable = _transport, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def post(requests: DataFrame, api: Api, model: str, key: Callable[[], str], retries: int = 2, timeout: float = 120.0, transport: Callable = _transport, sleep: Callable[[float], None] = time.sleep, spread: Callable[[], float] = random.random) -> DataFrame:
     """requests (with a column body) and http_status, error_code, response; transport faults have a null status.
 
     key is called on the executor, so that no plan or log holds it. Rate limits, server
@@ -211,7 +233,7 @@ def post(requests: DataFrame, api: Api, model: str, key: Callable[[], str], retr
             again = status is None or ((status in RETRY_STATUSES or status >= 500) and status != 402 and code not in QUOTA_CODES)
             if not again or attempt == retries:
                 return status, code, text
-            sleep(_wait(back, status == 429, attempt))
+            sleep(_wait(back, status == 429, attempt, spread))
         raise AssertionError
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

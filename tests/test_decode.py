@@ -7,8 +7,9 @@ import itertools
 import numpy as np
 import pytest
 
+from lectern.catalog import Catalog, Kind
 from lectern.grammar import compile_pattern
-from lectern.operators.decode import beam_search, constrained, greedy
+from lectern.operators.decode import all_kinds, beam_search, constrained, greedy
 
 
 def collapse(path, classes):
@@ -61,9 +62,35 @@ def test_goldens(written, pattern, read, spark):
     assert got[0]["g"]["text"] == written and got[1]["r"] is None
 
 
-def test_letter_o_is_read_as_zero():
-    rows = spell("GJO7966")
+def test_the_grammar_overrules_a_likelier_letter():
+    rows = spell("AB-128")
+    at = CLASSES.index("8")
     for r in rows:
-        if r[CLASSES.index("O")]:
-            r[CLASSES.index("O")], r[CLASSES.index("0")] = 0.6, 0.3
-    assert beam_search(rows, CLASSES, compile_pattern(r"GJ\d{5}"))[0][0] == "GJ07966"
+        if r[at]:
+            r[at], r[CLASSES.index("B")] = 0.35, 0.55
+    found = beam_search(rows, CLASSES, compile_pattern(r"AB-\d{3}"))
+    assert found[0][0] == "AB-128" and "AB-12B" not in dict(found)
+
+
+def test_batches_equal_single_matrices(spark):
+    """Matrices of any length, empty and null ones, and several kinds, decoded together."""
+    from pyspark.sql import functions as F
+
+    rng, catalog = np.random.default_rng(5), Catalog("c", (Kind("short", "[67]{1,2}"), Kind("long", "[679]{2,4}")))
+    classes = ["", "6", "7", "9"]
+    matrices = [rng.dirichlet([0.6] * 4, int(n)).tolist() for n in rng.integers(1, 12, 60)] + [[], None]
+    frame = spark.createDataFrame([(i, m) for i, m in enumerate(matrices)], "i int, probs array<array<double>>").repartition(2)
+    got = {r["i"]: r["found"] for r in frame.select("i", all_kinds(F.col("probs"), classes, catalog, beam=4).alias("found")).collect()}
+    for i, m in enumerate(matrices):
+        want = [] if m is None else [(t, p, k.tag_id, j) for j, k in enumerate(catalog.kinds) for t, p in beam_search(m, classes, k.automaton, beam=4)[:3]]
+        assert [tuple(r) for r in got[i]] == want
+
+
+@pytest.mark.parametrize("beam", [1, 2, 5])
+def test_a_narrow_beam_finds_no_more_than_there_is(beam):
+    a = compile_pattern("[679]{1,4}")
+    for seed in range(20):
+        matrix = np.random.default_rng(seed).dirichlet([0.6] * 4, 7).tolist()
+        classes = ["", "6", "7", "9"]
+        wide, narrow = dict(beam_search(matrix, classes, a, 500, 0.0)), beam_search(matrix, classes, a, beam, 0.0)
+        assert len(narrow) <= beam and all(p <= wide[t] + 1e-12 for t, p in narrow) and [p for _, p in narrow] == sorted((p for _, p in narrow), reverse=True)

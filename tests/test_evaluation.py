@@ -178,10 +178,24 @@ def test_results_table_and_stream(spark, tmp_path):
     table = str(tmp_path / "predictions")
     for _ in range(2):
         assert R.read_missing(found, table, "m", reads).count() == 2
-    assert R.read_missing(found, table, "m", reads, force=True).count() == 2
-    out = str(tmp_path / "stream")
-    ingest.read_stream(ingest.photo_stream(spark, str(photos)), reads, out, str(tmp_path / "cp")).awaitTermination(60)
-    assert spark.read.parquet(out).count() == 3
+    # forcing one photo keeps the others; what failed is read again, what was read is not
+    again = lambda d: d.select("image", F.lit(2).alias("n"))
+    only = found.where("image = 'a.jpg'")
+    assert [tuple(r)[:2] for r in R.read_missing(only, table, "m", again, force=True).select("image", "n").collect()] == [("a.jpg", 2)]
+    assert {r["image"]: r["n"] for r in R.predictions(spark, table, "m").collect()} == {"a.jpg": 2, "B.PNG": 1}
+    fails = lambda d: d.select("image", F.lit(None).cast("int").alias("n"), F.lit("down").alias("error"))
+    assert {r["error"] for r in R.read_missing(found, table, "f", fails).collect()} == {"down"}
+    heard = []
+    assert {r["n"] for r in R.read_missing(found, table, "f", again, progress=lambda *x: heard.append(x), parts=3).collect()} == {2} and heard == [(1, 3), (2, 3), (3, 3)]
+    assert {(r["n"], r["error"]) for r in R.read_missing(found, table, "f", fails, force=True).collect()} == {(2, None)}
+    # a stream reads into the same table, only photos, and only what is missing
+    (photos / "d.jpeg").write_bytes(b"x")
+    stream = ingest.photo_stream(spark, str(photos))
+    ingest.read_stream(stream, lambda d: d.select("image", F.lit(9).alias("n")), table, "m", str(tmp_path / "cp")).awaitTermination(60)
+    assert {r["image"]: r["n"] for r in R.predictions(spark, table, "m").collect()} == {"a.jpg": 2, "B.PNG": 1, "d.jpeg": 9}
+    assert R.predictions(spark, table, "none") is None
+    named = R.read_photos(spark, str(photos / "c.txt"), str(photos))
+    assert [r["image"] for r in R.in_order(named.select("image")).collect()] == ["B.PNG", "a.jpg", "c.txt", "d.jpeg"]
     name = spark.createDataFrame([("IMG_20260102_1.jpg", None), ("x.jpg", "2026:03:04 10:00"), ("x", None)], "n string, t string")
     assert [r[0] for r in name.select(R.session_of(F.col("n"), F.col("t"))).collect()] == ["2026-01-02", "2026-03-04", ""]
 

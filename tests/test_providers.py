@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.sources.providers import ANSWER_SCHEMA, APIS, post
+from lectern.sources.providers import ANSWER_SCHEMA, APIS, post, requests_of
 
 RESPONSES = {
     "messages": [({"model": "m2", "content": [{"type": "thinking"}, {"type": "text", "text": "A"}], "usage": {"input_tokens": 5, "output_tokens": 2}}, ("A", "m2", 5, 2, None)), ({"stop_reason": "refusal"}, "refused"), ({"stop_reason": "max_tokens"}, "truncated"), ({"content": []}, "invalid_response")],
@@ -52,3 +53,23 @@ def test_post(spark):
     rows = spark.createDataFrame([(i, json.dumps({"n": i})) for i in range(4)], "i int, body string")
     got = post(rows, APIS["chat"], "m", secret, transport=wire, sleep=lambda s: None).orderBy("i").collect()
     assert [(r["http_status"], r["error_code"]) for r in got] == [(200, None), (429, None), (403, "insufficient_quota"), (None, None)]
+
+
+def test_waits_spread(spark):
+    from lectern.sources.providers import _wait
+
+    assert [_wait({}, limited, n, lambda: 0.25) for limited, n in ((False, 0), (False, 2), (True, 1), (True, 9))] == [1.25, 4.25, 10.25, 60.0]
+    assert [_wait(h, True, 0, lambda: 0.25) for h in ({"retry-after-ms": "1500"}, {"retry-after": "7"}, {"retry-after": "999"}, {"retry-after": "soon"})] == [1.5, 7.0, 60.0, 5.25]
+
+
+def test_images_as_large_as_the_model_reads(spark):
+    from lectern.catalog import Catalog
+    from lectern.sources.images import PixelMap
+
+    api = APIS["messages"]
+    assert api.side("old-1", ("new-",)) == 1568 and api.side("new-2", ("new-",)) == api.max_side and APIS["chat"].side("any") == 1300
+    wide = PixelMap().encode(np.zeros((10, 3200, 3), np.uint8))
+    photos = spark.createDataFrame([("a", bytearray(wide)), ("b", bytearray(b"?"))], "image string, content binary")
+    got = {r["image"]: r for r in requests_of(photos, api, "old-1", Catalog("e"), make=PixelMap).collect()}
+    assert (got["a"]["width"], got["a"]["height"]) == (1568, 5) and "1568 by 5 pixels" in got["a"]["body"]
+    assert got["b"]["body"] is None and got["b"]["error"]
