@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import Any, Protocol
 
 import numpy as np
@@ -148,6 +149,30 @@ def boxes(probability: np.ndarray, threshold: float, box_threshold: float, uncli
     return out
 
 
+POINTS = "array<struct<x:double,y:double>>"
+
+
+def _shapes(points: Column, shape: Callable[[np.ndarray], np.ndarray]) -> Column:
+    """A shape's corners for a column array<array<double>> of points."""
+
+    @F.arrow_udf(POINTS)
+    def run(column: pa.Array) -> pa.Array:
+        out = [[{"x": float(x), "y": float(y)} for x, y in shape(np.array(p.as_py(), float))] if p.is_valid and len(p) else [] for p in column]
+        return pa.array(out, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+
+    return run(points)
+
+
+def hulls(points: Column) -> Column:
+    """hull() of each row's points."""
+    return _shapes(points, hull)
+
+
+def rectangles(points: Column) -> Column:
+    """The corners of smallest_rectangle() around each row's points."""
+    return _shapes(points, lambda p: corners(*smallest_rectangle(p)))
+
+
 def map_components(rows: Column, threshold: float) -> Column:
     """components() of the cells above threshold, over a column array<array<double>> of maps."""
 

@@ -777,7 +777,7 @@ def e16_session_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s8_unread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Photos that the prediction table lacks."""
     photos = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("image"))
-    done = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 1").select(F.col("l_partkey").alias("image"), F.lit("b").alias("backend"))
+    done = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("image"), F.lit("b").alias("backend"), F.when(F.col("l_linenumber") > 1, "down").alias("error"))
     return R.unread(photos, done, "b")
 
 
