@@ -97,11 +97,12 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep:
     """
     body, largest = F.coalesce(F.col(text), F.lit("")), keep == "largest"
     plain = [F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    rows = df.withColumns({"_own_digest": F.sha2(body.cast("binary"), 256), "_own_row": F.xxhash64(*plain)})
-    order = F.struct(*(_order(F.col(doc_id), largest)[c].alias(c) for c in ("late", "id")), F.col("_own_row").alias("row"))
-    slim = rows.select(F.col("_own_digest").alias("digest"), F.octet_length(body).alias("size"), F.xxhash64(body).alias("proof"), order.alias("order"))
+    digest, row = F.sha2(body.cast("binary"), 256), F.xxhash64(*plain)
+    order = F.struct(*(_order(F.col(doc_id), largest)[c].alias(c) for c in ("late", "id")), row.alias("row"))
+    slim = df.select(digest.alias("digest"), F.octet_length(body).alias("size"), F.xxhash64(body).alias("proof"), order.alias("order"))
     runs = runs_of(df)
     merged = merge_runs(_entries(slim, runs, largest), runs, largest=largest)
-    stays = merged.select(F.col("digest").alias("_own_digest"), F.col("best.row").alias("_own_row"))
-    once = rows.dropDuplicates(["_own_digest", "_own_row"])  # equal rows meet before they travel; copies of a text are dealt by their rows
-    return once.join(stays, ["_own_digest", "_own_row"], "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    stays = merged.select("digest", F.col("best.row").alias("row"))
+    rows = df.select(digest.alias("digest"), row.alias("row"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("whole"))
+    once = rows.dropDuplicates(["digest", "row"])  # equal rows meet before they travel; copies of a text are dealt by their rows
+    return once.join(stays, ["digest", "row"], "left_semi").select("whole.*")

@@ -194,6 +194,7 @@ def mix(df: DataFrame, source: str = "source", doc_id: str = "doc_id", **how: ob
     schedule() defines hold here too.
     """
     made = prepare(df, source=source, doc_id=doc_id, **how)  # type: ignore[arg-type]
-    rows = made.placed(df, source, doc_id).where("_copies > 0").withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(source).alias("source"), F.col(doc_id).alias("id"))
+    rows = made.placed(whole, "source", "id").where("_copies > 0").withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     turn = _hash(made.seed + 3, F.col("_order"), F.col("_block"), F.col("_pass"))
-    return rows.withColumn("_turn", turn).repartition("_turn").sortWithinPartitions("_turn", "_key").select(*[F.col(f"`{c}`") for c in df.columns])
+    return rows.withColumn("_turn", turn).repartition("_turn").sortWithinPartitions("_turn", "_key").select("row.*")

@@ -332,9 +332,13 @@ def near_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width
 
 
 def near_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
-    """df without the rows that near_groups() does not keep: of each group the smallest doc_id stays."""
+    """df without the rows that near_groups() does not keep: of each group the smallest doc_id stays.
+
+    Rows that repeat the doc_id that stays all stay; other columns go along as they are.
+    """
     gone = near_groups(df, text, doc_id, width, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(doc_id).alias("id"))
+    return rows.join(gone, F.col("id") == F.col("_gone"), "left_anti").select("row.*")
 
 
 def _joined(comps: DataFrame, edges: DataFrame, stages: Stages) -> DataFrame:

@@ -241,18 +241,21 @@ def disclosing(df: DataFrame, text: str, support: int = SUPPORT, threshold: floa
     return joined.where(share >= threshold).select("entity", "term")
 
 
-def sanitise(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def sanitise(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), support: int = SUPPORT, threshold: float = THRESHOLD, manner: str = "mask") -> DataFrame:
     """One row per input row: the columns of keep, base and added spans (kind, start, end in code points), sanitised text.
 
     added: every place of a disclosing term, in texts without its entity too, but
-    not where a pattern's span is. Null texts count as empty and have no span;
+    not where a pattern's span is. manner: one of MANNERS, how spans leave the text.
+    Null texts count as empty and have no span; a text of any length is read whole;
     repeated rows count as documents of their own; an empty table gives an empty
-    result. Only keep and text are read. Each task is sent the disclosing terms, 8
+    result. Only keep and text are read, so other columns cannot clash. Each task is sent the disclosing terms, 8
     bytes each.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    if manner not in MANNERS:
+        raise ValueError(f"manner is one of {', '.join(MANNERS)}")
     keep = list(keep)
     full = StructType([df.schema[c] for c in keep] + StructType.fromDDL(MARKED).fields)
     schema = to_arrow_schema(full)
@@ -270,7 +273,7 @@ def sanitise(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
                     added = [("term", a, b) for a, b in _outside(at.get(i - lo, []), base)]
                     for to, x in zip(cols, (base, added), strict=False):
                         to.append([{"kind": k, "start": a, "end": b} for k, a, b in x])
-                    cols[2].append(redact(body, [*base, *added]))
+                    cols[2].append(redact(body, [*base, *added], manner))
                 kept = [batch.column(i).slice(lo, hi - lo).cast(schema.field(i).type) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(kept + [pa.array(c, schema.field(len(keep) + i).type) for i, c in enumerate(cols)], schema=schema)
 
@@ -307,11 +310,28 @@ def _outside(places: list[tuple[int, int]], spans: list[tuple[str, int, int]]) -
     return [x for i, x in enumerate(places) if i not in gone]
 
 
-def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str:
-    """text with each span replaced by its kind; overlapping spans become one."""
-    out, at = [], 0
+#: How spans leave the text: their kind in their place, a more general value of the kind, or nothing.
+MANNERS = ("mask", "generalise", "remove")
+
+
+def general(kind: str, value: str) -> str:
+    """A value that many share: an address's last domain, an IP's first number, a card's first digit, a phone's country code, a term's shape."""
+    if kind == "email":
+        return f"*@*.{value.rpartition('.')[2]}"
+    if kind == "ip":
+        return f"{value.partition('.')[0]}.*.*.*"
+    if kind == "card":
+        return f"{value[0]}***"
+    if kind == "phone":
+        return f"{re.split('[^0-9]', value[1:])[0][:3]}".join(("+", "***"))
+    return "[CODE]" if any(c.isdigit() for c in value) else "[NAME]" if value[:1].isupper() else "[TERM]"
+
+
+def redact(text: str | None, spans: list[tuple[str, int, int]], manner: str = "mask") -> str:
+    """text with each span masked, generalised or removed; overlapping spans become one."""
+    out, at, body = [], 0, text or ""
     for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
         if a >= at:
-            out += [(text or "")[at:a], f"[{kind.upper()}]"]
+            out += [body[at:a], f"[{kind.upper()}]" if manner == "mask" else general(kind, body[a:b]) if manner == "generalise" else ""]
         at = max(at, b)
     return "".join(out) + (text or "")[at:]

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
+import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -96,3 +99,85 @@ def test_codes_reach_the_least_probability():
         step, counts = lm.step_for(tokens), np.unique(np.geomspace(1, tokens, 500).astype(np.int64))
         p = (counts - lm.DISCOUNT) / tokens
         assert np.abs(np.log10(lm.probabilities(step)[lm.quantise(p, step)] / p)).max() <= 0.5 * step + 1e-9
+
+
+def brute_disclosing(texts, support, threshold):
+    """(entity, term) pairs, counted document by document, with contexts as the words themselves."""
+    total, word = len(texts), re.compile(pii._TERM.pattern)
+    n_e, places, n_t, n_et, marks = (collections.Counter() for _ in range(5))
+    seen = collections.defaultdict(set)
+    for body in (t or "" for t in texts):
+        spans = pii.base_spans(body)
+        words = [(m.start(), m.end(), m[0].lower()) for m in word.finditer(body)]
+        n_t.update({w for w in re.split("[^a-z0-9\\x80-\\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in body)) if w})
+        usable = {i: w for i, (a, b, w) in enumerate(words) if b - a >= 3 and not w.isdigit() and not any(a < y and b > x for _, x, y in spans)}
+        held = collections.defaultdict(list)
+        for s in spans:
+            held[pii.entity_of(body, s)].append(s)
+        for e, own in held.items():
+            n_e[e] += 1
+            places[e] += len(own)
+            close, first = set(), None
+            for _, a, b in own:
+                lo, hi = sum(y <= a for _, y, _ in words), next((i for i, (x, _, _) in enumerate(words) if x >= b), len(words))
+                window = [*range(max(0, lo - pii.NEAR), lo), *range(hi, min(len(words), hi + pii.NEAR))]
+                context = tuple(words[i][2] for i in window)
+                first = context if first is None else first
+                for i in window:
+                    if i in usable:
+                        seen[e, usable[i]].add(context)
+                        close.add(usable[i])
+            for w in set(usable.values()):
+                n_et[e, w] += 1
+                if w not in close:
+                    i = min(j for j, x in usable.items() if x == w)
+                    seen[e, w].add((tuple(x[2] for x in words[max(0, i - pii.NEAR) : i + pii.NEAR + 1]), first))
+    share = lambda e, w: 1 + math.log2(min(n_et[e, w] / n_t[w], 1)) / max(math.log2(total / n_e[e]), 1e-9)
+    return {(e, pii._hash(w)) for e, w in n_et if places[e] >= support and len(seen[e, w]) >= support and share(e, w) >= threshold}
+
+
+def test_disclosing_terms_equal_brute_force(spark):
+    rng = random.Random(8)
+    people = [(f"Name{i}ov", f"p{i}@corp.example", f"10.0.0.{i}") for i in range(6)]
+    common = [f"word{i}" for i in range(40)]
+    texts = [None, "", "plain text only"]
+    for _ in range(260):
+        words = rng.choices(common, k=rng.randint(5, 40))
+        for name, mail, ip in rng.sample(people, rng.choice((0, 0, 1, 1, 2))):
+            for x in (name, rng.choice((mail, ip)), *rng.choices((name, mail, "agent"), k=rng.randint(0, 2))):
+                words.insert(rng.randrange(len(words) + 1), x)
+        texts.append(" ".join(words))
+    texts += [texts[20]] * 15
+    for threshold in (0.5, 0.8):
+        found = pii.disclosing(spark.createDataFrame(rows_of(texts), SCHEMA).repartition(3), "text", threshold=threshold)
+        want = brute_disclosing(texts, pii.SUPPORT, threshold)
+        assert want and {tuple(r) for r in found.collect()} == want
+
+
+def test_manners_of_sanitising(spark):
+    told = [f"north{i} call Zanzibarov or agent7 at zz@corp.example, +44 20 7946 0018 south{i}" for i in range(4)]
+    df = spark.createDataFrame(rows_of([*told, "10.2.3.4 paid 4111 1111 1111 1111", *["nothing to see here"] * 200]), SCHEMA)
+    general = by_id(pii.sanitise(df, manner="generalise"))
+    assert general[0]["sanitised"] == "north0 [TERM] [NAME] or [CODE] at *@*.example, +44*** south0" and general[4]["sanitised"] == "10.*.*.* paid 4***"
+    assert by_id(pii.sanitise(df, manner="remove"))[4]["sanitised"] == " paid "
+
+
+def test_clashing_columns_and_repeats(spark):
+    """Columns named like the operators' own, null in any column, a long text, repeated rows and ids."""
+    from lectern.llm import exactdup, mixing, neardup
+
+    names = ["row", "id", "digest", "_gone", "_p", "_c", "_key", "_copies", "source", "rep", "whole", "n"]
+    long = " ".join(f"w{i % 997}" for i in range(40_000))
+    rows = [(1, "a b c d e f g", *["x"] * 12), (1, "a b c d e f g", *["x"] * 12), (2, "a b c d e f g", *["y"] * 12), (3, None, *[None] * 12), (None, "", *["z"] * 12), (4, long, *["x"] * 12), (5, long + " tail", *["x"] * 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    once = exactdup.exact_dedup(df, keep="largest")
+    assert once.columns == df.columns and sorted((r["doc_id"], r["row"]) for r in once.collect()) == [(2, "y"), (3, None), (4, "x"), (5, "x")]
+    near = neardup.near_dedup(df)
+    assert near.columns == df.columns and sorted((r["doc_id"] or 0, r["rep"] or "") for r in near.collect()) == [(0, "z"), (1, "x"), (1, "x"), (3, ""), (4, "x")]
+    mixed = mixing.mix(df, limit=1.0)
+    assert mixed.columns == df.columns and {(r["doc_id"], r["_copies"]) for r in mixed.collect()} == {(r[0], r[2]) for r in rows}
+    found = by_id(licenses.scan(df, keep=("doc_id", "n")))
+    assert len(found) == 6 and found[4]["n_sentences"] == 1 and by_id(media.store(df))[4]["n_bytes"] == len(long)
+    packed = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"))
+    assert packed.where("doc_id = 4").agg({"length": "sum"}).first()[0] == packed.where("doc_id = 4").first()["doc_tokens"] > 40_000
+    assert packed.where("doc_id = 1 AND start = 0").count() == 2 and packing.pack(df.limit(0), public_tokenizers.path("word_bpe_49k.json")).count() == 0
