@@ -123,12 +123,9 @@ class Block:
         self.train = _unpack(row["train"]).astype(bool)
         self.bounds, self.tokens = _unpack(row["bounds"]), _unpack(row["tokens"]).astype(np.int32)
         self.learns = np.repeat(self.train, np.diff(self.bounds))
-        for name in ("vocabulary", "word_ids", "counts", "codes", "follow", "pair_counts"):
+        for name in ("vocabulary", "word_ids", "counts"):
             if name in row:
                 setattr(self, name, _unpack(row[name]))
-        if "pair_ids" in row:
-            self.pair_ids = np.zeros(len(self.pair_counts), np.int64)
-            self.pair_ids[self.pair_counts >= LEAST] = _unpack(row["pair_ids"])
 
 
 # Messages. A block's row holds one parcel for each shard of a range; a shard's row holds parcels of one or more blocks.
@@ -241,7 +238,7 @@ class Grams:
     that stands for none, so that all its successors are counted.
     """
 
-    def __init__(self, context: np.ndarray, known: np.ndarray, b: Block, ids: np.ndarray, counts: np.ndarray, n: int, shards: int, asks: bool = True) -> None:
+    def __init__(self, context: np.ndarray, known: np.ndarray, b: Block, ids: np.ndarray, counts: np.ndarray, n: int, shards: int) -> None:
         self.ids, self.counts = ids, counts
         self.ok = known & (b.counts[b.tokens] > 0)
         key = context[self.ok].astype(np.uint64)
@@ -250,8 +247,6 @@ class Grams:
         unique, which = np.unique(key, return_inverse=True)
         del key
         self.different, self.which = len(unique), which.astype(np.int32)
-        if not asks:
-            return
         v, w = (unique >> W.U(32)).astype(np.int64), (unique & W.U(0xFFFFFFFF)).astype(np.int64)
         parts = np.minimum(1 + counts * shards // max(n, 1), shards)
         alone = (parts > 1) | (np.bincount(v, minlength=len(ids)) == 0)
@@ -292,35 +287,38 @@ class Grams:
         return np.bincount(self.v[self.head], values, len(self.ids)).astype(np.int64)
 
 
-def _pairs(b: Block, n: int, shards: int, asks: bool = True) -> tuple[np.ndarray, Grams]:
+def _pairs(b: Block, n: int, shards: int) -> tuple[np.ndarray, Grams]:
     """The word before each token, and the block's word pairs; a document starts after an end."""
     before = np.empty_like(b.tokens)
     before[1:] = b.tokens[:-1]
     before[b.bounds[:-1]] = b.tokens[b.bounds[1:] - 1]
-    return before, Grams(before, b.counts[before] > 0, b, b.word_ids, b.counts, n, shards, asks)
+    return before, Grams(before, b.counts[before] > 0, b, b.word_ids, b.counts, n, shards)
 
 
-def _triples(b: Block, pairs: Grams, n: int, shards: int) -> tuple[np.ndarray, np.ndarray, Grams]:
-    """The word pair before each token, whether it is a context, and the block's grams of three; a document's first token has none."""
+def _triples(b: Block, pairs: Grams, items: list[dict], n: int, shards: int) -> tuple[np.ndarray, np.ndarray, Grams]:
+    """The word pair before each token, whether it is a context, and the block's grams of three; a document's first token has none.
+
+    items: the answers to pairs, which say how often each occurs and which node it is.
+    """
+    count = _joined(items, "z")
+    ids = np.zeros(len(count), np.int64)
+    ids[count >= LEAST] = _joined(items, "u", _unpack_rising)
+    count, ids = pairs.dealt(count), pairs.dealt(ids)
     before = np.full(len(b.tokens), -1, np.int32)
-    before[1:][pairs.ok[:-1]] = pairs.which if pairs.ok[-1:].sum() == 0 else pairs.which[:-1]
+    before[1:][pairs.ok[:-1]] = pairs.which[: np.count_nonzero(pairs.ok[:-1])]
     before[b.bounds[:-1]] = -1
-    known = (before >= 0) & (np.append(b.pair_counts, 0)[before] >= LEAST)
+    known = (before >= 0) & (np.append(count, 0)[before] >= LEAST)
     before[~known] = 0
-    return before, known, Grams(before, known, b, b.pair_ids, b.pair_counts, n, shards)
+    return before, known, Grams(before, known, b, ids, count, n, shards)
 
 
-def _ask_grams(state: DataFrame, order: int, n: int, shards: int) -> DataFrame:
+def _ask_pairs(state: DataFrame, n: int, shards: int) -> DataFrame:
     span = _span(shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                b = Block(row)
-                _, grams = _pairs(b, n, shards, order == 2)
-                if order == 3:
-                    *_, grams = _triples(b, grams, n, shards)
-                yield _ask_rows(row["block"], grams.parcels(shards), span)
+                yield _ask_rows(row["block"], _pairs(Block(row), n, shards)[1].parcels(shards), span)
 
     return state.mapInArrow(run, ASKED)
 
@@ -366,9 +364,6 @@ def _say_grams(asked: DataFrame, step: float, shards: int, nodes: bool) -> DataF
 
 
 STATE = "block long, doc_ids binary, train binary, bounds binary, tokens binary, word_ids binary, counts binary"
-STATE_3 = f"{STATE}, codes binary, follow binary, pair_counts binary, pair_ids binary"
-
-
 def _sorted_items(right: pa.Table) -> list[dict]:
     return sorted(_items(right), key=lambda i: i["shard"])
 
@@ -403,52 +398,53 @@ def _row(left: pa.Table) -> dict:
     return {c: left[c][0].as_py() for c in left.schema.names}
 
 
-def _learn_pairs(state: DataFrame, back: DataFrame, n: int, shards: int) -> DataFrame:
-    """Blocks with the code, count and id of each different word pair, and the followers of each word."""
+def _ask_triples(state: DataFrame, back: DataFrame, n: int, shards: int) -> DataFrame:
+    """Parcels of grams of three, once a block has heard of its pairs."""
+    span = _span(shards)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        items = _sorted_items(right)
-        _, pairs = _pairs(Block(_row(left)), n, shards)
-        count = _joined(items, "z")
-        ids = np.zeros(len(count), np.int64)
-        ids[count >= LEAST] = _joined(items, "u", _unpack_rising)
-        dealt = pairs.dealt(count)
-        new = (pairs.dealt(_joined(items, "y", _codes)), pairs.followers(_joined(items, "x")), dealt, pairs.dealt(ids)[dealt >= LEAST])
-        return pa.table([left[c].combine_chunks() for c in left.schema.names] + [pa.array([_pack(x)], pa.binary()) for x in new], names=[x.split()[0] for x in STATE_3.split(", ")])
+        b = Block(_row(left))
+        _, pairs = _pairs(b, n, shards)
+        *_, triples = _triples(b, pairs, _sorted_items(right), n, shards)
+        return pa.Table.from_batches([_ask_rows(left["block"][0].as_py(), triples.parcels(shards), span)])
 
-    return state.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, STATE_3)
+    return state.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, ASKED)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(state: DataFrame, back: DataFrame, order: int, n: int, v: int, rest: float, shards: int) -> DataFrame:
+def _score(state: DataFrame, back: list[DataFrame], n: int, v: int, rest: float, shards: int) -> DataFrame:
+    """back: the answers to orders 2 and, maybe, 3."""
     table = probabilities(step_for(n))
 
-    def mixed(grams: Grams, context: np.ndarray, known: np.ndarray, codes: np.ndarray, follow: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    def mixed(grams: Grams, context: np.ndarray, known: np.ndarray, items: list[dict], lower: np.ndarray) -> np.ndarray:
         """Interpolated probabilities of all tokens: discounted ones and the share left for the lower order."""
         own = np.zeros(len(lower))
-        own[grams.ok] = table[codes][grams.which]
-        left = DISCOUNT * follow[context] / np.maximum(grams.counts[context], 1)
-        return np.where(known, own + left * lower, lower)
+        own[grams.ok] = table[grams.dealt(_joined(items, "y", _codes))][grams.which]
+        left = DISCOUNT * grams.followers(_joined(items, "x")) / np.maximum(grams.counts, 1)
+        own += left[context] * lower
+        return np.where(known, own, lower)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        b, items = Block(_row(left)), _sorted_items(right)
+        b, answers = Block(_row(left)), _items(right)
+        by_order = [sorted((i for i in answers if i["order"] == k), key=lambda i: i["shard"]) for k in (2, 3)]
         base = np.log10((b.counts + 0.5) / (n + 0.5 * (v + 1)))
         p = (np.where(b.counts > 0, b.counts - rest, rest * v + 0.5) / (n + 0.5))[b.tokens]
-        before, pairs = _pairs(b, n, shards, order == 2)
-        said = _joined(items, "y", _codes), _joined(items, "x")
-        if order == 3:
-            p = mixed(pairs, before, b.counts[before] > 0, b.codes, b.follow, p)
-            before, known, triples = _triples(b, pairs, n, shards)
-            p = mixed(triples, before, known, triples.dealt(said[0]), triples.followers(said[1]), p) if known.any() else p
-        else:
-            p = mixed(pairs, before, b.counts[before] > 0, pairs.dealt(said[0]), pairs.followers(said[1]), p)
+        before, pairs = _pairs(b, n, shards)
+        p = mixed(pairs, before, b.counts[before] > 0, by_order[0], p)
+        if by_order[1]:
+            before, known, triples = _triples(b, pairs, by_order[0], n, shards)
+            p = mixed(triples, before, known, by_order[1], p)
         sums = [np.add.reduceat(x, b.bounds[:-1]) for x in (base[b.tokens], np.log10(p), (b.counts[b.tokens] > 0).astype(np.int64))]
         docs = len(b.train)
         return pa.table([pa.array(b.ids, pa.int64(), mask=b.no_id.astype(bool)), pa.array(~b.train), pa.array(np.diff(b.bounds)), pa.array(sums[2]), pa.array(np.full(docs, n, np.int64)), pa.array(sums[0]), pa.array(sums[1])], names=[x.split()[0] for x in SCORES.split(", ")])
 
-    return state.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, SCORES)
+    def marked(answers: DataFrame, k: int) -> DataFrame:
+        return answers.withColumn("items", F.transform("items", lambda i: i.withField("order", F.lit(k))))
+
+    every = marked(back[0], 2) if len(back) == 1 else marked(back[0], 2).unionByName(marked(back[1], 3))
+    return state.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(run, SCORES)
 
 
 def score(df: DataFrame, train: Column, text: str = "text", doc_id: str = "doc_id", shard_tokens: int = SHARD_TOKENS, order: int = ORDER) -> DataFrame:
@@ -483,9 +479,9 @@ def score(df: DataFrame, train: Column, text: str = "text", doc_id: str = "doc_i
     step, done = step_for(n), words
     state = stages.save(_learn_words(state, _return(words, shards, blocks)), "known")
     stages.drop(done)
-    for k in range(2, order + 1):
-        said = round_(_ask_grams(state, k, n, shards), f"grams{k}", lambda a, k=k: _say_grams(a, step, shards, k < order))
-        if k < order:
-            old, state = state, stages.save(_learn_pairs(state, _return(said, shards, blocks), n, shards), "pairs")
-            stages.drop(old, said)
-    return _score(state, _return(said, shards, blocks), order, n, v, rest, shards)
+    pairs = round_(_ask_pairs(state, n, shards), "pairs", lambda a: _say_grams(a, step, shards, order > 2))
+    back = [_return(pairs, shards, blocks)]
+    if order > 2:
+        triples = round_(_ask_triples(state, back[0], n, shards), "triples", lambda a: _say_grams(a, step, shards, False))
+        back.append(_return(triples, shards, blocks))
+    return _score(state, back, n, v, rest, shards)
