@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lectern.catalog import Catalog
 from lectern.functions import decision
 from lectern.plans import evaluation, reading, review
-from lectern.sources import labels, models, results
+from lectern.sources import images, labels, models, results
 
 
 def _match(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -62,7 +62,8 @@ def _prelabel(spark: SparkSession, a: argparse.Namespace) -> int:
     merged = evaluation.merge_readers(first, *second)
     Path(a.out).mkdir(parents=True, exist_ok=True)
     results.write_labels_csv(merged, f"{a.out}/labels.csv")
-    Path(a.out, "review.html").write_text(review.review_page(merged, a.title), encoding="utf-8")
+    pictures = results.read_photos(spark, a.photos).select("image", images.thumbnail(F.col("content")).alias("picture")) if a.photos else None
+    review.write_review(merged, a.out, a.title, pictures)
     return 0
 
 
@@ -196,6 +197,7 @@ def main(arguments: list[str] | None = None) -> int:
     four.add_argument("out")
     four.add_argument("predictions", nargs="+")
     four.add_argument("--title", default="review")
+    four.add_argument("--photos", help="folder of photos to show beside their rows")
     five = commands.add_parser("read", help="read photos and print one JSON line a photo")
     five.add_argument("paths", nargs="+", help="photos or folders of photos")
     _reading_options(five)

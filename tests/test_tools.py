@@ -10,7 +10,7 @@ import pytest
 
 from lectern.__main__ import main
 from lectern.functions.registry import register
-from lectern.plans.review import page
+from lectern.plans.review import page, write_review
 from lectern.queries import LOT
 from lectern.sources.models import Manifest, ModelError, fetch, manifests, ship
 
@@ -49,6 +49,15 @@ def test_page_escapes():
     assert "<i>" not in text and "</script>\"" not in text and "&lt;t&gt;" in text
 
 
+def test_pages_keep_photos_together(spark, tmp_path):
+    rows = [(f"p{i // 3}", "s", i % 3, "t", "k", "t", "", 0 if i < 3 else 3) for i in range(30)]
+    frame = spark.createDataFrame(rows, "image string, session string, row_no int, text string, tag_id string, ai_1 string, ai_2 string, priority int")
+    pictures = spark.createDataFrame([("p1", bytearray(b"jpg"))], "image string, picture binary")
+    paths = write_review(frame, str(tmp_path), "r", pictures, most=10)
+    bodies = [open(p, encoding="utf-8").read() for p in paths]
+    assert [b.count("data-row=") for b in bodies] == [12, 12, 6] and sum(b.count("base64,anBn") for b in bodies) == 3 and bodies[0].index("p0") < bodies[0].index("p1")
+
+
 def test_models(spark, tmp_path):
     raw = b"model"
     doc = {"name": "m", "files": [{"name": "f.onnx", "url": "u", "sha256": hashlib.sha256(raw).hexdigest(), "size": 5}], "detection": {"threshold": 0.3}, "charset": "ab"}
