@@ -73,9 +73,8 @@ def _factory(name: str) -> Callable[[], Any]:
     return getattr(importlib.import_module(module), function)
 
 
-def _local(spark: SparkSession, a: argparse.Namespace, catalog: Catalog) -> Callable[[DataFrame], DataFrame]:
+def _local(spark: SparkSession, a: argparse.Namespace, catalog: Catalog, folder: str) -> Callable[[DataFrame], DataFrame]:
     classes, detector, recognizer, decoder = _factory(a.models)()
-    folder = f"{a.table}/work-{uuid.uuid4().hex}"
 
     def save(rows: DataFrame) -> DataFrame:
         path = f"{folder}/{uuid.uuid4().hex}"
@@ -85,6 +84,15 @@ def _local(spark: SparkSession, a: argparse.Namespace, catalog: Catalog) -> Call
     return lambda photos: reading.read_local(photos, classes, catalog, detector, recognizer, decoder, a.open, a.backend, save)
 
 
+def _missing(spark: SparkSession, a: argparse.Namespace, catalog: Catalog, photos: DataFrame, parts: int = 1) -> DataFrame:
+    """Predictions of photos, read where they are missing; what the models said lies in a folder of this run until then."""
+    folder = f"{a.table}/work-{uuid.uuid4().hex}"
+    try:
+        return results.read_missing(photos, a.table, a.backend, _local(spark, a, catalog, folder), a.force, lambda done, all_: print(f"{done} of {all_}", file=sys.stderr), parts)
+    finally:
+        results.delete(spark, folder)
+
+
 def _said(row: dict[str, Any]) -> dict[str, Any]:
     return {"file": row["image"], "error": row["error"]} if row["error"] else {"file": row["image"], "result": json.loads(row["json"])}
 
@@ -92,7 +100,7 @@ def _said(row: dict[str, Any]) -> dict[str, Any]:
 def _read(spark: SparkSession, a: argparse.Namespace) -> int:
     catalog = Catalog.from_file(a.catalog)
     photos = results.read_photos(spark, *a.paths)
-    found = results.read_missing(photos, a.table, a.backend, _local(spark, a, catalog), a.force, lambda done, all_: print(f"{done} of {all_}", file=sys.stderr), a.parts)
+    found = _missing(spark, a, catalog, photos, a.parts)
     shown = results.in_order(found.select("image", "error", results.result_json(F.struct("image", "engine_version", "model_version", "tags", "timings_ms", "other_texts", "api_usage")).alias("json")))
     failed = 0
     if a.out:
@@ -118,7 +126,7 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> int:
         return 2
     start = time.perf_counter()
     wanted = photos.join(truth.select("image"), "image", "left_semi")
-    found = results.read_missing(wanted, a.table, a.backend, _local(spark, a, catalog), a.force)
+    found = _missing(spark, a, catalog, wanted)
     rows = [r.asDict() for r in evaluation.evaluate(truth, found).collect()]
     total = next(r for r in rows if r["total"])
     tokens = found.agg(F.sum("api_usage.input_tokens").alias("input"), F.sum("api_usage.output_tokens").alias("output")).first().asDict()

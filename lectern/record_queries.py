@@ -6,6 +6,8 @@ the outcome row by row.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
 import tempfile
 import uuid
@@ -39,7 +41,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(root or tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{(root or tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def clear() -> None:
+        with contextlib.suppress(Exception):  # the application may be gone
+            R.delete(spark, path)
+
+    atexit.register(clear)
+    return path
 
 
 # Grammar: patterns with what they mean, worked out by hand

@@ -70,6 +70,12 @@ def _path(spark: SparkSession, path: str) -> tuple[object, object]:
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder, wherever Spark keeps it."""
+    target, files = _path(spark, path)
+    files.delete(target, True)
+
+
 def predictions(spark: SparkSession, table: str, backend: str) -> DataFrame | None:
     """The backend's predictions, one row a photo: the newest result, or the newest failure where there is none; None without any.
 
