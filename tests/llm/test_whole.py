@@ -181,3 +181,28 @@ def test_clashing_columns_and_repeats(spark):
     packed = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"))
     assert packed.where("doc_id = 4").agg({"length": "sum"}).first()[0] == packed.where("doc_id = 4").first()["doc_tokens"] > 40_000
     assert packed.where("doc_id = 1 AND start = 0").count() == 2 and packing.pack(df.limit(0), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+def test_sniffing_awkward_values(spark):
+    gray = b"P5\n2 2\n100\nabcd"
+    long = bytes(range(256)) * 4000
+    rows = [(1, bytearray(gray), "image/png"), (1, bytearray(gray), "image/png"), (2, bytearray(long + gray), None), (3, None, "x"), (4, bytearray(b""), None)]
+    df = spark.createDataFrame(rows, "doc_id long, content binary, detected_type string")
+    got = sorted(media.sniff(df, "content", "detected_type", ("doc_id",)).collect())
+    assert [(r["doc_id"], r["detected_type"], r["corrected"], [(e["start"], e["length"]) for e in r["embedded"]]) for r in got] == [
+        (1, "image/x-portable-graymap", True, []), (1, "image/x-portable-graymap", True, []), (2, None, False, [(len(long), len(gray))]), (3, None, False, []), (4, None, False, []),
+    ]
+    assert media.sniff(df.limit(0), "content").count() == 0
+
+
+def test_very_long_and_repeated_texts(spark):
+    long = " ".join(f"word{i % 5000}" for i in range(120_000)) + " mail a@b.example now"
+    df = spark.createDataFrame(rows_of([long, "short"]), SCHEMA)
+    got = by_id(pii.sanitise(df.union(df)))
+    assert [s["kind"] for s in got[0]["base"]] == ["email"] and got[0]["sanitised"].endswith("[EMAIL] now")
+    assert pii.sanitise(df.limit(0)).count() == 0 and pii.sanitise(df.union(df)).count() == 4
+    from lectern.llm import exactdup, mixing
+
+    groups = exactdup.exact_groups(df.union(df)).collect()
+    assert sorted((r["doc_id"], r["group_size"], r["kept"]) for r in groups) == [(0, 2, True), (0, 2, True), (1, 2, True), (1, 2, True)] and exactdup.exact_groups(df.limit(0)).count() == 0
+    assert {r["doc_id"]: r["n_tokens"] for r in mixing.schedule(df).collect()} == {0: 120_003, 1: 1}
