@@ -6,6 +6,10 @@ oracle only in the operator.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +54,28 @@ PREDICTIONS = f"""SELECT photo, key, text, CASE WHEN text IS NULL THEN 'unreadab
     FROM {{part}} WHERE p_partkey % 7 <> 5) x"""
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that spark.checkpoint.dir names; one of this machine in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{(root or tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def clear() -> None:
+        with contextlib.suppress(Exception):  # the application may be gone
+            R.delete(spark, path)
+
+    atexit.register(clear)
+    return path
+
+
+def _saved(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a table, so that several uses do not compute them again."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _sql(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame:
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
@@ -287,7 +313,7 @@ def r4_read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         coalesce(string_agg((CASE WHEN c >= 0.25 THEN kind || ':' || text || ':' || CAST(round(c * 1e4) AS BIGINT) ELSE (CASE WHEN regexp_full_match(text, '[67]{{2,3}}') THEN 'short' ELSE 'long' END) || '::0' END) || ':' || status || ':' || turn, '|' ORDER BY line_no) FILTER (ok), '') AS tags FROM z GROUP BY photo""")
 def r28_read_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole results: lines decided into tags, nested by photo, after a round trip through JSON."""
-    lines = reading.read_lines(_crops(spark, sf_dir), _CLASSES, _DIGITS)
+    lines = _saved(reading.read_lines(_crops(spark, sf_dir), _CLASSES, _DIGITS), "lines")
     tags = reading.local_tags(lines, _DIGITS)
     free = lines.where("readings IS NULL").select("photo", F.col("line_no").alias("ord"), F.col("plain_text").alias("text"), F.col("plain_confidence").alias("confidence"), "quad", "angle")
     photos = lines.select("photo").distinct().withColumn("timings_ms", F.create_map(F.lit("read"), F.lit(1.0)))

@@ -6,11 +6,7 @@ the outcome row by row.
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +17,7 @@ from lectern.functions import decision as D
 from lectern.functions import geometry as G
 from lectern.operators import answers, vision
 from lectern.plans import evaluation
-from lectern.queries import _CALLS, _CALLS_DUCK, _LOADED, LOT, TEXTS, _duck, _records, _sql, _texts, query
+from lectern.queries import _CALLS, _CALLS_DUCK, _LOADED, LOT, TEXTS, _duck, _records, _sql, _texts, query, scratch
 from lectern.sources import labels as L
 from lectern.sources import providers as P
 from lectern.sources import results as R
@@ -36,21 +32,6 @@ def _values(rows: list[tuple], columns: str) -> str:
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_quote, r)) + ")" for r in rows) + f") t({columns})"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that spark.checkpoint.dir names; one of this machine in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{(root or tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-    def clear() -> None:
-        with contextlib.suppress(Exception):  # the application may be gone
-            R.delete(spark, path)
-
-    atexit.register(clear)
-    return path
-
-
 # Grammar: patterns with what they mean, worked out by hand
 
 _SPANS = [
