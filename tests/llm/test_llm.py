@@ -142,7 +142,7 @@ def brute_lm(texts, train, order):
     return [(len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), score(w)) for w in words]
 
 
-@pytest.mark.parametrize(("shard_tokens", "fan", "order"), [(10**7, 128, 2), (700, 128, 3), (700, 3, 3), (10**7, 128, 3)])
+@pytest.mark.parametrize(("shard_tokens", "fan", "order"), [(700, 128, 2), (700, 3, 3), (10**7, 128, 3)])
 def test_lm(docs, texts, shard_tokens, fan, order, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 4000)
     monkeypatch.setattr(lm, "FAN", fan)
@@ -318,7 +318,7 @@ def test_pairs_grow_with_the_group(spark, monkeypatch):
 
     monkeypatch.setattr(neardup.Stages, "save", counted)
     base, totals = [f"b{i}" for i in range(200)], []
-    for n in (200, 400, 800):
+    for n in (100, 200, 400):
         texts = []
         for i in range(n):
             w = list(base)
@@ -644,7 +644,7 @@ def brute_mixing(rows, block_docs, limit, seed=7):
     return out
 
 
-@pytest.mark.parametrize(("block_docs", "sent"), [(4, 1 << 20), (4, 0), (1024, 1 << 20)])
+@pytest.mark.parametrize(("block_docs", "sent"), [(4, 0), (1024, 1 << 20)])
 def test_mixing(spark, block_docs, sent, monkeypatch):
     monkeypatch.setattr(mixing, "SENT_BYTES", sent)
     rng = random.Random(3)
