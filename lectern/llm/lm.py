@@ -482,6 +482,8 @@ def score(df: DataFrame, train: Column, text: str = "text", doc_id: str = "doc_i
     pairs = round_(_ask_pairs(state, n, shards), "pairs", lambda a: _say_grams(a, step, shards, order > 2))
     back = [_return(pairs, shards, blocks)]
     if order > 2:
-        triples = round_(_ask_triples(state, back[0], n, shards), "triples", lambda a: _say_grams(a, step, shards, False))
+        asked = stages.save(_ask_triples(state, back[0], n, shards), "asked")  # frees one exchange before the next
+        triples = round_(asked, "triples", lambda a: _say_grams(a, step, shards, False))
+        stages.drop(asked)
         back.append(_return(triples, shards, blocks))
     return _score(state, back, n, v, rest, shards)
