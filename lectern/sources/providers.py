@@ -35,6 +35,7 @@ ANSWER_SCHEMA = {
         },
     }}},
 }
+SORTED_SCHEMA = json.loads(json.dumps(ANSWER_SCHEMA, sort_keys=True))
 REPLY = "text string, model string, input_tokens long, output_tokens long, error string"
 
 
@@ -42,9 +43,13 @@ def _object(**fields: Column | str | int | bool) -> Column:
     return F.struct(*((v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in fields.items()))
 
 
-def _schema(raw: dict[str, Any]) -> Column:
-    """A JSON document as a constant variant, so that it nests in a request as it is."""
-    return F.parse_json(F.lit(json.dumps(raw)))
+def _written(members: dict[str, Any]) -> Column:
+    """A JSON object of columns and of constants, which are written once and not for each row: a variant's text costs a new parser for every string in it."""
+    parts: list[Column] = []
+    for key, value in members.items():
+        head = f"{',' if parts else '{'}{json.dumps(key)}:"
+        parts += [F.lit(head), F.to_json(value)] if isinstance(value, Column) else [F.lit(head + json.dumps(value, ensure_ascii=False, separators=(",", ":")))]
+    return F.concat(*parts, F.lit("}"))
 
 
 def _reply(text: Column, model: Column, tokens_in: Column, tokens_out: Column, error: Column) -> Column:
@@ -63,7 +68,7 @@ class Api:
     max_side: int
     key_header: str
     response: str
-    build: Callable[[Column, Column, str], Column]
+    build: Callable[[Column, Column, str], dict[str, Any]]
     extract: Callable[[Column, str], Column]
     key_prefix: str = ""
     headers: tuple[tuple[str, str], ...] = ()
@@ -75,7 +80,7 @@ class Api:
 
     def body(self, content: Column, instructions: Column, model: str) -> Column:
         """The request as JSON text."""
-        return F.to_json(self.build(F.base64(content), instructions, model))
+        return _written(self.build(F.base64(content), instructions, model))
 
     def reply(self, response: Column, model: str) -> Column:
         """struct REPLY of a response body: refused, truncated and invalid_response are errors."""
@@ -83,13 +88,13 @@ class Api:
         return F.when(parsed.isNull(), _reply(*[F.lit(None).cast(t) for t in ("string", "string", "long", "long")], F.lit("invalid_response"))).otherwise(self.extract(parsed, model))
 
 
-def _messages_build(image: Column, text: Column, model: str) -> Column:
+def _messages_build(image: Column, text: Column, model: str) -> dict[str, Any]:
     source = _object(type="base64", media_type="image/jpeg", data=image)
     picture = F.struct(F.lit("image").alias("type"), source.alias("source"), F.lit(None).cast("string").alias("text"))
     words = F.struct(F.lit("text").alias("type"), F.lit(None).cast(source_type := "struct<type:string,media_type:string,data:string>").alias("source"), text.alias("text"))
     content = F.array(picture.cast(f"struct<type:string,source:{source_type},text:string>"), words)
-    form = _object(format=_object(type="json_schema", schema=_schema(ANSWER_SCHEMA)))
-    return _object(model=model, max_tokens=16000, output_config=form, messages=F.array(_object(role="user", content=content)))
+    form = {"format": {"type": "json_schema", "schema": SORTED_SCHEMA}}
+    return {"model": model, "max_tokens": 16000, "output_config": form, "messages": F.array(_object(role="user", content=content))}
 
 
 def _messages_extract(r: Column, model: str) -> Column:
@@ -98,15 +103,15 @@ def _messages_extract(r: Column, model: str) -> Column:
     return _reply(text, F.coalesce(r["model"], F.lit(model)), r["usage"]["input_tokens"], r["usage"]["output_tokens"], error)
 
 
-def _responses_build(image: Column, text: Column, model: str) -> Column:
+def _responses_build(image: Column, text: Column, model: str) -> dict[str, Any]:
     kind = "struct<type:string,text:string,image_url:string,detail:string>"
     none = F.lit(None).cast("string")
     parts = F.array(
         F.struct(F.lit("input_text").alias("type"), text.alias("text"), none.alias("image_url"), none.alias("detail")).cast(kind),
         F.struct(F.lit("input_image").alias("type"), none.alias("text"), F.concat(F.lit("data:image/jpeg;base64,"), image).alias("image_url"), F.lit("high").alias("detail")).cast(kind),
     )
-    form = _object(format=_object(type="json_schema", name="tags", strict=True, schema=_schema(ANSWER_SCHEMA)))
-    return _object(model=model, input=F.array(_object(role="user", content=parts)), text=form)
+    form = {"format": {"type": "json_schema", "name": "tags", "strict": True, "schema": SORTED_SCHEMA}}
+    return {"model": model, "input": F.array(_object(role="user", content=parts)), "text": form}
 
 
 def _responses_extract(r: Column, model: str) -> Column:
@@ -120,11 +125,11 @@ def _responses_extract(r: Column, model: str) -> Column:
     return _reply(text, F.coalesce(r["model"], F.lit(model)), r["usage"]["input_tokens"], r["usage"]["output_tokens"], error)
 
 
-def _content_build(image: Column, text: Column, model: str) -> Column:
+def _content_build(image: Column, text: Column, model: str) -> dict[str, Any]:
     kind = "struct<inline_data:struct<mime_type:string,data:string>,text:string>"
     picture = F.struct(_object(mime_type="image/jpeg", data=image).alias("inline_data"), F.lit(None).cast("string").alias("text")).cast(kind)
     words = F.struct(F.lit(None).cast("struct<mime_type:string,data:string>").alias("inline_data"), text.alias("text")).cast(kind)
-    return _object(contents=F.array(_object(role="user", parts=F.array(picture, words))), generationConfig=_object(responseMimeType="application/json", responseJsonSchema=_schema(ANSWER_SCHEMA)))
+    return {"contents": F.array(_object(role="user", parts=F.array(picture, words))), "generationConfig": {"responseMimeType": "application/json", "responseJsonSchema": SORTED_SCHEMA}}
 
 
 # Finish reasons that mean a refusal.
@@ -144,12 +149,12 @@ def _content_extract(r: Column, model: str) -> Column:
     return _reply(text, F.coalesce(r["modelVersion"], F.lit(model)), use["promptTokenCount"], out, error)
 
 
-def _chat_build(image: Column, text: Column, model: str) -> Column:
+def _chat_build(image: Column, text: Column, model: str) -> dict[str, Any]:
     kind = "struct<type:string,text:string,image_url:struct<url:string>>"
     asked = F.concat(text, F.lit(f"\n\nAnswer with one JSON object of this JSON Schema and nothing else:\n{json.dumps(ANSWER_SCHEMA)}"))
     words = F.struct(F.lit("text").alias("type"), asked.alias("text"), F.lit(None).cast("struct<url:string>").alias("image_url")).cast(kind)
     picture = F.struct(F.lit("image_url").alias("type"), F.lit(None).cast("string").alias("text"), _object(url=F.concat(F.lit("data:image/jpeg;base64,"), image)).alias("image_url")).cast(kind)
-    return _object(model=model, messages=F.array(_object(role="user", content=F.array(words, picture))), response_format=_object(type="json_object"))
+    return {"model": model, "messages": F.array(_object(role="user", content=F.array(words, picture))), "response_format": {"type": "json_object"}}
 
 
 def _chat_extract(r: Column, model: str) -> Column:

@@ -73,3 +73,14 @@ def test_images_as_large_as_the_model_reads(spark):
     got = {r["image"]: r for r in requests_of(photos, api, "old-1", Catalog("e"), make=PixelMap).collect()}
     assert (got["a"]["width"], got["a"]["height"]) == (1568, 5) and "1568 by 5 pixels" in got["a"]["body"]
     assert got["b"]["body"] is None and got["b"]["error"]
+
+
+def test_constant_parts_of_requests_are_written_once(spark):
+    """No variant is written for each row; the schema stands in the request with keys in order, and a text like it stays a text."""
+    said = 'Read "schema":"" \u00e9\n'
+    rows = spark.createDataFrame([(b"abc", said)], "content binary, said string").select(*(a.body(F.col("content"), F.col("said"), "m1").alias(n) for n, a in APIS.items()))
+    assert "variant" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {n: json.loads(body) for n, body in rows.first().asDict().items()}
+    assert got["messages"]["output_config"]["format"]["schema"] == got["responses"]["text"]["format"]["schema"] == got["content"]["generationConfig"]["responseJsonSchema"] == ANSWER_SCHEMA
+    assert got["messages"]["messages"][0]["content"][1]["text"] == got["responses"]["input"][0]["content"][0]["text"] == got["content"]["contents"][0]["parts"][1]["text"] == said
+    assert got["chat"]["messages"][0]["content"][0]["text"].startswith(said)
