@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.binding import let
 from lectern.functions.decision import QUOTA_CODES, RETRY_STATUSES
 from lectern.catalog import Catalog
 from lectern.operators.answers import ANGLES, LEGIBILITY, instructions
@@ -53,9 +54,12 @@ def _written(members: dict[str, Any]) -> Column:
 
 
 def _reply(text: Column, model: Column, tokens_in: Column, tokens_out: Column, error: Column) -> Column:
-    ok = error.isNull()
-    number = lambda c: F.when(ok, F.coalesce(c, F.lit(0).cast("long")))
-    return _object(text=F.when(ok, text), model=F.when(ok, model), input_tokens=number(tokens_in), output_tokens=number(tokens_out), error=error)
+    def shown(error: Column) -> Column:
+        ok = error.isNull()
+        number = lambda c: F.when(ok, F.coalesce(c, F.lit(0).cast("long")))
+        return _object(text=F.when(ok, text), model=F.when(ok, model), input_tokens=number(tokens_in), output_tokens=number(tokens_out), error=error)
+
+    return let(error, shown)
 
 
 @dataclass(frozen=True)
@@ -84,8 +88,9 @@ class Api:
 
     def reply(self, response: Column, model: str) -> Column:
         """struct REPLY of a response body: refused, truncated and invalid_response are errors."""
-        parsed = F.from_json(response, self.response)
-        return F.when(parsed.isNull(), _reply(*[F.lit(None).cast(t) for t in ("string", "string", "long", "long")], F.lit("invalid_response"))).otherwise(self.extract(parsed, model))
+        nothing = _reply(*[F.lit(None).cast(t) for t in ("string", "string", "long", "long")], F.lit("invalid_response"))
+        # bound, because the rules look at the response dozens of times, each of which would parse it
+        return let(F.from_json(response, self.response), lambda r: F.when(r.isNull(), nothing).otherwise(self.extract(r, model)))
 
 
 def _messages_build(image: Column, text: Column, model: str) -> dict[str, Any]:

@@ -75,6 +75,13 @@ def test_images_as_large_as_the_model_reads(spark):
     assert got["b"]["body"] is None and got["b"]["error"]
 
 
+def test_a_reply_is_parsed_once(spark):
+    rows = spark.createDataFrame([("{}",)], "body string")
+    for api in APIS.values():
+        plan = rows.select(api.reply(F.col("body"), "m1").alias("r")).select("r.*")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1
+
+
 def test_constant_parts_of_requests_are_written_once(spark):
     """No variant is written for each row; the schema stands in the request with keys in order, and a text like it stays a text."""
     said = 'Read "schema":"" \u00e9\n'
