@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +16,8 @@ from lectern.grammar import Automaton
 BEAM, MIN_PROBABILITY = 16, 1e-4
 #: Cells (matrices times candidates) that a step works on at once.
 CELLS = 1 << 19
+#: Matrices of an Arrow batch, and their probabilities, that are unpacked and read at once.
+ROWS, VALUES = 1024, 1 << 18
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 READINGS = "array<struct<text:string,probability:double>>"
 
@@ -158,28 +160,47 @@ def beam_search(rows: Sequence[Sequence[float]], classes: Sequence[str], automat
     return search(Dense(values, np.array([len(rows)])), Machine(automaton, classes), beam, least)[0] or []
 
 
+def in_pieces(column: pa.Array, classes: int, kind: pa.DataType, read: Callable[[Dense], list]) -> pa.Array:
+    """read() over a column of matrices, a bounded piece at a time, so that memory follows neither the batch nor the size of its matrices; a matrix of more than VALUES is a piece of its own."""
+    size = np.cumsum(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)) * classes)
+    done, lo = [pa.array([], kind)], 0
+    while lo < len(column):
+        hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + VALUES, "right"))
+        hi = min(max(hi, lo + 1), lo + ROWS)
+        done.append(pa.array(read(dense(column.slice(lo, hi - lo), classes)), kind))
+        lo = hi
+    return pa.concat_arrays(done)
+
+
 def constrained(probs: Column, classes: Sequence[str], automaton: Automaton, beam: int = BEAM, least: float = MIN_PROBABILITY, top: int | None = None) -> Column:
     """search() over a column array<array<double>>, as array<struct<text, probability>>; null rows give null."""
 
     @F.arrow_udf(READINGS)
     def run(column: pa.Array) -> pa.Array:
-        found = search(dense(column, len(classes)), Machine(automaton, classes), beam, least)
-        out = [None if f is None else [{"text": t, "probability": p} for t, p in f[:top]] for f in found]
-        return pa.array(out, pa.list_(pa.struct([("text", pa.string()), ("probability", pa.float64())])))
+        machine = Machine(automaton, classes)
+
+        def read(matrices: Dense) -> list:
+            return [None if f is None else [{"text": t, "probability": p} for t, p in f[:top]] for f in search(matrices, machine, beam, least)]
+
+        return in_pieces(column, len(classes), pa.list_(pa.struct([("text", pa.string()), ("probability", pa.float64())])), read)
 
     return run(probs)
 
 
 def all_kinds(probs: Column, classes: Sequence[str], catalog: Catalog, beam: int = BEAM, least: float = MIN_PROBABILITY, top: int = 3) -> Column:
-    """array<struct<text, probability, tag_id, kind_ord>>: the top readings under each kind, kinds in order; a batch of matrices is unpacked once for all kinds."""
+    """array<struct<text, probability, tag_id, kind_ord>>: the top readings under each kind, kinds in order; each matrix is unpacked once for all kinds."""
 
     @F.arrow_udf("array<struct<text:string,probability:double,tag_id:string,kind_ord:int>>")
     def run(column: pa.Array) -> pa.Array:
-        matrices = dense(column, len(classes))
-        out: list[list[dict]] = [[] for _ in range(len(column))]
-        for i, kind in enumerate(catalog.kinds):
-            for to, found in zip(out, search(matrices, Machine(kind.automaton, classes), beam, least), strict=True):
-                to += [{"text": t, "probability": p, "tag_id": kind.tag_id, "kind_ord": i} for t, p in (found or [])[:top]]
-        return pa.array(out, pa.list_(pa.struct([("text", pa.string()), ("probability", pa.float64()), ("tag_id", pa.string()), ("kind_ord", pa.int32())])))
+        machines = [Machine(kind.automaton, classes) for kind in catalog.kinds]
+
+        def read(matrices: Dense) -> list:
+            out: list[list[dict]] = [[] for _ in range(len(matrices.steps))]
+            for i, (kind, machine) in enumerate(zip(catalog.kinds, machines, strict=True)):
+                for to, found in zip(out, search(matrices, machine, beam, least), strict=True):
+                    to += [{"text": t, "probability": p, "tag_id": kind.tag_id, "kind_ord": i} for t, p in (found or [])[:top]]
+            return out
+
+        return in_pieces(column, len(classes), pa.list_(pa.struct([("text", pa.string()), ("probability", pa.float64()), ("tag_id", pa.string()), ("kind_ord", pa.int32())])), read)
 
     return run(probs)

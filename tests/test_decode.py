@@ -5,10 +5,12 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lectern.catalog import Catalog, Kind
 from lectern.grammar import compile_pattern
+from lectern.operators import decode
 from lectern.operators.decode import all_kinds, beam_search, constrained, greedy
 
 
@@ -94,3 +96,22 @@ def test_a_narrow_beam_finds_no_more_than_there_is(beam):
         classes = ["", "6", "7", "9"]
         wide, narrow = dict(beam_search(matrix, classes, a, 500, 0.0)), beam_search(matrix, classes, a, beam, 0.0)
         assert len(narrow) <= beam and all(p <= wide[t] + 1e-12 for t, p in narrow) and [p for _, p in narrow] == sorted((p for _, p in narrow), reverse=True)
+
+
+def test_batches_are_read_in_bounded_pieces(monkeypatch):
+    """Pieces hold at most ROWS matrices and VALUES probabilities, whatever the batch and its matrices; the readings are those of each matrix alone."""
+    rng, automaton = np.random.default_rng(3), compile_pattern("[679]{1,3}")
+    made = [None if i % 7 == 3 else rng.dirichlet(np.ones(4), 40 if i % 5 == 0 else i % 4).tolist() for i in range(60)]
+    monkeypatch.setattr(decode, "ROWS", 4)
+    monkeypatch.setattr(decode, "VALUES", 100)
+    seen = []
+
+    def read(matrices):
+        seen.append((len(matrices.steps), int(np.maximum(matrices.steps, 0).sum()) * 4))
+        return [None if f is None else [t for t, _ in f] for f in decode.search(matrices, decode.Machine(automaton, ["", "6", "7", "9"]))]
+
+    column = pa.array([None, *made], pa.list_(pa.list_(pa.float64()))).slice(1)
+    got = decode.in_pieces(column, 4, pa.list_(pa.string()), read).to_pylist()
+    assert got == [None if m is None else [t for t, _ in decode.beam_search(np.reshape(m, (-1, 4)), ["", "6", "7", "9"], automaton)] for m in made]
+    assert sum(n for n, _ in seen) == 60 and all(n <= 4 and (v <= 100 or n == 1) for n, v in seen)
+    assert decode.in_pieces(column.slice(0, 0), 4, pa.list_(pa.string()), read).to_pylist() == []
